@@ -156,7 +156,7 @@ def test_packing(spark, odd, empty, nulls):
     assert brute.check_pieces(pieces.collect(), {x[0]: x[1] for x in CASES}, encode) == 0
     assert brute.check_pieces(queries.op8_packing(spark, SF).collect(), {d: t for d, t, _ in documents()}, encode) == 0
     assert packing.pack(empty).count() == 0
-    assert sorted(r.doc_tokens for r in packing.pack(nulls).collect()) == [1, 1, 3, 3]
+    assert sorted(r.doc_tokens for r in packing.pack(nulls).where("start = 0").collect()) == [1, 1, 3, 3]
     assert sum(r.length for r in packing.pack(odd).where("doc_id = 12").collect()) == 2 * 5
 
 
