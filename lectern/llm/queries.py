@@ -10,6 +10,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules of op1: verdict, host and path.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+#: Labels of host names that seed distrust in op1.
+BLOCKED_LABELS = ["casino-win", "free-bets", "spam-farm", "ads-track"]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_graph
+
+    blocked = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, BLOCKED_LABELS)))
+    found = url_graph.judge(_table(spark, sf_dir, "pages"), URL_RULES, F.col("ruled"), blocked)
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    folder = media.store(_table(spark, sf_dir, "documents"))
+    return media.features(media.load(spark, folder))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -17,6 +38,19 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_lm
+
+    return ngram_lm.fit_and_score(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licences
+
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licence", F.round("dice", 6).alias("dice"), F.array_join("licences", ",").alias("licences"), F.size("units").cast("long").alias("n_units"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -37,11 +71,24 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import wordpiece
+
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    records = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", F.length("block").cast("long").alias("content_length"), F.sha2("block", 256).alias("block_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op6_source_mixing, op7_quality_rules, op8_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_simhash_near_dedup, op4_lm_scoring, op5_license_scans, op6_source_mixing, op7_quality_rules, op8_packing, op9_token_counts, op10_warc_derivatives, pipeline)}
 ORACLES: dict[str, str] = {}
