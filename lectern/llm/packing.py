@@ -14,6 +14,9 @@ Null ids are kept. Long texts are tokenized whole. An empty table gives no piece
 
 from __future__ import annotations
 
+import re
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +29,7 @@ QUADRATIC = 1.0 / 2048
 #: Tokens that a chunk has before it is packed; its last document may exceed it.
 CHUNK = 2_000_000
 #: Words whose ids a worker keeps at a time.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 500_000
 
 _tokenizers: dict = {}
 
@@ -37,11 +40,25 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words that fall into runs of Latin letters and of ASCII signs other than the apostrophe: the tokenizer's own cuts.
+_PLAIN = re.compile("(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\\[-`{-~]+)+")
+_RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\\[-`{-~]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Ids of whole texts, as the tokenizer gives them, found word by word.
 
     The tokenizer must drop white space, so that no token holds any and words do not depend on each other; ids of
-    recent words are kept. Texts that hold the string of a special token go to the tokenizer whole.
+    recent words and runs are kept. New words of plain runs go to the tokenizer's model run by run, lower-cased and
+    in byte letters, as its own first steps would make them; if a probe shows that it cuts otherwise, and for all other words,
+    the whole tokenizer is asked. Texts that hold the string of a special token go to it whole.
     """
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
@@ -54,6 +71,9 @@ class WordIds:
         self.of, self.most, self.ids = Tokenizer.from_file(path), kept, {}
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"].lower().encode() for t in json.load(f).get("added_tokens", [])]
+        self.model, self.letters = self.of.model, _byte_letters()
+        probe = "ThaNß.,Ééÿx$$$%Öre(|ing!a-B"
+        self.by_runs = self._split(probe) == self._encode([probe.encode()])[0]
 
     def may(self, text: bytes) -> bool:
         """Whether a special token's string may be in the text, in any case of letters."""
@@ -61,7 +81,28 @@ class WordIds:
         return bool(low) and any(s in low for s in self.special)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _run(self, run: str) -> bytes:
+        data = run.lower().encode()
+        found = self.ids.get(data)
+        if found is None:
+            text = data.decode("ascii") if data.isascii() else "".join(map(self.letters.__getitem__, data))
+            ids = [t.id for t in self.model.tokenize(text)]
+            found = self.ids[data] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def _split(self, word: str) -> bytes:
+        return b"".join(map(self._run, _RUNS.findall(word)))
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found, whole = {}, []
+        for w in words:
+            if self.by_runs and _PLAIN.fullmatch(text := w.decode()):
+                found[w] = self._split(text)
+            else:
+                whole.append(w)
+        return found | dict(zip(whole, self._encode(whole), strict=True)) if whole else found
 
     def __call__(self, text: bytes) -> bytes:
         """The ids of a text in UTF-8, as little-endian unsigned 32-bit numbers."""
@@ -72,14 +113,14 @@ class WordIds:
             return b"".join(map(self.ids.__getitem__, words))
         except KeyError:
             pass
-        new = [w for w in dict.fromkeys(words) if w not in self.ids]
-        if len(self.ids) + len(new) > self.most:
+        if len(self.ids) > self.most:
             self.ids.clear()
-            new = list(dict.fromkeys(words))
-        found = dict(zip(new, self._encode(new), strict=True))
-        if len(new) <= self.most:
+        found = self._new([w for w in dict.fromkeys(words) if w not in self.ids])
+        if len(found) <= self.most:
             self.ids.update(found)
             found = self.ids
+        else:
+            found = self.ids | found
         return b"".join(map(found.__getitem__, words))
 
 
