@@ -1,4 +1,418 @@
-"""All queries over the evaluation operators, and their SQL."""
+"""All queries over the evaluation operators, and their SQL for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import geometry as G
+from ..functions import text as T
+from ..operators import audit as A
+from ..operators import matching as M
+from ..operators import ordering as O
+from ..operators import quality as Q
+from ..operators import reports as R
+from ..operators import scope as V
+from ..operators import selection as S
+from ..operators import structure as X
+from ..sources.derived import PROFILES, TEMPLATES, gt_lines, lines, pred_lines, table
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+LINES = """lines AS (SELECT doc_id, lang AS language, source AS family, ['simple_article', 'scientific_paper', 'magazine_layout'][CAST(doc_id % 3 AS INT) + 1] AS template, line AS text, pos
+  FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)
+  WHERE length(line) BETWEEN 1 AND 200 AND regexp_full_match(line, '[ -~]+') AND regexp_matches(line, '[!-~]'))"""
+GT = LINES + """, gt AS (SELECT doc_id || '_' || profile AS artifact_id, doc_id, language, family, template, profile, k, pos AS gt_index, text, 50.0::DOUBLE AS x, (5.0 * pos)::DOUBLE AS y, (6.0 * length(text))::DOUBLE AS w, 12.0::DOUBLE AS h
+  FROM lines, (VALUES ('clean', 0), ('light_scan', 1), ('medium_scan', 2), ('heavy_scan', 3)) p(profile, k))"""
+PAIRS = GT + """, pr AS (SELECT artifact_id, gt_index * 2 + d AS pred_index, CASE WHEN k > 0 AND t % 3 = 0 THEN replace(text, 'e', 'c') ELSE text END AS text, x + (t % 4) * k AS x, y, w, h
+  FROM (SELECT *, doc_id * 31 + gt_index + 7 * k AS t FROM gt), (VALUES (0), (1)) c(d) WHERE NOT (k > 0 AND t % 7 = 0) AND (d = 0 OR (k > 0 AND t % 11 = 0))),
+ boxes AS (SELECT g.artifact_id, gt_index, pred_index, greatest(0, least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x)) * greatest(0, least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y)) AS i, g.w * g.h AS ga, p.w * p.h AS pa FROM gt g JOIN pr p USING (artifact_id)),
+ cand AS (SELECT artifact_id, gt_index, pred_index, i / (ga + pa - i) AS iou FROM boxes WHERE i > 0)"""
+
+
+def _fold(name: str, order: str, least: float) -> str:
+    """SQL of a greedy assignment: a list of single pairs is reduced to the list of those that are taken."""
+    return f""", {name}_f AS (SELECT artifact_id, list_reduce(list(struct_pack(g := [gt_index], p := [pred_index], v := [iou]) ORDER BY {order}), lambda s, c: CASE WHEN list_contains(s.g, c.g[1]) OR list_contains(s.p, c.p[1]) THEN s ELSE struct_pack(g := list_concat(s.g, c.g), p := list_concat(s.p, c.p), v := list_concat(s.v, c.v)) END) AS s FROM cand WHERE iou >= {least} GROUP BY artifact_id),
+ {name} AS (SELECT artifact_id, unnest(s.g) AS gt_index, unnest(s.p) AS pred_index, unnest(s.v) AS iou FROM {name}_f)"""
+
+
+LINE_MATCH = PAIRS + _fold("taken", "gt_index, iou DESC, pred_index", 0.3) + ", m AS (SELECT gt.artifact_id, gt.gt_index, pred_index, coalesce(iou, 0) AS iou FROM gt LEFT JOIN taken USING (artifact_id, gt_index))"
+NORM = "lower(trim(regexp_replace({}, ' +', ' ', 'g')))"
+
+
+def _code(d: str, ws: str) -> str:
+    return f"list_aggregate(list_transform({ws}, lambda q: chr(CAST(list_position({d}, q) AS INT))), 'string_agg', '')"
+
+
+PAGE = LINE_MATCH + f""", each AS (SELECT m.artifact_id, m.pred_index, m.iou, {NORM.format('gt.text')} AS a, {NORM.format("coalesce(pr.text, '')")} AS b FROM m JOIN gt USING (artifact_id, gt_index) LEFT JOIN pr ON pr.artifact_id = m.artifact_id AND pr.pred_index = m.pred_index),
+ ws AS (SELECT *, string_split(a, ' ') AS aw, CASE WHEN b = '' THEN [] ELSE string_split(b, ' ') END AS bw FROM each),
+ ds AS (SELECT *, list_sort(list_distinct(list_concat(aw, bw))) AS d FROM ws),
+ er AS (SELECT artifact_id, pred_index, iou, levenshtein(a, b) AS ce, levenshtein({_code('d', 'aw')}, coalesce({_code('d', 'bw')}, '')) AS we, length(a) AS cc, len(aw) AS wc FROM ds),
+ by_gt AS (SELECT artifact_id, count(*) AS ng, count(pred_index) AS nm, sum(ce) AS ce, sum(we) AS we, sum(cc) AS cc, sum(wc) AS wc, avg(ce / cc) AS mean_cer, avg(we / wc) AS mean_wer, avg(iou) AS mean_iou FROM er GROUP BY artifact_id),
+ by_pr AS (SELECT pr.artifact_id, count(*) AS np, coalesce(sum(length({NORM.format('pr.text')})) FILTER (WHERE m.pred_index IS NULL), 0) AS xc, coalesce(sum(len(string_split({NORM.format('pr.text')}, ' '))) FILTER (WHERE m.pred_index IS NULL), 0) AS xw FROM pr LEFT JOIN m ON m.artifact_id = pr.artifact_id AND m.pred_index = pr.pred_index GROUP BY pr.artifact_id),
+ page AS (SELECT artifact_id, ng AS num_gt_lines, coalesce(np, 0) AS num_predicted_lines, nm AS num_matched_lines, cc AS gt_char_count, wc AS gt_word_count, ce + coalesce(xc, 0) AS char_errors, we + coalesce(xw, 0) AS word_errors, mean_cer, mean_wer, mean_iou FROM by_gt LEFT JOIN by_pr USING (artifact_id)),
+ dims AS (SELECT DISTINCT artifact_id, doc_id, language, family, template, profile FROM gt), pages AS (SELECT * FROM page JOIN dims USING (artifact_id))"""
+
+
+def _int(*names: str) -> str:
+    return ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in names)
+
+
+COUNTS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in Q.COUNTS)
+RATES = "round(sum(char_errors) / greatest(1, sum(gt_char_count)), 6) AS micro_cer, round(sum(word_errors) / greatest(1, sum(gt_word_count)), 6) AS micro_wer, round(coalesce(sum(num_matched_lines) / nullif(sum(num_predicted_lines), 0), 0), 6) AS line_precision, round(coalesce(sum(num_matched_lines) / nullif(sum(num_gt_lines), 0), 0), 6) AS line_recall, round(coalesce(2 * sum(num_matched_lines) / nullif(sum(num_predicted_lines) + sum(num_gt_lines), 0), 0), 6) AS line_f1"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, integers as BIGINT: sums of doubles depend on their order."""
+    return df.select(*[F.round(n, digits).alias(n) if t == "double" else F.col(n).cast("long").alias(n) if t in ("int", "bigint") or t.startswith("decimal") else F.col(n) for n, t in df.dtypes])
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    gt, pr = gt_lines(spark, sf), pred_lines(spark, sf)
+    metrics = Q.page_metrics(gt, pr, M.line_match(gt, pr))
+    return metrics.join(gt.select("artifact_id", "doc_id", "language", "family", "template", "profile").distinct(), "artifact_id")
+
+
+@query(f"WITH {PAGE} SELECT language, profile, count(*) AS num_pages, {COUNTS}, {RATES} FROM pages GROUP BY language, profile")
+def flagship_quality_by_language_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(Q.pooled(_pages(spark, sf), ["language", "profile"]))
+
+
+@query(f"WITH {PAIRS} SELECT artifact_id, gt_index, pred_index, round(iou, 6) AS iou FROM cand")
+def bbox_iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(M.candidates(gt_lines(spark, sf), pred_lines(spark, sf)))
+
+
+@query(f"WITH {LINE_MATCH} SELECT artifact_id, gt_index, pred_index, round(iou, 6) AS iou FROM m")
+def line_match(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(M.line_match(gt_lines(spark, sf), pred_lines(spark, sf)))
+
+
+@query(f"WITH {PAIRS}, best AS (SELECT *, row_number() OVER (PARTITION BY artifact_id, gt_index ORDER BY iou DESC, pred_index) AS n FROM cand WHERE iou >= 0.3) SELECT artifact_id, gt_index, pred_index, round(coalesce(iou, 0), 6) AS iou FROM gt LEFT JOIN (SELECT artifact_id, gt_index, pred_index, iou FROM best WHERE n = 1) USING (artifact_id, gt_index)")
+def line_match_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(M.line_match(gt_lines(spark, sf), pred_lines(spark, sf), one_to_one=False))
+
+
+@query(f"WITH {PAIRS}{_fold('taken', 'iou DESC, gt_index, pred_index', 0.5)} SELECT gt.artifact_id, gt.gt_index, pred_index, round(coalesce(iou, 0), 6) AS iou FROM gt LEFT JOIN taken USING (artifact_id, gt_index)")
+def structure_match(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(M.structure_match(gt_lines(spark, sf), pred_lines(spark, sf)))
+
+
+def _ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return O.predicted_sequence(O.assign_columns(pred_lines(spark, sf), 2))
+
+
+COLUMNS = """, mids AS (SELECT *, x + w / 2 AS mid FROM pr), spread AS (SELECT *, min(mid) OVER (PARTITION BY artifact_id) AS lo, max(mid) OVER (PARTITION BY artifact_id) - min(mid) OVER (PARTITION BY artifact_id) AS width FROM mids),
+ cols AS (SELECT *, CASE WHEN width <= 0 THEN 0 ELSE least(1, CAST(trunc((mid - lo) / nullif(width, 0) * 2) AS BIGINT)) END AS col FROM spread), ranked AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY col, -y, x, pred_index) AS rank FROM cols)"""
+
+
+@query(f"WITH {PAIRS}{COLUMNS} SELECT artifact_id, pred_index, col AS \"column\", rank FROM ranked")
+def predicted_order(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_ranked(spark, sf).select("artifact_id", "pred_index", "column", "rank"))
+
+
+PROJECTED = f"{PAIRS}{COLUMNS}, cand0 AS (SELECT c.*, r.rank FROM cand c JOIN ranked r USING (artifact_id, pred_index))" + _fold("taken", "rank, iou DESC, gt_index", 0.3).replace("FROM cand WHERE", "FROM cand0 WHERE") + ", proj AS (SELECT t.*, r.rank FROM taken t JOIN ranked r USING (artifact_id, pred_index))"
+
+
+@query(f"WITH {PROJECTED} SELECT artifact_id, pred_index, gt_index, rank, round(iou, 6) AS iou FROM proj")
+def line_order_projection(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(M.project_predictions(gt_lines(spark, sf), _ranked(spark, sf)))
+
+
+STATS = """SELECT artifact_id, CAST(units AS BIGINT) AS units, CAST(c AS BIGINT) AS concordant, CAST(d AS BIGINT) AS discordant, CAST(u AS BIGINT) AS unresolved, round((c - d) / nullif(c + d, 0), 6) AS kendall_tau, round(c / nullif(c + d, 0), 6) AS pairwise_accuracy, round(coalesce((c + d) / nullif(units * (units - 1) / 2, 0), 0), 6) AS coverage
+ FROM (SELECT a.artifact_id, count(DISTINCT a.id) AS units, count(*) FILTER (WHERE a.grp < b.grp AND a.rnk < b.rnk) AS c, count(*) FILTER (WHERE a.grp < b.grp AND a.rnk > b.rnk) AS d, count(*) FILTER (WHERE a.grp = b.grp AND a.id < b.id) AS u FROM seq a JOIN seq b USING (artifact_id) GROUP BY a.artifact_id)"""
+
+
+@query(f"WITH {PROJECTED}, seq AS (SELECT artifact_id, gt_index AS id, rank AS grp, row_number() OVER (PARTITION BY artifact_id ORDER BY -5.0 * gt_index, gt_index) AS rnk FROM proj) {STATS}")
+def line_order_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    found = M.project_predictions(gt_lines(spark, sf), _ranked(spark, sf))
+    true = W.partitionBy("artifact_id").orderBy(-5.0 * F.col("gt_index"), "gt_index")
+    return rounded(O.order_statistics(O.pair_counts(found.select("artifact_id", F.col("rank").alias("group"), F.row_number().over(true).alias("rank")))))
+
+
+TURNS = """turns AS (SELECT CAST(conv_id AS VARCHAR) AS artifact_id, conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS id, role, text FROM conversations),
+ seq AS (SELECT artifact_id, id, id AS rnk, CASE WHEN conv_id % 3 = 0 THEN (id + 1) // 2 WHEN conv_id % 3 = 1 THEN CASE WHEN id % 2 = 1 THEN id + 1 ELSE id - 1 END ELSE id END AS grp FROM turns)"""
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as blocks: merged in pairs, swapped in pairs or left, by conversation."""
+    t = table(spark, sf, "conversations").withColumn("id", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text")))
+    i, k = F.col("id"), F.col("conv_id") % 3
+    group = F.when(k == 0, F.expr("(id + 1) div 2")).when(k == 1, F.when(i % 2 == 1, i + 1).otherwise(i - 1)).otherwise(i)
+    return t.select(F.col("conv_id").cast("string").alias("artifact_id"), "conv_id", "id", "role", "text", group.alias("group"), i.alias("rank"))
+
+
+@query(f"WITH {TURNS} {STATS}")
+def kendall_tau(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(O.order_statistics(O.pair_counts(_turns(spark, sf).select("artifact_id", "group", "rank"))))
+
+
+@query(f"WITH {TURNS} SELECT a.artifact_id, a.id AS first, b.id AS second, a.rnk < b.rnk AS in_order FROM seq a JOIN seq b ON a.artifact_id = b.artifact_id AND a.grp < b.grp")
+def order_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    t = _turns(spark, sf)
+    b = t.select(F.col("artifact_id").alias("k"), F.col("group").alias("g"), F.col("id").alias("second"), F.col("rank").alias("r"))
+    pairs = t.join(b, (F.col("artifact_id") == F.col("k")) & (F.col("group") < F.col("g")))
+    return pairs.select("artifact_id", F.col("id").cast("long").alias("first"), F.col("second").cast("long").alias("second"), (F.col("rank") < F.col("r")).alias("in_order"))
+
+
+BAG = """WITH t AS (SELECT item_id, text FROM benchmark), w AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[ \\n\\t]+'), lambda x: x <> '') AS ws FROM t),
+ a AS (SELECT item_id, u AS w, count(*) AS n FROM (SELECT item_id, unnest(ws) AS u FROM w) GROUP BY ALL), b AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, u AS w FROM (SELECT item_id, unnest(ws) AS u, unnest(range(len(ws))) AS i FROM w) WHERE i % 4 <> 3) GROUP BY ALL)
+ SELECT item_id, CAST(c AS BIGINT) AS common, CAST(x AS BIGINT) AS gt_tokens, CAST(y AS BIGINT) AS predicted_tokens, round(c / greatest(1, y), 6) AS token_precision, round(c / greatest(1, x), 6) AS token_recall, round(coalesce(2 * c / nullif(x + y, 0), 0), 6) AS token_f1
+ FROM (SELECT item_id, sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS c, sum(coalesce(a.n, 0)) AS x, sum(coalesce(b.n, 0)) AS y FROM a FULL JOIN b USING (item_id, w) GROUP BY item_id)"""
+
+
+@query(BAG)
+def token_bag(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "benchmark")
+    ws = T.tokens(T.normalize_text(F.col("text")))
+    pairs = b.select("item_id", "text", F.array_join(F.filter(ws, lambda w, i: i % 4 != 3), " ").alias("predicted"))
+    return rounded(O.token_bags(pairs, F.col("text"), F.col("predicted"), "item_id"))
+
+
+@query()
+def semantic_span_match(spark: SparkSession, sf: str) -> DataFrame:
+    t = _turns(spark, sf)
+    none = F.lit(None).cast(G.BOX)
+    gt = t.select("artifact_id", F.col("id").alias("gt_index"), "text", none.alias("bbox"))
+    joined = t.groupBy("artifact_id", "group").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]), " ").alias("text"))
+    return rounded(M.semantic_match(gt, joined.select("artifact_id", F.col("group").cast("int").alias("pred_index"), "text", none.alias("bbox"))))
+
+
+PAGE_COLUMNS = ["num_gt_lines", "num_predicted_lines", "num_matched_lines", "gt_char_count", "gt_word_count", "char_errors", "word_errors"]
+
+
+@query(f"WITH {PAGE} SELECT artifact_id, {_int(*PAGE_COLUMNS)}, round(mean_cer, 6) AS mean_cer, round(mean_wer, 6) AS mean_wer, round(mean_iou, 6) AS mean_iou, round(char_errors / greatest(1, gt_char_count), 6) AS micro_cer, round(word_errors / greatest(1, gt_word_count), 6) AS micro_wer, CAST(num_predicted_lines - num_matched_lines AS BIGINT) AS false_positives, CAST(num_gt_lines - num_matched_lines AS BIGINT) AS false_negatives FROM page")
+def ocr_page_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    gt, pr = gt_lines(spark, sf), pred_lines(spark, sf)
+    found = rounded(Q.page_metrics(gt, pr, M.line_match(gt, pr)))
+    return found.select("artifact_id", *PAGE_COLUMNS, "mean_cer", "mean_wer", "mean_iou", "micro_cer", "micro_wer", "false_positives", "false_negatives")
+
+
+@query(f"WITH {PAGE} SELECT profile, count(*) AS num_pages, {COUNTS}, {RATES} FROM pages GROUP BY profile")
+def ocr_pooled(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(Q.pooled(_pages(spark, sf), ["profile"]))
+
+
+@query(f"WITH {PAGE} SELECT profile, count(*) AS num_pages, {COUNTS}, CAST(NULL AS DOUBLE) AS micro_cer, CAST(NULL AS DOUBLE) AS line_recall FROM (SELECT * REPLACE (CASE WHEN profile = 'clean' THEN gt_char_count END AS gt_char_count) FROM pages) WHERE profile <> 'clean' GROUP BY profile")
+def pooled_missing_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of an older kind lack a count: no rate is shown."""
+    old = _pages(spark, sf).where("profile <> 'clean'").withColumn("gt_char_count", F.lit(None).cast("long"))
+    return rounded(Q.pooled(old, ["profile"])).select("profile", "num_pages", *Q.COUNTS, "micro_cer", "line_recall")
+
+
+@query(f"WITH {PAGE} SELECT language, template, profile, count(*) AS num_pages, count(DISTINCT family) AS num_family, {COUNTS}, {RATES}, round(avg(mean_cer), 6) AS avg_mean_cer, round(avg(mean_iou), 6) AS avg_mean_iou FROM pages GROUP BY language, template, profile")
+def summary_by_template(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(R.summary(_pages(spark, sf), ["language", "template", "profile"], ["mean_cer", "mean_iou"], "family"))
+
+
+@query(f"WITH {PAGE} SELECT panel, language AS x, profile AS series, round(y, 6) AS y FROM (SELECT language, profile, avg(mean_cer) AS mean_cer, avg(mean_wer) AS mean_wer FROM pages GROUP BY ALL) UNPIVOT (y FOR panel IN (mean_cer, mean_wer))")
+def chart_series(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(R.chart_series(_pages(spark, sf), "language", "profile", ["mean_cer", "mean_wer"]))
+
+
+# calibration
+
+SWEEPS = [("defocus_blur", [0.8, 1.6, 2.6], 1), ("sensor_noise", [5.0, 12.0], 2), ("faded_ink", [0.7, 0.4, 0.2], 1)]
+
+
+def _sweeps(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SWEEPS, "operation string, levels array<double>, repeats int")
+
+
+@query("SELECT operation, CAST(level AS BIGINT) AS level, value, CAST(repeat AS BIGINT) AS repeat, 'cal_' || operation || '_l' || level || '_r' || repeat AS condition FROM (VALUES ('defocus_blur', 1, 0.8::DOUBLE, 0), ('defocus_blur', 2, 1.6, 0), ('defocus_blur', 3, 2.6, 0), ('sensor_noise', 1, 5.0, 0), ('sensor_noise', 1, 5.0, 1), ('sensor_noise', 2, 12.0, 0), ('sensor_noise', 2, 12.0, 1), ('faded_ink', 1, 0.7, 0), ('faded_ink', 2, 0.4, 0), ('faded_ink', 3, 0.2, 0)) v(operation, level, value, repeat)")
+def condition_grid(spark: SparkSession, sf: str) -> DataFrame:
+    out = S.conditions(_sweeps(spark)).select("operation", F.col("level").cast("long").alias("level"), "value", F.col("repeat").cast("long").alias("repeat"), "condition")
+    return out
+
+
+@query("SELECT * FROM (VALUES ('a', 'level_count'), ('b', 'repeated_level'), ('b', 'level_order'), ('c', 'level_order')) v(operation, problem)")
+def sweep_validation(spark: SparkSession, sf: str) -> DataFrame:
+    bad = [("a", [1.0], 1), ("b", [1.0, 1.0], 1), ("c", [1.0, 2.0], 1), ("d", [1.0, 2.0, 3.0], 1)]
+    return S.sweep_problems(spark.createDataFrame(bad, "operation string, levels array<double>, repeats int"), ["c"])
+
+
+_CAL = f"""WITH {PAGE}, cond(operation, level, profile) AS (VALUES ('blur', 1, 'light_scan'), ('blur', 2, 'medium_scan'), ('ink', 1, 'heavy_scan')), res AS (SELECT * FROM pages WHERE NOT (doc_id % 10 = 3 AND profile = 'medium_scan')), base AS (SELECT DISTINCT doc_id, language, template FROM pages),
+ pairs AS (SELECT b.*, c.*, n.artifact_id IS NOT NULL AND c0.artifact_id IS NOT NULL AS paired, {', '.join(f'n.{c} AS n_{c}, c0.{c} AS c_{c}' for c in Q.COUNTS)} FROM base b CROSS JOIN cond c LEFT JOIN res n ON n.doc_id = b.doc_id AND n.profile = c.profile LEFT JOIN res c0 ON c0.doc_id = b.doc_id AND c0.profile = 'clean'),
+ cohort AS (SELECT * FROM (SELECT *, bool_and(paired) OVER (PARTITION BY operation, doc_id) AS complete FROM pairs) WHERE complete)"""
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _pages(spark, sf)
+    conds = spark.createDataFrame([("blur", 1, "light_scan"), ("blur", 2, "medium_scan"), ("ink", 1, "heavy_scan")], "operation string, level int, condition string")
+    results = pages.where(~((F.col("doc_id") % 10 == 3) & (F.col("profile") == "medium_scan")))
+    return R.pair_conditions(pages.select("doc_id", "language", "template").distinct(), conds, results, "doc_id")
+
+
+@query(_CAL + " SELECT operation, CAST(level AS BIGINT) AS level, count(*) AS pages, CAST(sum(paired::INT) AS BIGINT) AS paired FROM pairs GROUP BY ALL")
+def noisy_clean_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_pairs(spark, sf).groupBy("operation", "level").agg(F.count("*").alias("pages"), F.sum(F.col("paired").cast("int")).alias("paired")))
+
+
+@query(_CAL + " SELECT operation, doc_id, CAST(level AS BIGINT) AS level FROM cohort")
+def complete_cohort(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(R.complete_cohort(_pairs(spark, sf), "doc_id").select("operation", "doc_id", "level"))
+
+
+_CURVE = ", ".join(f"round(sum({s}_{a}) / nullif(sum({s}_{b}), 0), 6) AS {n}_{m}" for m, (a, b) in R.CURVES.items() for s, n in (("c", "clean"), ("n", "noisy"))) + ", " + ", ".join(f"round(sum(n_{a}) / nullif(sum(n_{b}), 0) - sum(c_{a}) / nullif(sum(c_{b}), 0), 6) AS delta_{m}" for m, (a, b) in R.CURVES.items())
+
+
+@query(_CAL + " ".join(f"{u} SELECT {scope} AS scope, operation, CAST(level AS BIGINT) AS level, count(*) AS num_pairs, {_CURVE} FROM cohort GROUP BY operation, level{by}" for u, scope, by in (("", "'overall'", ""), ("UNION ALL", "'language:' || language", ", language"), ("UNION ALL", "'template:' || template", ", template"))))
+def calibration_curves(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(R.calibration_curves(_pairs(spark, sf), "doc_id"))
+
+
+# structure
+
+LABELS = "['Section-header', 'Text', 'Picture', 'Formula', 'List Item', 'Table', 'heading4', 'Page-footer', '']"
+ALIAS = "CASE {0} WHEN 'section_header' THEN 'heading' WHEN 'section-header' THEN 'heading' WHEN 'heading1' THEN 'heading' WHEN 'heading2' THEN 'heading' WHEN 'heading3' THEN 'heading' WHEN 'title' THEN 'heading' WHEN 'text' THEN 'paragraph' WHEN 'text_line' THEN 'paragraph' WHEN 'list_item' THEN 'paragraph' WHEN 'picture' THEN 'image' WHEN 'figure' THEN 'image' WHEN 'equation' THEN 'formula' WHEN '' THEN 'unknown' ELSE {0} END"
+
+
+def _label(i):
+    return F.element_at(F.array(*[F.lit(x) for x in ("Section-header", "Text", "Picture", "Formula", "List Item", "Table", "heading4", "Page-footer", "")]), (F.pmod(i, F.lit(9)) + 1).cast("int"))
+
+
+@query(f"SELECT DISTINCT raw, {ALIAS.format('l')} AS label FROM (SELECT raw, replace(lower(trim(raw)), ' ', '_') AS l FROM (SELECT {LABELS}[CAST(doc_id % 9 AS INT) + 1] AS raw FROM documents))")
+def label_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    raw = table(spark, sf, "documents").select(_label(F.col("doc_id")).alias("raw")).distinct()
+    return raw.select("raw", X.normalize_label(F.col("raw")).alias("label"))
+
+
+STRUCT = f"""WITH {PAIRS}{_fold('taken', 'iou DESC, gt_index, pred_index', 0.5)}, typed AS (SELECT *, {ALIAS.format('g0')} AS gt_type FROM (SELECT artifact_id, gt_index, replace(lower({LABELS}[CAST(gt_index % 9 AS INT) + 1]), ' ', '_') AS g0 FROM gt)),
+ ptyped AS (SELECT *, {ALIAS.format('p0')} AS pred_type FROM (SELECT artifact_id, pred_index, replace(lower({LABELS}[CAST((pred_index // 2 + CASE WHEN pred_index % 5 = 0 THEN 1 ELSE 0 END) % 9 AS INT) + 1]), ' ', '_') AS p0 FROM pr)),
+ sm AS (SELECT t.artifact_id, t.gt_index, t.gt_type, k.pred_index, p.pred_type, k.iou FROM typed t LEFT JOIN taken k USING (artifact_id, gt_index) LEFT JOIN ptyped p ON p.artifact_id = k.artifact_id AND p.pred_index = k.pred_index)"""
+
+
+def _typed(spark: SparkSession, sf: str):
+    gt, pr = gt_lines(spark, sf), pred_lines(spark, sf)
+    predicted = pr.withColumn("pred_type", X.normalize_label(_label(F.expr("pred_index div 2") + F.when(F.col("pred_index") % 5 == 0, 1).otherwise(0))))
+    found = M.structure_match(gt, pr).withColumn("gt_type", X.normalize_label(_label(F.col("gt_index"))))
+    return found.join(predicted.select("artifact_id", "pred_index", "pred_type"), ["artifact_id", "pred_index"], "left"), predicted
+
+
+@query(STRUCT + """, a AS (SELECT artifact_id, count(*) AS g, count(pred_index) AS m, count(*) FILTER (WHERE gt_type = pred_type) AS t, coalesce(avg(iou), 0) AS miou FROM sm GROUP BY artifact_id), b AS (SELECT artifact_id, count(*) AS p FROM ptyped GROUP BY artifact_id),
+ r AS (SELECT artifact_id, g, m, t, miou, coalesce(p, 0) AS p, coalesce(2 * m / nullif(g + coalesce(p, 0), 0), 0) AS f1, coalesce(t / nullif(m, 0), 0) AS acc FROM a LEFT JOIN b USING (artifact_id))
+ SELECT artifact_id, g AS num_gt, m AS num_matched, t AS type_correct, p AS num_predicted, round(miou, 6) AS mean_matched_iou, round(coalesce(m / nullif(p, 0), 0), 6) AS precision, round(m / g, 6) AS recall, round(f1, 6) AS f1, round(acc, 6) AS type_accuracy, round(coalesce(t / nullif(p, 0), 0), 6) AS type_precision, round(t / g, 6) AS type_recall, round(coalesce(2 * t / nullif(g + p, 0), 0), 6) AS type_f1, round(0.4 * f1 + 0.3 * miou + 0.3 * acc, 6) AS structure_score FROM r""")
+def structure_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    found, predicted = _typed(spark, sf)
+    return rounded(X.structure_metrics(found, predicted))
+
+
+@query(STRUCT + """, a AS (SELECT gt_type AS type, count(*) AS g, count(*) FILTER (WHERE gt_type = pred_type) AS c FROM sm GROUP BY 1), b AS (SELECT pred_type AS type, count(*) AS p FROM ptyped GROUP BY 1)
+ SELECT replace(coalesce(a.type, b.type), '-', '_') AS type, coalesce(g, 0) AS n_gt, coalesce(c, 0) AS n_correct, coalesce(p, 0) AS n_predicted, round(coalesce(c / nullif(p, 0), 0), 6) AS precision, round(coalesce(c / nullif(g, 0), 0), 6) AS recall, round(coalesce(2 * c / nullif(coalesce(g, 0) + coalesce(p, 0), 0), 0), 6) AS f1 FROM a FULL JOIN b ON a.type = b.type""")
+def per_type_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    found, predicted = _typed(spark, sf)
+    out = X.per_type_metrics(found.withColumn("k", F.lit(0)), predicted.withColumn("k", F.lit(0)), ["k"])
+    return rounded(out.drop("k"))
+
+
+ELEMENTS = f"""{LINES}, el AS (SELECT CAST(doc_id AS VARCHAR) AS artifact_id, doc_id, pos, CASE WHEN doc_id % 7 = 0 AND pos = 2 THEN 'l1' ELSE 'l' || pos END AS id, CASE WHEN doc_id % 5 = 0 AND pos = 1 THEN 'gone' WHEN pos % 10 = 9 THEN NULL ELSE 'b' || (pos // 3) END AS parent_id, CASE WHEN pos % 13 = 12 THEN 'table' END AS owner_type, 1 + pos // 40 + CASE WHEN doc_id % 4 = 0 AND pos = 3 THEN 1 ELSE 0 END AS page_number, text, 2 - pos % 3 AS line_index, pos AS reading_order, 50.0::DOUBLE AS x, (5.0 * (pos % 40))::DOUBLE AS y, CASE WHEN doc_id % 6 = 0 AND pos = 0 THEN -1.0 ELSE 6.0 * length(text) END::DOUBLE AS w, 12.0::DOUBLE AS h FROM lines)"""
+
+
+def _line_elements(spark: SparkSession, sf: str) -> DataFrame:
+    d, p = F.col("doc_id"), F.col("pos")
+    pick = lambda c, a, b: F.when(c, a).otherwise(b)
+    return lines(spark, sf).select(d.cast("string").alias("artifact_id"), "doc_id", F.col("pos").alias("ord"), pick((d % 7 == 0) & (p == 2), F.lit("l1"), F.concat(F.lit("l"), p)).alias("id"), F.when((d % 5 == 0) & (p == 1), "gone").when(p % 10 == 9, None).otherwise(F.concat(F.lit("b"), F.expr("pos div 3"))).alias("parent_id"), F.when(p % 13 == 12, "table").alias("owner_type"), (1 + F.expr("pos div 40") + pick((d % 4 == 0) & (p == 3), F.lit(1), F.lit(0))).cast("int").alias("page_number"), "text", (2 - p % 3).alias("line_index"), p.alias("reading_order"), G.box(50.0, 5.0 * (p % 40), pick((d % 6 == 0) & (p == 0), F.lit(-1.0), 6.0 * F.length("text")), 12.0).alias("bbox"))
+
+
+@query(f"WITH {ELEMENTS} SELECT artifact_id, coalesce(parent_id, id) AS block_id, string_agg(text, ' ' ORDER BY line_index, reading_order, pos) AS text, count(*) AS n_lines, min(reading_order) AS reading_order, min(pos) AS first_ord, round(min(x), 6) AS x, round(min(y), 6) AS y, round(max(x + w) - min(x), 6) AS width, round(max(y + h) - min(y), 6) AS height FROM el WHERE owner_type IS NULL GROUP BY 1, 2")
+def text_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(X.text_blocks(_line_elements(spark, sf)))
+
+
+_ROLE = "CASE WHEN pos % 2 = 0 THEN 'line' ELSE 'cell' END"
+
+
+@query(f"WITH {ELEMENTS} SELECT artifact_id, id, {_ROLE} AS role, pos AS ord, row_number() OVER (PARTITION BY artifact_id, {_ROLE} ORDER BY page_number, CASE WHEN pos % 5 <> 4 THEN CAST(pos // 3 AS DOUBLE) ELSE x END, CASE WHEN pos % 5 <> 4 THEN CAST(line_index AS DOUBLE) ELSE -y END, id) AS reading_order FROM el WHERE doc_id % 7 <> 0")
+def reading_order(spark: SparkSession, sf: str) -> DataFrame:
+    e = _line_elements(spark, sf).where("doc_id % 7 <> 0").withColumn("role", F.when(F.col("ord") % 2 == 0, "line").otherwise("cell")).withColumn("source_index", F.when(F.col("ord") % 5 != 4, F.expr("ord div 3"))).withColumn("flow_order", F.lit(None).cast("int")).drop("reading_order")
+    return rounded(O.assign_reading_order(e).select("artifact_id", "id", "role", "ord", "reading_order"))
+
+
+@query(f"WITH {PAIRS}, q AS (SELECT *, x + w / 2 AS m FROM pr), r AS (SELECT *, min(m) OVER p AS lo, max(m) OVER p - min(m) OVER p AS wd FROM q WINDOW p AS (PARTITION BY artifact_id)) SELECT artifact_id, pred_index, CASE WHEN wd <= 0 THEN 0 ELSE least(2, CAST(trunc((m - lo) / nullif(wd, 0) * 3) AS BIGINT)) END AS \"column\" FROM r")
+def column_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(O.assign_columns(pred_lines(spark, sf), 3).select("artifact_id", "pred_index", "column"))
+
+
+@query(f"WITH {ELEMENTS} SELECT artifact_id, id, page_number, before AS previous_page FROM (SELECT *, lag(page_number) OVER (PARTITION BY artifact_id ORDER BY reading_order) AS before FROM el) WHERE page_number < before")
+def page_monotonic(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(O.page_goes_back(_line_elements(spark, sf).withColumn("role", F.lit("line"))).select("artifact_id", "id", "page_number", "previous_page"))
+
+
+_WORDS = f"WITH {LINES}, t AS (SELECT doc_id, pos, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS i FROM lines), w AS (SELECT *, (i * 37 + pos) % 100 - 5 AS conf FROM t WHERE word <> ''), g AS (SELECT doc_id, pos // 10 AS block_num, pos // 5 AS par_num, pos AS line_num, string_agg(word, ' ' ORDER BY i) AS text, min(i) AS first_i, coalesce(round(avg(conf) FILTER (WHERE conf > 0), 2), 0) AS confidence, min(10 * i) AS x0, max(10 * i + 5 * length(word)) AS x1 FROM w GROUP BY ALL)"
+
+
+@query(_WORDS + " SELECT CAST(doc_id AS VARCHAR) AS artifact_id, CAST(block_num AS BIGINT) AS block_num, CAST(par_num AS BIGINT) AS par_num, CAST(line_num AS BIGINT) AS line_num, text, confidence, x0::DOUBLE AS \"left\", (x1 - x0)::DOUBLE AS width, 'ocr_line_' || (row_number() OVER (PARTITION BY doc_id ORDER BY line_num) - 1) AS id FROM g")
+def word_to_line(spark: SparkSession, sf: str) -> DataFrame:
+    w = lines(spark, sf).select("doc_id", "pos", F.posexplode(F.split("text", " ")).alias("i", "text"))
+    p, i = F.col("pos"), F.col("i")
+    words = w.select(F.col("doc_id").cast("string").alias("artifact_id"), F.lit(5).alias("level"), F.expr("pos div 10").alias("block_num"), F.expr("pos div 5").alias("par_num"), p.alias("line_num"), (p * 1000 + i).alias("ord"), (10.0 * i).alias("left"), (12.0 * p).alias("top"), (5.0 * F.length("text")).alias("width"), F.lit(10.0).alias("height"), ((i * 37 + p) % 100 - 5).cast("double").alias("conf"), "text")
+    return rounded(X.words_to_lines(words).select("artifact_id", "block_num", "par_num", "line_num", "text", "confidence", "left", "width", "id"))
+
+
+# audit
+
+
+def _audited(spark: SparkSession, sf: str):
+    e = _line_elements(spark, sf).withColumn("type", F.lit("text_line")).withColumn("role", F.lit("line")).withColumn("owner_id", F.lit(None).cast("string")).drop("ord", "doc_id", "owner_type")
+    blocks = e.where("parent_id LIKE 'b%'").groupBy("artifact_id", "parent_id").agg(F.min("page_number").alias("page_number"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "id", "text"))), lambda r: r["text"]), " ").alias("text"), F.min("bbox.x").alias("x"), F.min("bbox.y").alias("y"), F.max(F.col("bbox.x") + F.col("bbox.width")).alias("x1"), F.max(F.col("bbox.y") + F.col("bbox.height")).alias("y1"))
+    late = F.col("artifact_id").cast("long") % 9 == 0
+    text = F.when(late & (F.col("parent_id") == "b0"), F.concat("text", F.lit("?"))).otherwise(F.col("text"))
+    as_rows = blocks.select("artifact_id", F.col("parent_id").alias("id"), F.lit(None).cast("string").alias("parent_id"), "page_number", text.alias("text"), F.lit(None).cast("int").alias("line_index"), F.lit(None).cast("int").alias("reading_order"), G.box(F.col("x"), F.col("y"), F.col("x1") - F.col("x"), F.col("y1") - F.col("y")).alias("bbox"), F.lit("paragraph").alias("type"), F.lit("block").alias("role"), F.lit(None).cast("string").alias("owner_id"))
+    every = e.unionByName(as_rows)
+    pages = every.select("artifact_id", "page_number").distinct().where("page_number < 5").withColumn("width", F.lit(595.0)).withColumn("height", F.lit(842.0))
+    return every, pages
+
+
+AUDIT = f"""WITH {ELEMENTS}, bl AS (SELECT artifact_id, parent_id AS id, min(page_number) AS page_number, string_agg(text, ' ' ORDER BY line_index, id) || CASE WHEN CAST(artifact_id AS BIGINT) % 9 = 0 AND parent_id = 'b0' THEN '?' ELSE '' END AS text, min(x) AS x, min(y) AS y, max(x + w) AS x1, max(y + h) AS y1 FROM el WHERE parent_id LIKE 'b%' GROUP BY artifact_id, parent_id),
+ al AS (SELECT artifact_id, id, parent_id, page_number, x, y, x + w AS x1, y + h AS y1, 'line' AS role, reading_order FROM el UNION ALL SELECT artifact_id, id, NULL, page_number, x, y, x1, y1, 'block', NULL FROM bl),
+ ch AS (SELECT c.*, p.id AS pid, p.page_number AS pp, p.x AS px, p.y AS py, p.x1 AS px1, p.y1 AS py1 FROM al c LEFT JOIN (SELECT * FROM bl) p ON p.artifact_id = c.artifact_id AND p.id = c.parent_id),
+ sp AS (SELECT artifact_id, parent_id AS id, string_agg(regexp_replace(text, '[ -]', '', 'g'), '' ORDER BY line_index, id) AS s FROM el WHERE parent_id IS NOT NULL GROUP BY 1, 2),
+ found AS (SELECT artifact_id, id AS element_id, 'bbox_extent' AS code FROM al WHERE x1 - x <= 0 OR y1 - y <= 0
+  UNION ALL SELECT artifact_id, id, 'element_page' FROM al WHERE page_number >= 5
+  UNION ALL SELECT artifact_id, id, 'bbox_outside_page' FROM al WHERE x1 > x AND page_number < 5 AND (x < -0.01 OR y < -0.01 OR x1 > 595.01 OR y1 > 842.01)
+  UNION ALL SELECT artifact_id, id, 'parent_missing' FROM ch WHERE parent_id IS NOT NULL AND pid IS NULL
+  UNION ALL SELECT artifact_id, id, 'parent_page' FROM ch WHERE pp <> page_number
+  UNION ALL SELECT artifact_id, id, 'parent_bounds' FROM ch WHERE pp = page_number AND x1 > x AND (x < px - 0.01 OR y < py - 0.01 OR x1 > px1 + 0.01 OR y1 > py1 + 0.01)
+  UNION ALL SELECT artifact_id, id, 'duplicate_id' FROM al GROUP BY 1, 2 HAVING count(*) > 1
+  UNION ALL SELECT artifact_id, id, 'reading_order_page' FROM (SELECT *, lag(page_number) OVER (PARTITION BY artifact_id ORDER BY reading_order) AS b FROM al WHERE role = 'line') WHERE page_number < b
+  UNION ALL SELECT bl.artifact_id, bl.id, 'parent_text' FROM bl JOIN sp USING (artifact_id, id) WHERE s <> regexp_replace(text, '[ -]', '', 'g'))"""
+
+
+@query(AUDIT + " SELECT artifact_id, element_id, code, 'error' AS severity FROM found")
+def audit_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return A.findings(*_audited(spark, sf)).select("artifact_id", "element_id", "code", "severity")
+
+
+@query(AUDIT + " SELECT code, count(*) AS n, count(DISTINCT artifact_id) AS artifacts FROM found GROUP BY code")
+def audit_by_code(spark: SparkSession, sf: str) -> DataFrame:
+    return A.findings(*_audited(spark, sf)).groupBy("code").agg(F.count("*").alias("n"), F.count_distinct("artifact_id").alias("artifacts"))
+
+
+@query(AUDIT + " SELECT artifact_id, count(*) AS errors, CAST(0 AS BIGINT) AS warnings, false AS passed FROM found GROUP BY artifact_id")
+def audit_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return A.verdict(A.findings(*_audited(spark, sf)))
+
+
+@query(AUDIT + " SELECT artifact_id, 'line' AS kind, id, 'unlisted' AS side FROM (SELECT DISTINCT artifact_id, id FROM el WHERE pos % 11 = 10 AND NOT (doc_id % 7 = 0 AND pos = 2)) EXCEPT ALL SELECT artifact_id, 'line', id, 'unlisted' FROM el WHERE pos % 11 <> 10")
+def audit_order_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    e = _line_elements(spark, sf).withColumn("role", F.lit("line"))
+    return A.order_coverage(e, e.where("ord % 11 <> 10").select("artifact_id", F.lit("line").alias("kind"), "id"))
+
+
+@query(f"WITH RECURSIVE {ELEMENTS}, n AS (SELECT artifact_id, 'n' || pos AS id, CASE WHEN doc_id % 8 = 0 AND pos = 0 THEN 'n2' WHEN pos > 0 THEN 'n' || (pos - 1) END AS parent_id FROM el WHERE pos < 6), walk AS (SELECT artifact_id, id, parent_id AS up, 1 AS d FROM n WHERE parent_id IS NOT NULL UNION ALL SELECT w.artifact_id, w.id, n.parent_id, d + 1 FROM walk w JOIN n ON n.artifact_id = w.artifact_id AND n.id = w.up WHERE n.parent_id IS NOT NULL AND d < 64) SELECT artifact_id, id AS element_id, 'parent_cycle' AS code FROM walk WHERE d = 64")
+def audit_parent_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("pos")
+    e = lines(spark, sf).where("pos < 6").select(F.col("doc_id").cast("string").alias("artifact_id"), F.concat(F.lit("n"), p).alias("id"), F.when((F.col("doc_id") % 8 == 0) & (p == 0), "n2").when(p > 0, F.concat(F.lit("n"), p - 1)).alias("parent_id"))
+    return A.parent_cycles(e)
