@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
 
 from .text import bind
 
@@ -144,7 +145,7 @@ def _points(value) -> np.ndarray:
     return np.array([list(p) for p in value], float).reshape(-1, 2) if value is not None else np.zeros((0, 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def polygon_visible_fraction(polygon: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """Share of a convex polygon's area within the canvas, between 0 and 1."""
 
@@ -157,7 +158,7 @@ def polygon_visible_fraction(polygon: pd.Series, width: pd.Series, height: pd.Se
     return pd.Series([one(*x) for x in zip(polygon, width, height, strict=True)])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def polygon_valid(polygon: pd.Series) -> pd.Series:
     return pd.Series([is_simple(_points(p)) for p in polygon])
 

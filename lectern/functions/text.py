@@ -9,6 +9,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: White space as Python's str.split() sees it.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -114,7 +115,7 @@ def clean_heading(text: Column) -> Column:
     return clean_wiki(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[\s*edit\s*\]", ""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio, its rule for frequent characters of b included."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
@@ -124,7 +125,7 @@ def _no_constants(name: str):
     raise ValueError(f"{name} is not allowed in canonical JSON")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json_sha256(value: pd.Series) -> pd.Series:
     """Of JSON texts: SHA-256 of the form with sorted keys, no spaces and characters as they are."""
 
@@ -137,7 +138,7 @@ def canonical_json_sha256(value: pd.Series) -> pd.Series:
     return pd.Series([one(x) for x in value])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def derived_seed(parts: pd.Series) -> pd.Series:
     """Of arrays of strings: SHA-256 of their JSON array, other characters escaped."""
     return pd.Series([None if p is None else hashlib.sha256(json.dumps(list(p), separators=(",", ":")).encode()).hexdigest() for p in parts])

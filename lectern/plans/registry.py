@@ -416,3 +416,311 @@ def audit_parent_cycle(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("pos")
     e = lines(spark, sf).where("pos < 6").select(F.col("doc_id").cast("string").alias("artifact_id"), F.concat(F.lit("n"), p).alias("id"), F.when((F.col("doc_id") % 8 == 0) & (p == 0), "n2").when(p > 0, F.concat(F.lit("n"), p - 1)).alias("parent_id"))
     return A.parent_cycles(e)
+
+
+# selection, splits, ledgers
+
+
+def _stratified(spark: SparkSession, sf: str) -> DataFrame:
+    template = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("doc_id") % 3 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), template.alias("template"), F.col("source").alias("family"))
+
+
+DOCS = "d AS (SELECT doc_id, lang AS language, ['simple_article', 'scientific_paper', 'magazine_layout'][CAST(doc_id % 3 AS INT) + 1] AS template, source AS family FROM documents)"
+
+
+@query(f"WITH {DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY language, template ORDER BY h) AS turn FROM (SELECT *, sha256('pilot:' || doc_id) AS h FROM d)) SELECT doc_id, language, template, turn FROM r ORDER BY turn, language, template, h LIMIT 50")
+def pilot_round_robin(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(S.round_robin(_stratified(spark, sf), ["language", "template"], S.hash_rank("pilot", "doc_id"), 50).select("doc_id", "language", "template", "turn"))
+
+
+@query(f"WITH {DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY language, template ORDER BY h) AS turn FROM (SELECT *, sha256('cal:' || doc_id) AS h, list_position(['de', 'en', 'es', 'fr'], language) - 1 AS li, list_position(['simple_article', 'scientific_paper', 'magazine_layout'], template) - 1 AS ti FROM d)), p AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY turn, (ti - li + 6) % 3, h) AS pick FROM r) SELECT doc_id, language, template, pick FROM p WHERE pick <= 12")
+def calibration_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    place = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c)) - 1
+    out = S.cycle(_stratified(spark, sf), "language", "template", place(["de", "en", "es", "fr"], "language"), place(TEMPLATES, "template"), 3, S.hash_rank("cal", "doc_id"), 12)
+    return rounded(out.select("doc_id", "language", "template", "pick"))
+
+
+@query("WITH f AS (SELECT DISTINCT source AS family FROM documents), r AS (SELECT family, row_number() OVER (ORDER BY sha256('split:' || family), family) AS r, count(*) OVER () AS n FROM f) SELECT family, CASE WHEN r <= least(n - 1, greatest(1, CAST(ceil(n * 0.3) AS BIGINT))) THEN 'dev' ELSE 'test' END AS split FROM r")
+def split_assign(spark: SparkSession, sf: str) -> DataFrame:
+    families = table(spark, sf, "documents").select(F.col("source").alias("family")).distinct()
+    return S.split_families(families, "split", 0.3)
+
+
+@query("WITH f AS (SELECT DISTINCT source AS family FROM documents), r AS (SELECT family, row_number() OVER (ORDER BY sha256('split:' || family), family) AS r, count(*) OVER () AS n FROM f), s AS (SELECT family, CASE WHEN r <= ceil(n * 0.3) THEN 'dev' ELSE 'test' END AS split FROM r) SELECT lang AS language, split, count(*) AS docs FROM documents JOIN s ON source = family GROUP BY 1, 2")
+def split_apply(spark: SparkSession, sf: str) -> DataFrame:
+    plan = split_assign(spark, sf)
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("language"), F.col("source").alias("family"))
+    return docs.join(plan, "family").groupBy("language", "split").agg(F.count("*").alias("docs"))
+
+
+@query("SELECT d.source AS family, count(*) AS uncovered FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL GROUP BY 1")
+def coverage_anti(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("family"))
+    return d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").groupBy("family").agg(F.count("*").alias("uncovered"))
+
+
+@query("SELECT lang AS language, count(*) AS labelled FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1")
+def scenario_subset(spark: SparkSession, sf: str) -> DataFrame:
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return table(spark, sf, "documents").join(good, "doc_id", "left_semi").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("labelled"))
+
+
+@query(f"WITH {DOCS}, k AS (SELECT *, row_number() OVER (PARTITION BY language, family ORDER BY doc_id) AS n FROM d) SELECT language, family, doc_id FROM k WHERE n <= 2")
+def first_per_language(spark: SparkSession, sf: str) -> DataFrame:
+    return S.first_per(_stratified(spark, sf), ["language", "family"], ["doc_id"], 2).select("language", "family", "doc_id")
+
+
+@query("SELECT source AS family, arg_max(doc_id, (n_chars, -doc_id)) AS doc_id FROM documents GROUP BY 1")
+def best_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The richest page of each family, the first of equal ones."""
+    return table(spark, sf, "documents").groupBy(F.col("source").alias("family")).agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"))
+
+
+@query("SELECT 'sha256' AS signal, h AS value, count(DISTINCT source) AS families FROM (SELECT sha256(text) AS h, source FROM documents) GROUP BY h HAVING count(DISTINCT source) > 1 UNION ALL SELECT 'head', h, count(DISTINCT source) FROM (SELECT substr(text, 1, 40) AS h, source FROM documents WHERE text <> '') GROUP BY h HAVING count(DISTINCT source) > 1")
+def family_leakage(spark: SparkSession, sf: str) -> DataFrame:
+    m = table(spark, sf, "documents").select(F.col("source").alias("family"), F.sha2("text", 256).alias("sha256"), F.substring("text", 1, 40).alias("head"))
+    return S.leaking_signals(m, "family", ["sha256", "head"])
+
+
+@query("SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return S.duplicates(table(spark, sf, "documents").select(F.sha2("text", 256).alias("sha")), ["sha"])
+
+
+@query("SELECT 'doc/' || doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'missing' WHEN doc_id % 10 = 1 THEN 'size' ELSE 'sha256' END AS problem FROM documents WHERE doc_id % 10 IN (0, 1) OR (doc_id % 10 = 2 AND sha256(text) <> sha256(text || 'x'))")
+def fingerprint_verify(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    k = F.col("doc_id") % 10
+    path = F.concat(F.lit("doc/"), F.col("doc_id"))
+    recorded = d.select(path.alias("path"), F.sha2("text", 256).alias("sha256"), F.length("text").alias("size"))
+    observed = d.where(k != 0).select(path.alias("path"), F.sha2(F.when(k == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("sha256"), (F.length("text") + F.when(k == 1, 1).otherwise(0)).alias("size"))
+    return S.verify_fingerprints(recorded.union(recorded), observed)
+
+
+GAPS = ["font", "generator", "license", "noise", "pdf", "render", "seed", "source", "split"]
+
+
+@query(f"SELECT doc_id, list_aggregate(list_sort(list_distinct(list_concat(list_filter({GAPS}, lambda g: NOT (g = 'pdf' AND doc_id % 2 = 0) AND NOT (g = 'seed' AND doc_id % 3 = 0)), CASE WHEN doc_id % 5 = 0 THEN ['checksum'] ELSE [] END))), 'string_agg', ',') AS gaps FROM documents")
+def gap_algebra(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("doc_id")
+    maybe = lambda c, x: F.when(c, F.array(F.lit(x))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(maybe(n % 2 == 0, "pdf"), maybe(n % 3 == 0, "seed")).alias("closed"), maybe(n % 5 == 0, "checksum").alias("added"))
+    return S.gap_algebra(rows, GAPS).select("doc_id", F.array_join("gaps", ",").alias("gaps"))
+
+
+@query("WITH r AS (SELECT lang, source, CASE WHEN doc_id % 2 = 0 THEN ['pdf'] ELSE ['pdf', 'seed'] END AS gaps FROM documents) SELECT 'language' AS dimension, lang AS value, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'family', source, count(*) FROM r GROUP BY 2 UNION ALL SELECT 'gap', g, count(*) FROM (SELECT unnest(gaps) AS g FROM r) GROUP BY 2")
+def inventory_summary(spark: SparkSession, sf: str) -> DataFrame:
+    gaps = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("pdf"))).otherwise(F.array(F.lit("pdf"), F.lit("seed")))
+    return R.inventory_summary(table(spark, sf, "documents").select(F.col("lang").alias("language"), F.col("source").alias("family"), gaps.alias("gaps")), ["language", "family"])
+
+
+RUNS = """ev AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, 'a' || (event_id % 40) AS artifact_id, CASE WHEN event_type IN ('click', 'view') THEN 'start' ELSE 'result' END AS event, CASE WHEN event_id % 9 = 0 THEN 'failed' ELSE 'success' END AS status, round(value, 3) AS inference_seconds, round(value, 3) + 1 AS total_seconds FROM events),
+ sel AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS run_id, 'a' || n AS artifact_id FROM events, (SELECT unnest(range(42)) AS n)),
+ ph AS (SELECT run_id, artifact_id, arg_max(struct_pack(s := status, i := inference_seconds, t := total_seconds, f := CASE WHEN n = 1 THEN 'first_call' ELSE 'subsequent_call' END), event_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS n FROM ev WHERE event = 'result') GROUP BY ALL),
+ led AS (SELECT s.run_id, s.artifact_id, coalesce(r.s, CASE WHEN b.run_id IS NULL THEN 'not_run' WHEN CAST(s.run_id AS BIGINT) % 2 = 0 THEN 'timeout' ELSE 'worker_failed' END) AS status, r.i AS inference_seconds, r.t AS total_seconds, r.f AS phase FROM sel s LEFT JOIN ph USING (run_id, artifact_id) LEFT JOIN (SELECT DISTINCT run_id, artifact_id FROM ev WHERE event = 'start') b ON b.run_id = s.run_id AND b.artifact_id = s.artifact_id)"""
+
+
+def _run_events(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("ord"), F.concat(F.lit("a"), F.col("event_id") % 40).alias("artifact_id"), F.when(F.col("event_type").isin("click", "view"), "start").otherwise("result").alias("event"), F.when(F.col("event_id") % 9 == 0, "failed").otherwise("success").alias("status"), F.round("value", 3).alias("inference_seconds"), (F.round("value", 3) + 1).alias("total_seconds"))
+
+
+def _ledger(spark: SparkSession, sf: str) -> DataFrame:
+    e = _run_events(spark, sf)
+    selection = e.select("run_id").distinct().select("run_id", F.explode(F.sequence(F.lit(0), F.lit(41))).alias("n")).select("run_id", F.concat(F.lit("a"), "n").alias("artifact_id"))
+    late = e.where(F.col("run_id").cast("long") % 2 == 0)
+    return S.ledger(selection, e.where("event = 'start'"), S.call_phase(e.where("event = 'result'"), "run_id", "ord"), late)
+
+
+@query(f"WITH {RUNS} SELECT run_id, artifact_id, status, phase, round(inference_seconds, 3) AS inference_seconds FROM led")
+def ledger_status(spark: SparkSession, sf: str) -> DataFrame:
+    return _ledger(spark, sf).select("run_id", "artifact_id", "status", "phase", F.round("inference_seconds", 3).alias("inference_seconds"))
+
+
+@query(f"WITH {RUNS} SELECT run_id, count(*) AS planned, {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS n_{s}" for s in ('success', 'failed', 'timeout', 'worker_failed', 'not_run'))}, round(avg(l), 6) AS mean_later, round(median(l), 6) AS median_later, round(max(inference_seconds) FILTER (WHERE phase = 'first_call'), 6) AS first_call, round(sum(total_seconds), 6) AS seconds, round(count(*) FILTER (WHERE status = 'success') / count(*), 6) AS success_rate, round(60 * count(*) FILTER (WHERE status = 'success') / sum(total_seconds), 6) AS per_minute FROM (SELECT *, CASE WHEN status = 'success' AND phase = 'subsequent_call' THEN inference_seconds END AS l FROM led) GROUP BY run_id")
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(R.run_summary(_ledger(spark, sf), ["run_id"]))
+
+
+@query("SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 'first_call' ELSE 'subsequent_call' END AS phase FROM events")
+def call_phase(spark: SparkSession, sf: str) -> DataFrame:
+    return S.call_phase(table(spark, sf, "events"), "user_id", "event_id").select("event_id", "phase")
+
+
+@query("SELECT count(*) FILTER (WHERE quality = 0) AS errors, count(*) FILTER (WHERE toxic = 1) AS warnings, round(max(CASE WHEN quality = 0 THEN 0.5::DOUBLE WHEN toxic = 1 THEN 0.25::DOUBLE END), 6) AS max_error, CAST(0 AS BIGINT) AS accepted, CAST(0 AS BIGINT) AS defects, count(*) AS pending, CAST(NULL AS DOUBLE) AS defect_rate FROM labels")
+def audit_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Nobody has reviewed: the defect rate is null."""
+    l = table(spark, sf, "labels")
+    bad, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    found = l.select(F.explode(F.array_compact(F.array(F.when(bad, F.struct(F.lit("error").alias("severity"), F.lit(0.5).alias("error_px"))), F.when(toxic, F.struct(F.lit("warning").alias("severity"), F.lit(0.25).alias("error_px")))))).alias("f")).select("f.*")
+    return rounded(R.audit_rollup(found, l.select(F.lit("pending").alias("status"))))
+
+
+@query("SELECT item_id, n, pos, text FROM (SELECT doc_id AS item_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, pos, CASE WHEN length(line) > 60 THEN regexp_replace(substr(line, 1, 60), ' [^ ]*$', '') ELSE line END AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE lang = 'en') WHERE pos % 3 <> 1 AND trim(regexp_replace(line, '[ \t\r]+', ' ', 'g')) <> '') WHERE n <= 3")
+def prefix_excerpt(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("item_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("type", F.when(F.col("pos") % 3 == 1, "formula").otherwise("paragraph"))
+    return rounded(S.excerpt(items, "item_id", 60, 3, ["paragraph", "heading"]).select("item_id", "n", "pos", "text"))
+
+
+@query("WITH c AS (SELECT l_orderkey AS t, l_linenumber AS id, l_linenumber - 1 AS r, l_partkey % 3 AS c, 1 + l_suppkey % 2 AS rs, 1 + l_partkey % 2 AS cs FROM lineitem), s AS (SELECT t, id, r + dr AS r, c + dc AS c FROM c, (VALUES (0), (1)) a(dr), (VALUES (0), (1)) b(dc) WHERE dr < rs AND dc < cs) SELECT t, CAST(r AS BIGINT) AS r, c, count(*) AS n FROM s GROUP BY t, r, c HAVING count(*) > 1")
+def table_slots(spark: SparkSession, sf: str) -> DataFrame:
+    one = lambda e: F.expr(e)
+    cells = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("t"), F.col("l_linenumber").alias("id"), one("l_linenumber - 1").alias("row"), one("l_partkey % 3").alias("col"), one("1 + l_suppkey % 2").alias("rowspan"), one("1 + l_partkey % 2").alias("colspan"))
+    return rounded(S.table_slots(cells, ["t"]))
+
+
+# scalar functions
+
+
+@query("SELECT part AS name, trim(regexp_replace(part, '[^a-zA-Z0-9]+', '_', 'g'), '_') AS slug, 'text_line_' || lpad(CAST(k % 1000 AS VARCHAR), 4, '0') AS block, 'b_line_' || lpad(CAST(k % 100 AS VARCHAR), 3, '0') AS line FROM (SELECT p_name AS part, p_partkey AS k FROM part)")
+def slug_ids(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(F.col("p_name").alias("name"), T.slug(F.col("p_name"), "").alias("slug"), T.block_id(F.lit("text_line"), k % 1000).alias("block"), T.line_id(F.lit("b"), k % 100).alias("line"))
+
+
+@query(f"WITH {PAIRS}, t AS (SELECT p.artifact_id, pred_index, g.text AS a, p.text AS b FROM pr p JOIN gt g ON g.artifact_id = p.artifact_id AND g.gt_index = p.pred_index // 2) SELECT artifact_id, pred_index, {NORM.format('a')} AS norm, levenshtein({NORM.format('a')}, {NORM.format('b')}) AS char_errors, round(levenshtein({NORM.format('a')}, {NORM.format('b')}) / greatest(1, length({NORM.format('a')})), 6) AS cer FROM t")
+def text_distance(spark: SparkSession, sf: str) -> DataFrame:
+    g = gt_lines(spark, sf).select("artifact_id", "gt_index", F.col("text").alias("a"))
+    p = pred_lines(spark, sf).select("artifact_id", "pred_index", F.expr("pred_index div 2").cast("int").alias("gt_index"), F.col("text").alias("b"))
+    j = p.join(g, ["artifact_id", "gt_index"])
+    return rounded(j.select("artifact_id", "pred_index", T.normalize_text(F.col("a")).alias("norm"), T.char_errors(F.col("a"), F.col("b")).alias("char_errors"), T.cer(F.col("a"), F.col("b")).alias("cer")))
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, regexp_replace(text, '[ -]+', '', 'g') AS signature, CASE WHEN pos % 4 = 0 THEN 'N/A' ELSE printf('%.4f', length(text) / 7) END AS shown FROM lines")
+def signatures(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(lines(spark, sf).select("doc_id", "pos", T.text_signature(F.col("text")).alias("signature"), T.format_metric(F.when(F.col("pos") % 4 != 0, F.length("text") / 7)).alias("shown")))
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS event_id, event_id % 2 = 0 AS with_offset, regexp_full_match(replace(replace(v, ',', ''), '%', ''), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') AS numeric FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '1,234.5' WHEN 1 THEN '12%' WHEN 2 THEN 'abc' WHEN 3 THEN '-1e3' ELSE '1.2.3' END AS v FROM events)")
+def cell_and_time_checks(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("event_id")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(i % 2 == 0, "+02:00").otherwise(""))
+    value = F.element_at(F.array(*map(F.lit, ("1,234.5", "12%", "abc", "-1e3", "1.2.3"))), (i % 5 + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", T.has_offset(stamp).alias("with_offset"), T.is_numeric_cell(value).alias("numeric"))
+
+
+@query("SELECT raw, round(px, 6) AS px FROM (VALUES ('10', 10.0::DOUBLE), ('10px', 10.0), ('72pt', 96.0), ('1in', 96.0), ('2.54cm', 96.0), ('25.4mm', 96.0), ('1pc', 16.0), ('50%', NULL), ('auto', NULL)) v(raw, px)")
+def svg_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    raw = spark.createDataFrame([(x,) for x in ("10", "10px", "72pt", "1in", "2.54cm", "25.4mm", "1pc", "50%", "auto")], "raw string")
+    return rounded(raw.select("raw", T.svg_pixels(F.col("raw")).alias("px")))
+
+
+@query(f"WITH {LINES} SELECT doc_id, string_agg(trim(text), chr(10) ORDER BY pos) AS joined FROM lines WHERE pos < 4 GROUP BY doc_id")
+def ordered_text(spark: SparkSession, sf: str) -> DataFrame:
+    got = lines(spark, sf).where("pos < 4").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda r: F.concat(F.lit("  "), r["text"], F.lit(" \n"))).alias("ts"))
+    return got.select("doc_id", T.join_ordered(F.array_append("ts", F.lit(" "))).alias("joined"))
+
+
+@query("SELECT url, page_id, regexp_replace(trim(regexp_replace(t, ' +([,.;:!?])', '\\1', 'g')), ' +', ' ', 'g') AS cleaned FROM (SELECT url, page_id, regexp_replace('Title[3] of ( ' || page_id || ' ) , end [12] .', '\\[[0-9]+\\]', '', 'g') AS t0, replace(replace(t0, '( ', '('), ' )', ')') AS t FROM pages)")
+def wiki_cleanup(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit("Title[3] of ( "), F.col("page_id"), F.lit(" ) , end [12] ."))
+    return table(spark, sf, "pages").select("url", "page_id", T.clean_wiki(raw).alias("cleaned"))
+
+
+@query()
+def canonical_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash seals of the events' properties and of derived seeds, in Arrow batches."""
+    return table(spark, sf, "events").select("event_id", T.canonical_json_sha256(F.col("props")).alias("seal"), T.derived_seed(F.array(F.lit("seed"), F.col("event_id").cast("string"))).alias("seed"))
+
+
+# geometry and scope
+
+_AFF = "(1.0, 0.05, -3.0, -0.02, 1.0, 7.0)"
+
+
+@query(f"WITH {GT}, px AS (SELECT artifact_id, gt_index, x * 2 AS x0, (842 - y - h) * 2 AS y0, w * 2 AS w, h * 2 AS h FROM gt), q AS (SELECT *, unnest([x0, x0 + w, x0 + w, x0]) AS cx, unnest([y0, y0, y0 + h, y0 + h]) AS cy FROM px), a AS (SELECT artifact_id, gt_index, cx + 0.05 * cy - 3.0 AS tx, -0.02 * cx + cy + 7.0 AS ty FROM q), b AS (SELECT artifact_id, gt_index, greatest(0, least(min(tx), 1190)) AS x0, greatest(0, least(max(tx), 1190)) AS x1, greatest(0, least(min(ty), 1684)) AS y0, greatest(0, least(max(ty), 1684)) AS y1 FROM a GROUP BY ALL) SELECT artifact_id, gt_index, round(x0, 6) AS x, round(y0, 6) AS y, round(x1 - x0, 6) AS width, round(y1 - y0, 6) AS height FROM b")
+def affine_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    px = G.to_pixels(F.col("bbox"), F.lit(842.0), F.lit(2.0))
+    moved = G.apply_affine(G.polygon_of(F.col("b")), [F.lit(v) for v in (1.0, 0.05, -3.0, -0.02, 1.0, 7.0)])
+    out = gt_lines(spark, sf).select("artifact_id", "gt_index", px.alias("b")).select("artifact_id", "gt_index", G.envelope(moved, F.lit(1190.0), F.lit(1684.0)).alias("e"))
+    return rounded(out.select("artifact_id", "gt_index", "e.*"))
+
+
+_UNITS = "u AS (SELECT artifact_id, gt_index, language, profile, k, x + 40 * k AS x, y, w, h, 300.0::DOUBLE AS cw, 150.0::DOUBLE AS ch, gt_index % 17 = 5 AS in_region FROM gt), v AS (SELECT *, CASE WHEN x >= -0.05 AND y >= -0.05 AND x + w <= cw + 0.05 AND y + h <= ch + 0.05 THEN 'inside' WHEN x >= cw OR y >= ch OR x + w <= 0 OR y + h <= 0 THEN 'outside' ELSE 'partial' END AS visibility FROM u), e AS (SELECT *, CASE WHEN in_region THEN 'manual_region' WHEN visibility = 'outside' THEN 'fully_clipped' WHEN visibility <> 'inside' THEN 'partially_clipped' END AS reason FROM v)"
+
+
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    b = F.col("bbox")
+    u = gt_lines(spark, sf).select("artifact_id", "gt_index", "language", "profile", G.box(b["x"] + 40 * F.col("k"), b["y"], b["width"], b["height"]).alias("bbox"), F.lit(300.0).alias("width"), F.lit(150.0).alias("height"), (F.col("gt_index") % 17 == 5).alias("in_region"), F.lit(True).alias("lines_inside"))
+    return V.eligibility(u)
+
+
+@query(f"WITH {GT}, {_UNITS} SELECT artifact_id, gt_index, visibility, reason FROM e")
+def scope_eligibility(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_units(spark, sf).select("artifact_id", "gt_index", "visibility", "reason"))
+
+
+@query(f"WITH {GT}, {_UNITS} SELECT artifact_id, gt_index, round(greatest(0, least(x + w, cw) - greatest(x, 0)) * greatest(0, least(y + h, ch) - greatest(y, 0)) / (w * h), 6) AS fraction FROM u")
+def clip_axis_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_units(spark, sf).select("artifact_id", "gt_index", G.visible_fraction(F.col("bbox"), F.col("width"), F.col("height")).alias("fraction")))
+
+
+@query(f"WITH {GT}, {_UNITS} SELECT artifact_id, gt_index, round(greatest(0, least(x + w, cw) - greatest(x, 0)) * greatest(0, least(y + h, ch) - greatest(y, 0)) / (w * h), 6) AS fraction, true AS valid FROM u")
+def clip_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """The polygon kernel on the same boxes."""
+    u = _units(spark, sf).select("artifact_id", "gt_index", G.polygon_of(F.col("bbox")).alias("p"), "width", "height")
+    return rounded(u.select("artifact_id", "gt_index", G.polygon_visible_fraction("p", "width", "height").alias("fraction"), G.polygon_valid("p").alias("valid")))
+
+
+_FILTER = f"WITH {PAIRS}, {_UNITS}, pp AS (SELECT artifact_id, pred_index, x + 40 * (CASE split_part(artifact_id, '_', 2) WHEN 'clean' THEN 0 WHEN 'light' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) + 2 AS x, y + 1 AS y, w - 4 AS w, h - 2 AS h FROM pr), ov AS (SELECT artifact_id, pred_index, bool_or(e.reason IS NULL) AS good, bool_or(e.reason IS NOT NULL AND p.x >= e.x AND p.y >= e.y AND p.x + p.w <= e.x + e.w AND p.y + p.h <= e.y + e.h) AS covered FROM pp p JOIN e USING (artifact_id) WHERE p.x < e.x + e.w AND e.x < p.x + p.w AND p.y < e.y + e.h AND e.y < p.y + p.h AND p.w > 0 GROUP BY ALL), fl AS (SELECT artifact_id, pred_index, CASE WHEN NOT coalesce(covered, false) THEN 'scorable' WHEN good THEN 'eligible_gt_overlap' ELSE 'inside_ignore_regions' END AS reason FROM pp LEFT JOIN ov USING (artifact_id, pred_index))"
+
+
+def _filtered(spark: SparkSession, sf: str) -> DataFrame:
+    units, b = _units(spark, sf), F.col("bbox")
+    name = F.substring_index(F.expr("substring(artifact_id, instr(artifact_id, '_') + 1)"), "_", 1)
+    k = F.when(name == "clean", 0).when(name == "light", 1).when(name == "medium", 2).otherwise(3)
+    p = pred_lines(spark, sf).select("artifact_id", "pred_index", G.box(b["x"] + 40 * k + 2, b["y"] + 1, b["width"] - 4, b["height"] - 2).alias("bbox"))
+    return V.filter_boxes(p, units.where("reason IS NULL"), units.where("reason IS NOT NULL"))
+
+
+@query(_FILTER + " SELECT artifact_id, pred_index, reason, reason <> 'inside_ignore_regions' AS kept FROM fl")
+def scope_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_filtered(spark, sf))
+
+
+_EXCLUDED = ", ".join(f"count(*) FILTER (WHERE reason = '{r}') AS excluded_{r}" for r in ("fully_clipped", "partially_clipped", "incomplete_text_block", "manual_region"))
+
+
+@query(_FILTER + f", g AS (SELECT artifact_id, count(*) AS input_gt, count(*) FILTER (WHERE reason IS NULL) AS eligible_gt, {_EXCLUDED} FROM e GROUP BY 1), p AS (SELECT artifact_id, count(*) AS input_predictions, count(*) FILTER (WHERE reason <> 'inside_ignore_regions') AS retained_predictions, count(*) FILTER (WHERE reason = 'eligible_gt_overlap') AS protected_predictions FROM fl GROUP BY 1) SELECT artifact_id, input_gt, eligible_gt, excluded_fully_clipped, excluded_partially_clipped, excluded_incomplete_text_block, excluded_manual_region, coalesce(input_predictions, 0) AS input_predictions, coalesce(retained_predictions, 0) AS retained_predictions, coalesce(protected_predictions, 0) AS protected_predictions, round(eligible_gt / input_gt, 6) AS gt_coverage, round(retained_predictions / input_predictions, 6) AS retention FROM g LEFT JOIN p USING (artifact_id)")
+def scope_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.scope_summary(_units(spark, sf), _filtered(spark, sf), ["artifact_id"]))
+
+
+# sets
+
+
+@query("SELECT w, count(*) AS n FROM (SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark WHERE item_id % 2 = 0) INTERSECT ALL SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark WHERE item_id % 2 = 1)) GROUP BY w")
+def multiset_intersection(spark: SparkSession, sf: str) -> DataFrame:
+    w = lambda k: table(spark, sf, "benchmark").where(F.col("item_id") % 2 == k).select(F.explode(F.split("text", " ")).alias("w"))
+    return w(0).intersectAll(w(1)).groupBy("w").agg(F.count("*").alias("n"))
+
+
+@query("SELECT w, count(*) AS n FROM (SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark WHERE item_id % 2 = 0) EXCEPT ALL SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark WHERE item_id % 2 = 1)) GROUP BY w")
+def multiset_difference(spark: SparkSession, sf: str) -> DataFrame:
+    w = lambda k: table(spark, sf, "benchmark").where(F.col("item_id") % 2 == k).select(F.explode(F.split("text", " ")).alias("w"))
+    return w(0).exceptAll(w(1)).groupBy("w").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def membership_sides(spark: SparkSession, sf: str) -> DataFrame:
+    return S.membership(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"])
+
+
+@query("SELECT lang AS type, count(*) AS n FROM documents GROUP BY 1")
+def type_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").groupBy(F.col("lang").alias("type")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS occurrence, CAST(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS offset_before FROM lineitem")
+def occurrence_and_offset(spark: SparkSession, sf: str) -> DataFrame:
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    w = W.partitionBy("l_orderkey").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    n = F.row_number().over(W.partitionBy("l_orderkey", "l_returnflag").orderBy(*order)) - 1
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", n.cast("long").alias("occurrence"), F.sum("l_quantity").over(w).cast("long").alias("offset_before"))
+
+
+@query(f"WITH {PAGE}, w AS (SELECT doc_id, max(mean_cer) FILTER (WHERE profile = 'heavy_scan') - max(mean_cer) FILTER (WHERE profile = 'clean') AS delta FROM pages GROUP BY doc_id) SELECT doc_id, round(delta, 6) AS delta FROM w ORDER BY delta DESC NULLS LAST, doc_id LIMIT 3")
+def top_degraded_pages(spark: SparkSession, sf: str) -> DataFrame:
+    p = _pages(spark, sf).groupBy("doc_id").agg(F.max(F.when(F.col("profile") == "heavy_scan", F.col("mean_cer"))).alias("h"), F.max(F.when(F.col("profile") == "clean", F.col("mean_cer"))).alias("c"))
+    return rounded(p.select("doc_id", (F.col("h") - F.col("c")).alias("delta")).orderBy(F.desc_nulls_last("delta"), "doc_id").limit(3))
