@@ -79,10 +79,9 @@ def compose(matrices: Column) -> Column:
 
 
 def rotation_shear(degrees: Column, shear: Column, cx: Column, cy: Column) -> Column:
-    """Rotation about (cx, cy) after a shear along x, as [a, b, c, d, e, f]."""
-    t = F.radians(degrees)
-    a, b, d, e = F.cos(t), F.cos(t) * shear - F.sin(t), F.sin(t), F.sin(t) * shear + F.cos(t)
-    return F.array(a, b, cx - a * cx - b * cy, d, e, cy - d * cx - e * cy)
+    """Rotation about (cx, cy), in pixels with y downwards, with a shear added to how x follows y, as [a, b, c, d, e, f]."""
+    c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    return F.array(c, s + shear, (1 - c) * cx - s * cy, -s, c, s * cx + (1 - c) * cy)
 
 
 def box_visibility(b: Column, width: Column, height: Column, epsilon: float = EPSILON) -> Column:

@@ -103,16 +103,37 @@ def has_offset(stamp: Column) -> Column:
     return F.coalesce(stamp.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)$") & stamp.try_cast("timestamp").isNotNull(), F.lit(False))
 
 
+#: What goes from encyclopedia text, in this order, and what it becomes.
+WIKI_CLEANUP = [(r"\[\s*\d+\s*\]", ""), (r"\s+([,.;:!?])", "$1"), (r"[(]\s+", "("), (r"\s+[)]", ")")]
+
+
 def clean_wiki(text: Column) -> Column:
-    """Reference marks go, white space is single, none before signs or inside round brackets."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " ")
-    for pattern, by in ((r"\[\d+\]", ""), (r" +([,.;:!?])", "$1"), (r"\( +", "("), (r" +\)", ")"), (" +", " ")):
+    """White space is single, then reference marks go and spaces before signs and inside round brackets; what a mark leaves on both sides stays."""
+    t = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " "))
+    for pattern, by in WIKI_CLEANUP:
         t = F.regexp_replace(t, pattern, by)
-    return F.btrim(t)
+    return t
 
 
 def clean_heading(text: Column) -> Column:
-    return clean_wiki(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[\s*edit\s*\]", ""))
+    return clean_wiki(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*\[edit\]\s*", " "))
+
+
+def wiki_target(url: Column) -> Column:
+    """Struct of language, title, revision and problem (scheme, host, path, title or oldid; null if there is none) of an article's URL."""
+    shape = r"^([^:/?#]+)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+    part = lambda i: F.coalesce(F.regexp_extract(url, shape, i), F.lit(""))
+    values = lambda name: F.filter(F.regexp_extract_all(part(4), F.lit(f"[?&]{name}=([^&]*)"), F.lit(1)), lambda v: v != "")
+    host, path, old, titles = F.lower(part(2)), part(3), values("oldid"), values("title")
+    language = F.regexp_extract(host, r"^([a-z][a-z0-9-]*)\.(?:m\.)?wikipedia\.org$", 1)
+    decode = lambda c: F.replace(F.try_url_decode(c), F.lit("_"), F.lit(" "))
+    in_path = path.startswith("/wiki/")
+    title = F.when(in_path, decode(F.replace(F.substring(path, 7, 1_000_000), F.lit("+"), F.lit("%2B")))).when(path == "/w/index.php", decode(F.get(titles, F.lit(0))))
+    number = F.get(old, F.lit(0)).try_cast("long")
+    bad_old = (F.size(old) > 1) | ((F.size(old) == 1) & ~F.coalesce(F.get(old, F.lit(0)).rlike("^[0-9]+$") & (number >= 1), F.lit(False)))
+    problem = F.when(~F.lower(part(1)).isin("http", "https"), "scheme").when(language == "", "host").when(bad_old, "oldid").when(~(in_path | (path == "/w/index.php")), "path").when((path == "/w/index.php") & (F.size(titles) > 1), "title").when((F.coalesce(title, F.lit("")) == "") & (F.size(old) == 0), "title")
+    good = lambda c: F.when(problem.isNull(), c)
+    return F.struct(good(language).alias("language"), good(F.nullif(title, F.lit(""))).alias("title"), good(number).alias("revision"), problem.alias("problem"))
 
 
 @F.pandas_udf(DoubleType())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 
+#: Other names of element types.
 ALIASES = {**dict.fromkeys(["section_header", "section-header", "heading1", "heading2", "heading3", "title"], "heading"), **dict.fromkeys(["text", "text_line", "list_item"], "paragraph"), **dict.fromkeys(["picture", "figure"], "image"), **dict.fromkeys(["formula", "equation"], "formula")}
 LATE = 1_000_000_000
 

@@ -381,10 +381,10 @@ AUDIT = f"""WITH {ELEMENTS}, bl AS (SELECT artifact_id, parent_id AS id, min(pag
  sp AS (SELECT artifact_id, parent_id AS id, string_agg(regexp_replace(text, '[ -]', '', 'g'), '' ORDER BY line_index, id) AS s FROM el WHERE parent_id IS NOT NULL GROUP BY 1, 2),
  found AS (SELECT artifact_id, id AS element_id, 'bbox_extent' AS code FROM al WHERE x1 - x <= 0 OR y1 - y <= 0
   UNION ALL SELECT artifact_id, id, 'element_page' FROM al WHERE page_number >= 5
-  UNION ALL SELECT artifact_id, id, 'bbox_outside_page' FROM al WHERE x1 > x AND page_number < 5 AND (x < -0.01 OR y < -0.01 OR x1 > 595.01 OR y1 > 842.01)
-  UNION ALL SELECT artifact_id, id, 'parent_missing' FROM ch WHERE parent_id IS NOT NULL AND pid IS NULL
+  UNION ALL SELECT artifact_id, id, 'bbox_outside_page' FROM al WHERE page_number < 5 AND (x < -0.01 OR y < -0.01 OR x1 > 595.01 OR y1 > 842.01)
+  UNION ALL SELECT artifact_id, id, 'parent_missing' FROM ch WHERE role = 'line' AND pid IS NULL
   UNION ALL SELECT artifact_id, id, 'parent_page' FROM ch WHERE pp <> page_number
-  UNION ALL SELECT artifact_id, id, 'parent_bounds' FROM ch WHERE pp = page_number AND x1 > x AND (x < px - 0.01 OR y < py - 0.01 OR x1 > px1 + 0.01 OR y1 > py1 + 0.01)
+  UNION ALL SELECT artifact_id, id, 'parent_bounds' FROM ch WHERE pp = page_number AND (x < px - 0.01 OR y < py - 0.01 OR x1 > px1 + 0.01 OR y1 > py1 + 0.01)
   UNION ALL SELECT artifact_id, id, 'duplicate_id' FROM al GROUP BY 1, 2 HAVING count(*) > 1
   UNION ALL SELECT artifact_id, id, 'reading_order_page' FROM (SELECT *, lag(page_number) OVER (PARTITION BY artifact_id ORDER BY reading_order) AS b FROM al WHERE role = 'line') WHERE page_number < b
   UNION ALL SELECT bl.artifact_id, bl.id, 'parent_text' FROM bl JOIN sp USING (artifact_id, id) WHERE s <> regexp_replace(text, '[ -]', '', 'g'))"""
@@ -418,6 +418,20 @@ def audit_parent_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return A.parent_cycles(e)
 
 
+_NESTED = f"""WITH {ELEMENTS}, ne AS (SELECT artifact_id, page_number, 'c' || (1 + d) AS container_id, CASE WHEN pos % 31 = 4 THEN 'x' || pos ELSE id END AS id, CASE WHEN pos % 29 = 3 THEN text || '!' ELSE text END AS text FROM el, (VALUES (0), (1)) c(d) WHERE doc_id % 7 <> 0 AND pos % 19 <> 7 AND (d = 0 OR pos % 23 = 5)),
+ f AS (SELECT artifact_id, id, text FROM el WHERE doc_id % 7 <> 0), held AS (SELECT artifact_id, id, count(*) AS n FROM ne GROUP BY 1, 2), fh AS (SELECT f.artifact_id, f.id, coalesce(n, 0) AS n FROM f LEFT JOIN held USING (artifact_id, id))"""
+
+
+@query(_NESTED + " SELECT n.artifact_id, n.id AS element_id, CASE WHEN f.id IS NULL THEN 'container_orphan' ELSE 'container_copy' END AS code FROM ne n LEFT JOIN f USING (artifact_id, id) WHERE f.id IS NULL OR f.text <> n.text UNION ALL SELECT artifact_id, id, 'multiple_containers' FROM fh WHERE n > 1 UNION ALL SELECT artifact_id, id, 'container_missing' FROM fh WHERE n <> 1 UNION ALL SELECT DISTINCT artifact_id, container_id, 'container_count' FROM ne WHERE page_number = 2")
+def audit_containers(spark: SparkSession, sf: str) -> DataFrame:
+    e, p = _line_elements(spark, sf).where("doc_id % 7 <> 0").withColumn("type", F.lit("text_line")).withColumn("role", F.lit("line")), F.col("ord")
+    twice = F.when(p % 23 == 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    held = e.where(p % 19 != 7).select("artifact_id", "page_number", F.col("page_number").alias("element_page"), F.when(p % 31 == 4, F.concat(F.lit("x"), p)).otherwise(F.col("id")).alias("id"), "type", F.when(p % 29 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), "bbox", F.explode(twice).alias("c")).withColumn("container_id", F.concat(F.lit("c"), "c"))
+    n = F.count("*") + F.when(F.col("page_number") == 2, 1).otherwise(0)
+    containers = held.groupBy("artifact_id", "page_number", "container_id").agg(n.alias("element_count")).withColumn("bbox", F.lit(None).cast(G.BOX)).withColumn("bbox_page", F.lit(None).cast("int"))
+    return A.container_findings(held, containers, e)
+
+
 # selection, splits, ledgers
 
 
@@ -618,6 +632,16 @@ def wiki_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("url", "page_id", T.clean_wiki(raw).alias("cleaned"))
 
 
+_TARGET = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://en.wikipedia.org/wiki/Page_' || page_id || '_%C3%A9' WHEN 1 THEN 'http://de.m.wikipedia.org/w/index.php?title=A+b_c&oldid=' || page_id WHEN 2 THEN 'https://fr.wikipedia.org/w/index.php?oldid=' || page_id WHEN 3 THEN 'https://en.wikipedia.org:80/wiki/X' ELSE 'https://en.wikipedia.org/wiki/Z?oldid=x' END AS url FROM pages"
+
+
+@query(f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' END AS language, CASE page_id % 5 WHEN 0 THEN 'Page ' || page_id || ' é' WHEN 1 THEN 'A b c' END AS title, CASE WHEN page_id % 5 IN (1, 2) THEN page_id END AS revision, CASE page_id % 5 WHEN 3 THEN 'host' WHEN 4 THEN 'oldid' END AS problem FROM ({_TARGET})")
+def wiki_targets(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("page_id")
+    urls = F.when(p % 5 == 0, F.concat(F.lit("https://en.wikipedia.org/wiki/Page_"), p, F.lit("_%C3%A9"))).when(p % 5 == 1, F.concat(F.lit("http://de.m.wikipedia.org/w/index.php?title=A+b_c&oldid="), p)).when(p % 5 == 2, F.concat(F.lit("https://fr.wikipedia.org/w/index.php?oldid="), p)).when(p % 5 == 3, "https://en.wikipedia.org:80/wiki/X").otherwise("https://en.wikipedia.org/wiki/Z?oldid=x")
+    return table(spark, sf, "pages").select("page_id", T.wiki_target(urls).alias("t")).select("page_id", "t.*")
+
+
 @query()
 def canonical_hashes(spark: SparkSession, sf: str) -> DataFrame:
     """Hash seals of the events' properties and of derived seeds, in Arrow batches."""
