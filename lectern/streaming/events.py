@@ -36,7 +36,7 @@ def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         yield pd.DataFrame({"run_id": [key[0]], "artifact_id": [artifact], "status": ["timeout"]})
         return
     open_ = state.get[0] if state.exists else ""
-    rows = pd.concat(list(batches)).sort_values("ord", kind="stable")
+    rows = pd.concat(list(batches)).sort_values("started_at", kind="stable", na_position="first")
     done = rows[rows["event"] == "result"]
     for event, artifact in zip(rows["event"], rows["artifact_id"], strict=True):
         open_ = artifact if event == "start" else "" if artifact == open_ else open_
@@ -46,11 +46,11 @@ def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     elif state.exists:
         state.remove()
     if len(done):
-        yield pd.DataFrame({"run_id": key[0], "artifact_id": done["artifact_id"], "status": done["status"]})
+        yield pd.DataFrame({"run_id": [key[0]] * len(done), "artifact_id": done["artifact_id"].tolist(), "status": done["status"].tolist()})
 
 
 def watch_runs(events: DataFrame, silence_ms: int = 60_000) -> DataFrame:
-    """(run_id, artifact_id, status): results as they come, and timeout for an artifact that was started and has no result within silence_ms."""
+    """(run_id, artifact_id, status): results as they come, and timeout for an artifact that was started and has no result within silence_ms. Events of a batch are taken by started_at."""
 
     def watch(key, batches, state):
         _watch.silence_ms = silence_ms
