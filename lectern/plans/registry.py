@@ -16,7 +16,7 @@ from ..operators import reports as R
 from ..operators import scope as V
 from ..operators import selection as S
 from ..operators import structure as X
-from ..sources.derived import PROFILES, TEMPLATES, gt_lines, lines, pred_lines, table
+from ..sources.derived import PROFILES, TEMPLATES, gt_lines, lines, over_whole_texts, pred_lines, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -748,3 +748,9 @@ def occurrence_and_offset(spark: SparkSession, sf: str) -> DataFrame:
 def top_degraded_pages(spark: SparkSession, sf: str) -> DataFrame:
     p = _pages(spark, sf).groupBy("doc_id").agg(F.max(F.when(F.col("profile") == "heavy_scan", F.col("mean_cer"))).alias("h"), F.max(F.when(F.col("profile") == "clean", F.col("mean_cer"))).alias("c"))
     return rounded(p.select("doc_id", (F.col("h") - F.col("c")).alias("delta")).orderBy(F.desc_nulls_last("delta"), "doc_id").limit(3))
+
+
+# whole texts
+
+#: The SQL above holds for the lines of LINES only, so the same queries over every line of every text have none.
+QUERIES |= {f"{name}_whole": over_whole_texts(QUERIES[name]) for name, sql in ORACLES.items() if LINES in sql}

@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import text as T
 
 PROFILES = ["clean", "light_scan", "medium_scan", "heavy_scan"]
 TEMPLATES = ["simple_article", "scientific_paper", "magazine_layout"]
 
 
+_whole = ContextVar("whole", default=False)
+
+
+def over_whole_texts(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with lines() giving every line of every text that is not blank."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _whole.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _whole.reset(token)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printable ASCII lines of 1 to 200 characters that are not blank, with their place in the document."""
+    """Lines that are not blank, with their place in the document: all of them in over_whole_texts(), else those of 1 to 200 printable ASCII characters, on which DuckDB's SQL agrees."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), F.col("source").alias("family"), F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("doc_id") % 3 + 1).cast("int")).alias("template"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    if _whole.get():
+        return docs.where(T.normalize_text(F.col("text")) != "")
     return docs.where(F.length("text").between(1, 200) & F.col("text").rlike("^[ -~]+$") & F.col("text").rlike("[!-~]"))
 
 
