@@ -221,12 +221,13 @@ def order_coverage(elements: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def parent_cycles(elements: DataFrame, depth: int = 64) -> DataFrame:
-    """Elements on or below a cycle of parents: after 2 ** k steps of pointer doubling they still have an ancestor."""
+    """Elements on or below a cycle of parents: after 2 ** k steps of pointer doubling, at least depth and as many as the largest artifact has elements, they still have an ancestor."""
     up = elements.select(KEY, "id", F.col("parent_id").alias("at")).where("at IS NOT NULL").dropDuplicates([KEY, "id"])
+    depth = max(depth, up.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0)
     steps = 1
-    while steps < depth:
+    while steps <= depth:
         nxt = up.select(KEY, F.col("id").alias("at"), F.col("at").alias("further"))
-        up = up.join(nxt, [KEY, "at"]).select(KEY, "id", F.col("further").alias("at"))
+        up = up.join(nxt, [KEY, "at"]).select(KEY, "id", F.col("further").alias("at")).localCheckpoint()  # else plans double
         steps *= 2
     return up.select(KEY, F.col("id").alias("element_id"), F.lit("parent_cycle").alias("code"))
 

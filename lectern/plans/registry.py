@@ -16,7 +16,7 @@ from ..operators import reports as R
 from ..operators import scope as V
 from ..operators import selection as S
 from ..operators import structure as X
-from ..sources.derived import PROFILES, TEMPLATES, gt_lines, lines, over_whole_texts, pred_lines, table
+from ..sources.derived import PROFILES, TEMPLATES, gt_lines, lines, over_whole_texts, part, pred_lines, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -336,7 +336,7 @@ _ROLE = "CASE WHEN pos % 2 = 0 THEN 'line' ELSE 'cell' END"
 
 @query(f"WITH {ELEMENTS} SELECT artifact_id, id, {_ROLE} AS role, pos AS ord, row_number() OVER (PARTITION BY artifact_id, {_ROLE} ORDER BY page_number, CASE WHEN pos % 5 <> 4 THEN CAST(pos // 3 AS DOUBLE) ELSE x END, CASE WHEN pos % 5 <> 4 THEN CAST(line_index AS DOUBLE) ELSE -y END, id) AS reading_order FROM el WHERE doc_id % 7 <> 0")
 def reading_order(spark: SparkSession, sf: str) -> DataFrame:
-    e = _line_elements(spark, sf).where("doc_id % 7 <> 0").withColumn("role", F.when(F.col("ord") % 2 == 0, "line").otherwise("cell")).withColumn("source_index", F.when(F.col("ord") % 5 != 4, F.expr("ord div 3"))).withColumn("flow_order", F.lit(None).cast("int")).drop("reading_order")
+    e = part(_line_elements(spark, sf), "doc_id % 7 <> 0").withColumn("role", F.when(F.col("ord") % 2 == 0, "line").otherwise("cell")).withColumn("source_index", F.when(F.col("ord") % 5 != 4, F.expr("ord div 3"))).withColumn("flow_order", F.lit(None).cast("int")).drop("reading_order")
     return rounded(O.assign_reading_order(e).select("artifact_id", "id", "role", "ord", "reading_order"))
 
 
@@ -414,7 +414,7 @@ def audit_order_coverage(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH RECURSIVE {ELEMENTS}, n AS (SELECT artifact_id, 'n' || pos AS id, CASE WHEN doc_id % 8 = 0 AND pos = 0 THEN 'n2' WHEN pos > 0 THEN 'n' || (pos - 1) END AS parent_id FROM el WHERE pos < 6), walk AS (SELECT artifact_id, id, parent_id AS up, 1 AS d FROM n WHERE parent_id IS NOT NULL UNION ALL SELECT w.artifact_id, w.id, n.parent_id, d + 1 FROM walk w JOIN n ON n.artifact_id = w.artifact_id AND n.id = w.up WHERE n.parent_id IS NOT NULL AND d < 64) SELECT artifact_id, id AS element_id, 'parent_cycle' AS code FROM walk WHERE d = 64")
 def audit_parent_cycle(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("pos")
-    e = lines(spark, sf).where("pos < 6").select(F.col("doc_id").cast("string").alias("artifact_id"), F.concat(F.lit("n"), p).alias("id"), F.when((F.col("doc_id") % 8 == 0) & (p == 0), "n2").when(p > 0, F.concat(F.lit("n"), p - 1)).alias("parent_id"))
+    e = part(lines(spark, sf), "pos < 6").select(F.col("doc_id").cast("string").alias("artifact_id"), F.concat(F.lit("n"), p).alias("id"), F.when((F.col("doc_id") % 8 == 0) & (p == 0), "n2").when(p > 0, F.concat(F.lit("n"), p - 1)).alias("parent_id"))
     return A.parent_cycles(e)
 
 
@@ -424,7 +424,7 @@ _NESTED = f"""WITH {ELEMENTS}, ne AS (SELECT artifact_id, page_number, 'c' || (1
 
 @query(_NESTED + " SELECT n.artifact_id, n.id AS element_id, CASE WHEN f.id IS NULL THEN 'container_orphan' ELSE 'container_copy' END AS code FROM ne n LEFT JOIN f USING (artifact_id, id) WHERE f.id IS NULL OR f.text <> n.text UNION ALL SELECT artifact_id, id, 'multiple_containers' FROM fh WHERE n > 1 UNION ALL SELECT artifact_id, id, 'container_missing' FROM fh WHERE n <> 1 UNION ALL SELECT DISTINCT artifact_id, container_id, 'container_count' FROM ne WHERE page_number = 2")
 def audit_containers(spark: SparkSession, sf: str) -> DataFrame:
-    e, p = _line_elements(spark, sf).where("doc_id % 7 <> 0").withColumn("type", F.lit("text_line")).withColumn("role", F.lit("line")), F.col("ord")
+    e, p = part(_line_elements(spark, sf), "doc_id % 7 <> 0").withColumn("type", F.lit("text_line")).withColumn("role", F.lit("line")), F.col("ord")
     twice = F.when(p % 23 == 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     held = e.where(p % 19 != 7).select("artifact_id", "page_number", F.col("page_number").alias("element_page"), F.when(p % 31 == 4, F.concat(F.lit("x"), p)).otherwise(F.col("id")).alias("id"), "type", F.when(p % 29 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), "bbox", F.explode(twice).alias("c")).withColumn("container_id", F.concat(F.lit("c"), "c"))
     n = F.count("*") + F.when(F.col("page_number") == 2, 1).otherwise(0)
@@ -622,7 +622,7 @@ def svg_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {LINES} SELECT doc_id, string_agg(trim(text), chr(10) ORDER BY pos) AS joined FROM lines WHERE pos < 4 GROUP BY doc_id")
 def ordered_text(spark: SparkSession, sf: str) -> DataFrame:
-    got = lines(spark, sf).where("pos < 4").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda r: F.concat(F.lit("  "), r["text"], F.lit(" \n"))).alias("ts"))
+    got = part(lines(spark, sf), "pos < 4").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda r: F.concat(F.lit("  "), r["text"], F.lit(" \n"))).alias("ts"))
     return got.select("doc_id", T.join_ordered(F.array_append("ts", F.lit(" "))).alias("joined"))
 
 

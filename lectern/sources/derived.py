@@ -43,6 +43,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(F.length("text").between(1, 200) & F.col("text").rlike("^[ -~]+$") & F.col("text").rlike("[!-~]"))
 
 
+def part(rows: DataFrame, condition: str) -> DataFrame:
+    """The rows that fit the condition, in over_whole_texts() all rows."""
+    return rows if _whole.get() else rows.where(condition)
+
+
 def gt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = lines(spark, sf_dir).select("*", F.posexplode(F.array(*map(F.lit, PROFILES))).alias("k", "profile"))
     return every.select(F.concat_ws("_", "doc_id", "profile").alias("artifact_id"), "doc_id", "language", "family", "template", "profile", "k", F.col("pos").alias("gt_index"), "text", G.box(50.0, 5.0 * F.col("pos"), 6.0 * F.length("text"), 12.0).alias("bbox"))

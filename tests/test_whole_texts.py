@@ -62,3 +62,57 @@ def test_long_and_accented_lines_are_scored(spark, tmp_path):
 def test_every_query_on_lines_has_its_whole_form():
     on_lines = {n for n, sql in registry.ORACLES.items() if "lines AS (" in sql}
     assert {n + "_whole" for n in on_lines} <= set(registry.QUERIES) and not any(n.endswith("_whole") for n in registry.ORACLES)
+
+
+def _elements(spark):
+    """(document, pos, id, page, line_index, text) of all lines, as _line_elements has them."""
+    return [(d, p, "l1" if d % 7 == 0 and p == 2 else f"l{p}", 1 + p // 40 + (d % 4 == 0 and p == 3), 2 - p % 3, t) for d, _, p, t in _lines(spark)]
+
+
+def test_texts_are_joined_whole(spark):
+    want = defaultdict(list)
+    for d, _, _, t in sorted(_lines(spark)):
+        want[d].append(t.strip())
+    assert {r.doc_id: r.joined for r in registry.QUERIES["ordered_text_whole"](spark, SF).collect()} == {d: "\n".join(ts) for d, ts in want.items()}
+
+
+def test_reading_order_of_all_documents(spark):
+    groups, want = defaultdict(list), []
+    for d, p, i, page, line, _ in _elements(spark):
+        place = (page, float(p // 3), float(line), i) if p % 5 != 4 else (page, 50.0, -5.0 * (p % 40), i)
+        groups[str(d), "cell" if p % 2 else "line"].append((place, i, p))
+    for (d, role), rows in groups.items():
+        want += [(d, i, role, p, n) for n, (_, i, p) in enumerate(sorted(rows), 1)]
+    got = registry.QUERIES["reading_order_whole"](spark, SF).select("artifact_id", "id", "role", "ord", "reading_order").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert any(d % 7 == 0 for d, *_ in _elements(spark))
+
+
+def test_containers_of_all_documents(spark):
+    elements, want = _elements(spark), Counter()
+    last = {(d, i): (t, p) for d, p, i, _, _, t in sorted(elements)}
+    held, on_second = Counter(), set()
+    for d, p, i, page, _, t in elements:
+        if p % 19 == 7:
+            continue
+        own = f"x{p}" if p % 31 == 4 else i
+        for c in ("c1", "c2")[: 2 if p % 23 == 5 else 1]:
+            held[d, own] += 1
+            if page == 2:
+                on_second.add((d, c))
+            if (d, own) not in last:
+                want[str(d), own, "container_orphan"] += 1
+            elif p % 29 == 3 or last[d, own] != (t, p):
+                want[str(d), own, "container_copy"] += 1
+    for d, _, i, *_ in elements:
+        want[str(d), i, "multiple_containers"] += held[d, i] > 1
+        want[str(d), i, "container_missing"] += held[d, i] != 1
+    want += Counter((str(d), c, "container_count") for d, c in on_second)
+    got = registry.QUERIES["audit_containers_whole"](spark, SF).select("artifact_id", "element_id", "code").collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_deep_chains_of_parents_are_no_cycles(spark, tmp_path):
+    sf = _documents(spark, tmp_path, *["\n".join("x" * 300)] * 10)
+    got = registry.QUERIES["audit_parent_cycle_whole"](spark, sf).collect()
+    assert sorted((r.artifact_id, r.element_id) for r in got) == sorted((str(d), f"n{i}") for d in (0, 8) for i in range(300))
