@@ -4,7 +4,7 @@ The pieces form two tries, for the start of a word and for its rest. Each node h
 that is reached when the pieces matched so far are taken off, and the number of these pieces. Reading a
 character then either follows an edge or takes failure links, so a word costs time in proportion to its length; only
 numbers are kept, no pieces. (Published as LinMaxMatch, in "Fast WordPiece Tokenization".) A word that
-cannot be cut into pieces is one unknown token.
+cannot be cut into pieces is one unknown token. The bare mark, if it is a piece, starts the words that no longer one starts.
 
 Defined results: null, empty and blank texts have no words and no tokens. Repeated rows count alike, null ids are
 kept, long texts counted whole. An empty table gives no rows.
@@ -30,12 +30,12 @@ def default_vocabulary() -> str:
 
 
 def read_pieces(path: str) -> tuple[list[str], list[str]]:
-    """Pieces that start words, without their mark, and those that go on, from a sentencepiece model."""
+    """Pieces that start words, without their mark (the bare mark is empty then), and those that go on, from a sentencepiece model."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     real = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    return [p[1:] for p in real if p.startswith(MARK) and len(p) > 1], [p for p in real if not p.startswith(MARK)]
+    return [p[1:] for p in real if p.startswith(MARK)], [p for p in real if not p.startswith(MARK)]
 
 
 class Automaton:
@@ -55,6 +55,8 @@ class Automaton:
                     node = self.next[node][c]
                 piece[node] = bool(p) or piece[node]
         self.fail, self.pops = [-1] * len(self.next), [0] * len(self.next)
+        if "" in starts:
+            self.fail[0], self.pops[0] = 1, 1
         level = [0, 1]
         while level:
             below = []
