@@ -3,7 +3,8 @@
 Trust is a personalised PageRank from trusted hosts along edges, distrust one from blocked hosts along reversed
 edges: who links to blocked hosts is distrusted. Edges are the links between hosts that pages hold and, between a
 host and the domain one label above it (of at least min_labels labels), edges in both directions, as they belong
-to one site. A host is blocked if its distrust is at least threshold of both. URL rules come first.
+to one site. Seeds are sought among the hosts of pages and of both ends of edges, as blocked hosts are often only
+linked to. A host is blocked if its distrust is at least threshold of both. URL rules come first.
 
 Edges are summed before they move; each round is one join and one aggregation of sums, and is written to the
 shared folder. Rules are matched once for each host and only their paths for each page.
@@ -76,8 +77,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
 def judge(pages: DataFrame, rules: list[tuple[str, str]], trusted: Column, blocked: Column, id_col: str = "page_id", url: str = "url", html: str = "html", threshold: float = THRESHOLD, min_labels: int = 3, damping: float = DAMPING) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) for each row of pages.
 
-    rules are (allow or block, host and path); trusted and blocked are conditions on the column host, and on ruled,
-    whether a page of the host is allowed by a rule. A host of both is blocked.
+    rules are (allow or block, host and path); trusted and blocked are conditions on the column host, of
+    pages or links, and on ruled, whether a page of the host is allowed by a rule. A host of both is blocked.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
@@ -88,11 +89,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], trusted: Column, block
     ruled = C.materialise(hosts.join(fits, "host", "left"), "hosts")
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["prefix"])))
     allowed = named.join(ruled.where("rules IS NOT NULL").select("host", "rules"), "host").where(best["verdict"] == "allow").select("host").distinct().select(F.col("host").alias("h"), F.lit(True).alias("ruled"))
-    marks = ruled.join(allowed, F.col("host") == F.col("h"), "left").select("host", F.coalesce("ruled", F.lit(False)).alias("ruled")).select("host", trusted.alias("t"), blocked.alias("b")).select("host", F.when(F.col("t") & ~F.col("b"), 1.0).otherwise(0.0).alias("t"), F.when(F.col("b"), 1.0).otherwise(0.0).alias("b"))
+    edges = C.materialise(host_edges(pages, url, html, min_labels), "host-edges")
+    named_hosts = ruled.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
+    marks = named_hosts.join(allowed, F.col("host") == F.col("h"), "left").select("host", F.coalesce("ruled", F.lit(False)).alias("ruled")).select("host", trusted.alias("t"), blocked.alias("b")).select("host", F.when(F.col("t") & ~F.col("b"), 1.0).otherwise(0.0).alias("t"), F.when(F.col("b"), 1.0).otherwise(0.0).alias("b"))
     marks = C.materialise(marks.where("t > 0 OR b > 0"), "host-marks")
     sums = marks.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
     seeds = marks.select("host", (F.col("t") / (sums["t"] or 1.0)).alias("trusted"), (F.col("b") / (sums["b"] or 1.0)).alias("blocked"))
-    ranks = propagate(host_edges(pages, url, html, min_labels), seeds, damping)
+    ranks = propagate(edges, seeds, damping)
     facts = ruled.join(ranks, "host", "left").select("host", "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     found = named.join(facts.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left")
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))

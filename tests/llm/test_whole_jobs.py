@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lectern.llm import queries, wordpiece
+from lectern.llm import queries, url_graph, wordpiece
 
 from . import brute
 
@@ -54,3 +55,22 @@ def test_token_counts_with_the_whole_vocabulary(spark, vocabulary):
         want.append((d, len(lengths), sum(lengths) + lengths.count(0), lengths.count(0)))
     got = [*wordpiece.token_counts(spark.createDataFrame(odd, "doc_id long, text string")).collect(), *queries.op9_token_counts(spark, SF).collect()]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+# URL graph
+
+
+def _page(*to):
+    return "".join(f"<a href='https://{h}/p'>.</a>" for h in to)
+
+
+def test_hosts_that_are_only_linked_to_seed_distrust(spark):
+    rows = [(1, "http://lure.org/", _page("spam-farm.net", "fine.org")), (2, "http://fine.org/", _page("good.org")), (3, "http://before.org/", _page("lure.org"))]
+    got = url_graph.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), [], F.lit(False), F.col("host") == "spam-farm.net", min_labels=2).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_spam_hosts_and_their_subdomains_are_blocked(spark, tmp_path):
+    rows = [(i, f"http://{h}/", None) for i, h in enumerate(["cheap-pills.org", "m.adult-x.net", "pills.org"])] + [(3, "http://lure.org/", _page("www.adult-x.com"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.verdict for r in queries.op1_url_filters(spark, str(tmp_path)).collect()} == {0: "block", 1: "block", 2: "allow", 3: "block"}
