@@ -1,9 +1,14 @@
 """Licence scan: Dice coefficient over word bigrams between units of a text and licence templates.
 
-Units are the lines, the sentences of a line, the paragraphs and the whole text. Both sides are normalised: ASCII
+Units are the lines, the sentences of a line or of a paragraph, the paragraphs, the whole text, and windows of
+each template's size anywhere in the text, of which those of largest coefficient count that overlap no unit as good. Both sides are normalised: ASCII
 case and punctuation go, words and numbers stay. A template is compared only if its size allows the threshold at
 all: with a and b bigrams the coefficient is at most 2 min(a, b) / (a + b). Templates are kept in order of size, so
-the allowed ones are one slice; a unit of a size that fits no template is never cut into bigrams.
+the allowed ones are one slice; a unit of a size that fits no template is never cut into bigrams. Windows are tried
+only for templates that share enough bigrams with the text.
+
+Templates are short notices and the whole bodies in licence_texts: Apache 2.0, BSD 3-clause, CC0, GPL 2 and 3, LGPL 2.1
+and 3, MIT, MPL 2.0. The Creative Commons licences BY, BY-NC and BY-SA have notices only; others none.
 
 Each text is scanned by itself, in one pass without a shuffle.
 
@@ -15,7 +20,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
-#: Short notices by which texts state a licence, and the body of the MIT licence.
+#: Short notices by which texts state a licence, the grant of the MIT licence, and whole bodies.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "SPDX-License-Identifier: Apache-2.0"],
     "BSD-3-Clause": ["Released under the 3-clause BSD License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause"],
@@ -42,6 +48,8 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
 }
+for _file in sorted(Path(__file__).with_name("licence_texts").glob("*.txt")):
+    TEMPLATES.setdefault(_file.stem, []).append(" ".join(_file.read_text().split()))
 
 _NOISE = str.maketrans({c: " " for c in "\x0b\x0c\r\t!\"#$%&'()*+,-/:;<=>?@[\\]^_`{|}~"})
 _END = re.compile(r"\.(?= |$)", re.M)
@@ -68,6 +76,10 @@ class Templates:
         self.sizes, self.names, self.grams, self.threshold = [m[0] for m in made], [m[1] for m in made], [m[2] for m in made], threshold
         self.least = threshold / (2 - threshold)
         self.known = set().union(*self.grams) if made else set()
+        self.holding = defaultdict(list)
+        for k, g in enumerate(self.grams):
+            for pair in g:
+                self.holding[pair].append(k)
 
     def slice_for(self, size: int) -> tuple[int, int]:
         """Where the templates begin and end that a unit of so many bigrams can match."""
@@ -88,26 +100,85 @@ class Templates:
                 found = (d, self.names[k])
         return found
 
+    def windows(self, words: list[str]) -> list[tuple[float, int, int]]:
+        """(coefficient, template, first word) of the windows of a template's size that match, those that begin with a bigram of it or end the text."""
+        pairs, at, out = list(zip(words, words[1:])), defaultdict(list), []
+        if self.known.isdisjoint(pairs):
+            return out
+        for i, pair in enumerate(pairs):
+            if pair in self.known:
+                for k in self.holding[pair]:
+                    at[k].append(i)
+        for k, places in at.items():
+            size, grams = self.sizes[k], self.grams[k]
+            if size > len(pairs) or len(places) < self.threshold * size:
+                continue
+            held, common, begin, end = Counter(), 0, 0, 0
+            for place in places:
+                first = min(place, len(pairs) - size)
+                while end < len(places) and places[end] < first + size:
+                    pair = pairs[places[end]]
+                    held[pair] += 1
+                    common += held[pair] <= grams[pair]
+                    end += 1
+                while places[begin] < first:
+                    pair = pairs[places[begin]]
+                    common -= held[pair] <= grams[pair]
+                    held[pair] -= 1
+                    begin += 1
+                if common / size >= self.threshold:
+                    out.append((common / size, k, first))
+                if first < place:
+                    break
+        return out
+
     def scan(self, text: str) -> list[tuple[float, str, int, int]]:
         """(coefficient, licence, first line, lines) of all units that match."""
-        out, kept = [], {}
+        out, kept, words, line_of, cover = [], {}, [], [], []
         lines = normalise(text).split("\n")
         block: list[str] = []
+
+        def keep(found, first: int, end: int) -> None:
+            out.append((*found, line_of[first], line_of[end - 1] - line_of[first] + 1))
+            cover.append((first, end, found[0]))
+
         for i, line in enumerate([*lines, ""]):
             parts = _END.split(line)
             joined = _END.sub("", line).split() if len(parts) > 1 else line.split()
             if joined:
-                sentences = [p.split() for p in parts] if len(parts) > 2 else []
-                for ws in [joined, *(s for s in sentences if s and len(s) < len(joined))]:
-                    if found := self.best(ws, kept):
-                        out.append((*found, i, 1))
-                block.append(joined)
+                start = len(words)
+                words += joined
+                line_of += [i] * len(joined)
+                if found := self.best(joined, kept):
+                    keep(found, start, len(words))
+                at = start
+                for s in (p.split() for p in parts) if len(parts) > 1 else ():
+                    if s and len(s) < len(joined) and (found := self.best(s, kept)):
+                        keep(found, at, at + len(s))
+                    at += len(s)
+                block.append(line)
             else:
-                if len(block) > 1 and (found := self.best([w for ws in block for w in ws], kept)):
-                    out.append((*found, i - len(block), len(block)))
+                if len(block) > 1:
+                    at = start = len(words) - sum(len(_END.sub("", x).split()) for x in block)
+                    if found := self.best(words[start:], kept):
+                        keep(found, start, len(words))
+                    for s in (p.split() for p in _END.split(" ".join(block))):
+                        if s and len(s) < len(words) - start and line_of[at] < line_of[at + len(s) - 1] and (found := self.best(s, kept)):
+                            keep(found, at, at + len(s))
+                        at += len(s)
                 block = []
-        if len(lines) > 1 and any(not x.split() for x in lines) and (found := self.best([w for x in lines for w in _END.sub("", x).split()], kept)):
+        if len(lines) > 1 and any(not x.split() for x in lines) and (found := self.best(words, kept)):
             out.append((*found, 0, len(lines)))
+            cover.append((0, len(words), found[0]))
+        if close := self.windows(words):
+            best = [0.0] * len(words)
+            for first, end, d in cover:
+                best[first:end] = [max(x, d) for x in best[first:end]]
+            for d, k, first in sorted(close, key=lambda x: (-x[0], -self.sizes[x[1]], x[2], self.names[x[1]])):
+                end = first + self.sizes[k] + 1
+                if max(best[first:end]) < d:
+                    keep((d, self.names[k]), first, end)
+                    best[first:end] = [d] * (end - first)
         return out
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import queries, url_graph, wordpiece
+from lectern.llm import licences, queries, url_graph, wordpiece
 
 from . import brute
 
@@ -74,3 +74,37 @@ def test_spam_hosts_and_their_subdomains_are_blocked(spark, tmp_path):
     rows = [(i, f"http://{h}/", None) for i, h in enumerate(["cheap-pills.org", "m.adult-x.net", "pills.org"])] + [(3, "http://lure.org/", _page("www.adult-x.com"))]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r.page_id: r.verdict for r in queries.op1_url_filters(spark, str(tmp_path)).collect()} == {0: "block", 1: "block", 2: "allow", 3: "block"}
+
+
+# licences
+
+
+@pytest.mark.parametrize(
+    ("text", "licence", "first", "lines"),
+    [
+        ("x\nCopyright 2020 Foo. Licensed under the MIT License", "MIT", 1, 1),
+        ("Some words before it all stand here and more\nin this text. This work is licensed under the GNU General\nPublic License, version 3, as are all the other works of the\nauthor and of friends.", "GPL-3.0", 1, 2),
+        ("We ship it and it is, as you know, released under\nthe MIT License and nothing else at all will do here.", "MIT", 0, 2),
+    ],
+)
+def test_notices_within_lines_and_paragraphs(text, licence, first, lines):
+    assert [x[1:] for x in licences.Templates(licences.TEMPLATES).scan(text)] == [(licence, first, lines)]
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"])
+def test_whole_bodies(name):
+    known, body = licences.Templates(licences.TEMPLATES), licences.TEMPLATES[name][-1]
+    for text in (body, "word " * 900 + "\n\n" + body.replace(". ", ".\n\n") + "\n\n" + "other " * 900):
+        assert max(known.scan(text))[:2] == (1.0, name)
+
+
+def test_windows_lose_none():
+    rng = random.Random(4)
+    for _ in range(300):
+        known = licences.Templates({str(i): [" ".join(rng.choices("abcd", k=rng.randint(2, 9)))] for i in range(3)})
+        words = rng.choices("abcde", k=rng.randint(1, 25))
+        got = {}
+        for d, k, _ in known.windows(words):
+            got[k] = max(got.get(k, 0), d)
+        want = {k: max((licences.dice(licences.bigrams(words[i : i + n + 1]), known.grams[k]) for i in range(len(words) - n)), default=0) for k, n in enumerate(known.sizes)}
+        assert got == {k: d for k, d in want.items() if d >= known.threshold}
