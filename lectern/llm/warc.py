@@ -9,7 +9,7 @@ Each response is converted by itself, without a shuffle; write() makes one gzip
 
 Defined results: a null page has an empty body, a null URL no target URI and an empty name in its id. Repeated
 rows make equal records. Long pages are converted whole; broken markup is text, an open comment or script runs to
-the end. Payloads that are not UTF-8 are read with replacement characters. Responses whose block has no blank line
+the end, a head to its end tag or the first text or element that can't be in a head, and a self-closed svg is empty. Payloads that are not UTF-8 are read with replacement characters. Responses whose block has no blank line
 are all header. An empty table gives no records.
 """
 
@@ -34,7 +34,9 @@ NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lectern:warc")
 RESPONSE = "record_id string, target_uri string, date string, block binary"
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, block binary, headers array<struct<name:string,value:string>>"
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
+#: What a head can hold; all else ends it.
+_IN_HEAD = r"""\s++|<!--.*?(?:-->|\Z)|<![^>]*>|<(title|script|style|noscript|template|noframes)\b[^>]*>.*?(?:</\2\s*>|\Z)|</?(?:base|basefont|bgsound|link|meta)\b[^>]*>"""
+_HIDDEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<svg\b(?:[^>"']|"[^"]*"|'[^']*')*/>|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head(?![\w-])[^>]*>(?:{_IN_HEAD})*+(?:</head\s*>)?""", re.S | re.I)
 _BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>")
 _SPACE = re.compile(r"[^\S\n]+")

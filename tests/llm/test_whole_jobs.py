@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import licences, queries, url_graph, wordpiece
+from lectern.llm import licences, queries, url_graph, warc, wordpiece
 
 from . import brute
 
@@ -108,3 +108,25 @@ def test_windows_lose_none():
             got[k] = max(got.get(k, 0), d)
         want = {k: max((licences.dice(licences.bigrams(words[i : i + n + 1]), known.grams[k]) for i in range(len(words) - n)), default=0) for k, n in enumerate(known.sizes)}
         assert got == {k: d for k, d in want.items() if d >= known.threshold}
+
+
+# WARC derivatives
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>T</title><p>whole article", "whole article"),
+        ("<head><meta a=b><LINK x>\n<style>s</style><script>if (a<b) {}</script><!-- c --><div>one</div>two", "one\ntwo"),
+        ("<head><title>T</title>bare text", "bare text"),
+        ("<head profile=x><title>T</title></head><body>b</body>", "b"),
+        ("<head><title>T</title><body>b", "b"),
+        ("<head><title>T", ""),
+        ("<header>h</header>", "h"),
+        ("a<svg width='1>2' />b<p>c</p>", "a b\nc"),
+        ("a<svg/>b<svg><path d='x'/>t</svg>c", "a b c"),
+        ("a<svg>open", "a"),
+    ],
+)
+def test_optional_and_self_closed_tags(page, text):
+    assert warc.plain_text(page) == text
