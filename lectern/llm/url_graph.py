@@ -16,6 +16,8 @@ themselves. Of equally long rules blocking wins. An empty table gives an empty r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,6 @@ from . import common as C
 DAMPING = 0.85
 THRESHOLD = 0.5
 TOLERANCE = 1e-4
-MOST_ROUNDS = 20
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/"'\s>?#]+)"""
 
 
@@ -49,12 +50,15 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html", min_label
     return linked.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most_rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust), each summing to at most 1.
 
     edges (src, dst, w); seeds (host, trusted, blocked) of distinct hosts with their shares of the jumps. A host
-    without edges keeps what it got and passes nothing on.
+    without edges keeps what it got and passes nothing on. Rounds end when less than tolerance moved. What moves is at
+    most 4 * damping ** n in round n, which bounds their number unless most_rounds does.
     """
+    if most_rounds is None:
+        most_rounds = math.floor(math.log(tolerance / 4) / math.log(damping)) + 1
     out, into = edges.groupBy("src").agg(F.sum("w").alias("t")), edges.groupBy("dst").agg(F.sum("w").alias("t"))
     along = edges.join(out, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("w") / F.col("t")).alias("ft"), F.lit(0.0).alias("fd"))
     against = edges.join(into, "dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("ft"), (F.col("w") / F.col("t")).alias("fd"))

@@ -76,6 +76,13 @@ def test_spam_hosts_and_their_subdomains_are_blocked(spark, tmp_path):
     assert {r.page_id: r.verdict for r in queries.op1_url_filters(spark, str(tmp_path)).collect()} == {0: "block", 1: "block", 2: "allow", 3: "block"}
 
 
+def test_distrust_goes_back_more_than_twenty_links(spark):
+    links = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(30)]
+    got = url_graph.propagate(spark.createDataFrame(links, "src string, dst string, w double"), spark.createDataFrame([("h30", 0.0, 1.0)], "host string, trusted double, blocked double")).collect()
+    assert {r.host for r in got if r.distrust > 0} == {f"h{i}" for i in range(31)}
+    assert abs(sum(r.distrust for r in got) - (1 - 0.85**31)) < 1e-3
+
+
 # licences
 
 
