@@ -37,6 +37,25 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: A key with more than this share of all rows is hot; there are fewer than 1 / HOT such keys.
+HOT = 1e-3
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, name: str) -> DataFrame:
+    """rows with the columns of table, inner, where one key may hold most of the rows.
+
+    table has one row for each key, with n, how many of the total rows have it. Keys of more than HOT of the rows, fewer
+    than 1 / HOT of them by that bound, are broadcast; what is left is shuffled, and none of its keys is hot. Null keys fall out.
+    """
+    kept = materialise(table, f"{name}-keys")
+    hot = kept.where(F.col("n") > total * HOT).drop("n").withColumn("_hot", F.lit(True)).withColumnRenamed(key, "_key")
+    added = [c for c in table.columns if c not in (key, "n")]
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").drop("_key")
+    cold = kept.where(F.col("n") <= total * HOT).drop("n").withColumnRenamed(key, "_key")
+    rest = marked.where("_hot IS NULL").drop("_hot", *added).join(cold, F.col(key) == F.col("_key")).drop("_key")
+    return marked.where("_hot").drop("_hot").select(*rows.columns, *added).unionByName(rest.select(*rows.columns, *added))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and the session is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 
+OPEN_FILES = 900
+HELD_BYTES = 256_000_000
 _open: dict[str, dict[str, np.ndarray]] = {}
 
 
@@ -35,21 +36,24 @@ def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> str:
 
 
 def open_arrays(uri: str, n: int, kinds: list[str]) -> list[np.ndarray]:
-    """Memory maps of write_arrays' arrays, each of n numbers. From a remote store a copy without a name is mapped, which goes with the worker."""
-    if uri not in _open:
+    """Memory maps of write_arrays' arrays, each of n numbers. What a remote store has, which can't be mapped, is held in memory.
+
+    Maps cost no memory of their own. The arrays used last stay open: OPEN_FILES of them, and HELD_BYTES of those in memory.
+    """
+    if uri in _open:
+        data = _open[uri] = _open.pop(uri)
+    else:
         where, path = store(uri)
         if type(where).__name__ == "LocalFileSystem":
             data = np.memmap(path, np.uint8, "r") if n else np.zeros(0, np.uint8)
         else:
-            with tempfile.TemporaryFile() as own, where.open_input_stream(path) as source:
-                while part := source.read(1 << 22):
-                    own.write(part)
-                own.flush()
-                data = np.memmap(own, np.uint8, "r") if n else np.zeros(0, np.uint8)
-        if len(_open) > 4096:
-            _open.clear()
+            with where.open_input_file(path) as source:
+                data = np.frombuffer(source.read(), np.uint8)
         _open[uri] = data
-    data, at, out = _open[uri], 0, []
+        held = lambda: sum(x.nbytes for x in _open.values() if not isinstance(x, np.memmap))
+        while len(_open) > OPEN_FILES or (len(_open) > 1 and held() > HELD_BYTES):
+            _open.pop(next(iter(_open)))
+    at, out = 0, []
     for kind in kinds:
         end = at + n * np.dtype(kind).itemsize
         out.append(data[at:end].view(kind))

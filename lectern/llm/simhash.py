@@ -6,11 +6,15 @@ a pair of tiles, classes of rows with equal counts in the four 16-bit lanes are
 counts, again skipping classes whose lane counts differ by more than the radius in sum. No candidate is missed:
 the distance of two words is never below the difference of their counts, in whole or lane by lane.
 
-A pair of tiles returns a spanning forest of its links, never the links themselves, so a group of n near copies
-gives at most n - 1 edges a pair of tiles. Components then come from alternating large-star and small-star steps.
+Tiles are files in the shared folder; what moves are pairs of their names. A step compares at most STEP pairs of
+fingerprints and merges their links at once, so a worker's memory is bounded however dense a group is. A pair of tiles
+returns a spanning forest of its links, never the links themselves, so a group of n near copies gives at most
+n - 1 edges a pair of tiles. Components then come from alternating large-star and small-star steps, whose joins give
+nodes with more than a thousandth of all edges a way of their own.
 
 Defined results: null and blank texts have fingerprint zero and are linked as any other. Repeated rows share
 their component. Null ids are kept; a component's id is its smallest id that is not null. Empty table: no rows.
+Other columns, also such as th, fp or t, are not looked at; keep_first() returns them as they are.
 """
 
 from __future__ import annotations
@@ -21,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import files
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
 #: Distinct fingerprints that a tile holds on average at most; a tile is an array of half a megabyte.
 TILE = 65_536
+#: Comparisons at a time.
+STEP = 250_000
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -80,52 +87,48 @@ def _settle(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         ra, rb = root[a], root[b]
         apart = ra != rb
         a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        if not len(a):
+            return
         np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
         while not np.array_equal(up := root[root], root):
             root[:] = up
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, held: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links of at most radius bits connect, within left if right is None, else between the two.
 
-    Fingerprints in left and right are distinct. At most about held links are kept at a time.
+    Fingerprints in left and right are distinct. At most about step comparisons, and their links, are held at a time.
     """
     a, lanes_a, at_a = _classes(left)
     b, lanes_b, at_b = (a, lanes_a, at_a) if right is None else _classes(right)
     shift = 0 if right is None else len(a)
     nodes = a if right is None else np.concatenate((a, b))
-    root = np.arange(len(nodes))
-    found_a, found_b, n = [], [], 0
+    root = np.arange(len(nodes), dtype=np.int32)
     sizes = np.diff(at_b)
-
-    def flush():
-        nonlocal found_a, found_b, n
-        if n:
-            _settle(root, np.concatenate(found_a), np.concatenate(found_b))
-        found_a, found_b, n = [], [], 0
-
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
     for i, lane in enumerate(lanes_a):
         near = np.abs(lanes_b - lane).sum(axis=1) <= radius
         if right is None:
             near[:i] = False
-        rows = np.flatnonzero(np.repeat(near, sizes))
-        if not len(rows):
-            continue
-        others = b[rows]
-        step = max(1, 4_000_000 // len(rows))
-        for lo in range(at_a[i], at_a[i + 1], step):
-            mine = a[lo : min(lo + step, at_a[i + 1])]
-            x, y = np.nonzero(np.bitwise_count(mine[:, None] ^ others[None, :]) <= radius)
-            x, y = x + lo, rows[y] + shift
-            if right is None:
-                x, y = x[x < y], y[x < y]
-            if len(x):
-                found_a.append(x), found_b.append(y)
-                n += len(x)
-                if n > held:
-                    flush()
-    flush()
-    child = np.flatnonzero(root != np.arange(len(nodes)))
+        rows = np.flatnonzero(np.repeat(near, sizes)).astype(np.int32)
+        for from_b in range(0, len(rows), step):
+            at = rows[from_b : from_b + step]
+            others, height = b[at], max(1, step // len(at))
+            for lo in range(at_a[i], at_a[i + 1], height):
+                mine = a[lo : min(lo + height, at_a[i + 1])]
+                x, y = np.divmod(np.flatnonzero(np.bitwise_count(mine[:, None] ^ others[None, :]) <= radius).astype(np.int32), np.int32(len(at)))
+                x, y = x + np.int32(lo), at[y] + np.int32(shift)
+                new = root[x] != root[y]  # also leaves out each fingerprint's link to itself
+                if new.any():
+                    pending.append((x[new], y[new]))
+                    n += len(pending[-1][0])
+                if n > step // 4:
+                    _settle(root, *map(np.concatenate, zip(*pending, strict=True)))
+                    pending, n = [], 0
+    if pending:
+        _settle(root, *map(np.concatenate, zip(*pending, strict=True)))
+    child = np.flatnonzero(root != np.arange(len(nodes), dtype=np.int32))
     return nodes[child], nodes[root[child]]
 
 
@@ -136,22 +139,30 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     tiles_of = {r["c"]: -(-r["n"] // tile) for r in counted.groupBy("c").agg(F.count("*").alias("n")).collect()}  # at most 65 rows
     if not tiles_of:
         return spark.createDataFrame([], "a long, b long")
-    # tiles that may follow a tile of count c: of the same count and of up to radius more
-    reach = {c: [c2 * 2**32 + j for c2 in range(c, c + radius + 1) for j in range(tiles_of.get(c2, 0))] for c in tiles_of}
-    sizes = F.element_at(F.create_map(*[F.lit(x) for kv in tiles_of.items() for x in kv]), F.col("c"))
-    keyed = counted.select("fp", "c", (F.col("c").cast("long") * F.lit(2**32) + F.pmod(F.xxhash64(F.lit("tile"), "fp"), sizes)).alias("t"))
-    tiles = C.materialise(keyed.groupBy("t", "c").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
-    partners = spark.createDataFrame([(c, u) for c, us in reach.items() for u in us], "c int, u long")
-    left = tiles.join(F.broadcast(partners), "c").where("u >= t").select("t", F.col("fps").alias("l"), "u")
-    pairs = left.join(tiles.select(F.col("t").alias("u"), F.col("fps").alias("r")), "u").select("t", "u", "l", F.when(F.col("t") != F.col("u"), F.col("r")).alias("r"))
+    of = F.create_map(*[F.lit(x) for c in range(65 + radius) for x in (c, tiles_of.get(c, 0))])
+    number = lambda c, j: c.cast("long") * F.lit(2**32) + j
+    keyed = counted.select("fp", number(F.col("c"), F.pmod(F.xxhash64(F.lit("tile"), "fp"), F.element_at(of, F.col("c")))).alias("t"))
+    folder = C.fresh_path(spark, "simhash-tiles")
+
+    def write(group: pa.Table) -> pa.Table:
+        fps = np.sort(group.column("fp").to_numpy()).astype("<i8")
+        uri = files.write_arrays(folder, f"tile-{group.column('t')[0].as_py()}", [fps])
+        return pa.table({"t": group.column("t")[:1], "uri": [uri], "n": pa.array([len(fps)], pa.int64())})
+
+    tiles = C.materialise(keyed.groupBy("t").applyInArrow(write, "t long, uri string, n long"), "simhash-tiles-list")
+    # tiles that may follow a tile: of its count and of up to radius more
+    count = F.shiftright("t", 32).cast("int")
+    following = F.explode(F.flatten(F.transform(F.sequence(count, count + radius), lambda c: C.let(F.element_at(of, c), lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda j: number(c, j))).otherwise(F.array().cast("array<long>"))))))
+    pairs = tiles.select("t", F.col("uri").alias("l"), F.col("n").alias("n_l"), following.alias("u")).where("u >= t")
+    named = pairs.join(tiles.select(F.col("t").alias("u"), F.col("uri").alias("r"), F.col("n").alias("n_r")), "u")
     # the pairs differ in cost: deal them out one by one
-    spread = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "t", "u")
+    spread = named.select("l", "n_l", "r", "n_r").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "l", "r")
 
     def run(batches):
         for batch in batches:
-            for one in range(batch.num_rows):
-                mine, other = batch.column("l")[one].values, batch.column("r")[one].values
-                a, b = forest(mine.to_numpy().view(np.uint64), None if other is None else other.to_numpy().view(np.uint64), radius)
+            for l, n_l, r, n_r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine, other = (files.open_arrays(uri, n, ["<u8"])[0] for uri, n in ((l, n_l), (r, n_r)))
+                a, b = forest(mine, None if l == r else other, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return spread.mapInArrow(run, "a long, b long")
@@ -163,18 +174,21 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     edges (a, b) in any direction. Every round cuts lineage with a table in the shared folder.
     """
 
+    def least(e):  # the smallest neighbour of each node
+        return e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+
     def large(e):  # neighbours above a node go to the smallest in its neighbourhood
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        return both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        joined = C.join_hot(both, least(both).select("a", F.least("a", "m").alias("m"), "n"), "a", 2 * seen["n"], "star")
+        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
     def small(e):  # a node and its smaller neighbours go to the smallest of these
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        joined = down.join(least, F.col("a") == F.col("u"))
+        joined = C.join_hot(down, least(down), "a", seen["n"], "star")
         return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
     mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+    seen = mark(edges)
     now = C.materialise(small(edges), "star")
     seen = mark(now)
     for _ in range(most_rounds):
@@ -190,13 +204,16 @@ def _grouped(docs: DataFrame, id_col: str, text: str, radius: int, tile: int) ->
     """(id, th, fp, first): a row for each of docs; first is the (no_id, id, th) of its component that comes first. th tells texts of one id apart."""
     marked = C.materialise(fingerprints(docs, id_col, text), "simhash")
     own = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("th").alias("th"))
-    distinct = C.materialise(marked.groupBy("fp").agg(F.min(own).alias("least")), "simhash-distinct")
+    distinct = C.materialise(marked.groupBy("fp").agg(F.min(own).alias("least"), F.count("*").alias("n")), "simhash-distinct")
     found = C.materialise(links(distinct, radius, tile), "simhash-links")
     roots = components(found)
-    of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = of.groupBy("root").agg(F.min("least").alias("first"))
-    table = of.select("fp", "root").join(named, "root").select(F.col("fp").alias("_fp"), "first")
-    return marked.join(table, F.col("fp") == F.col("_fp")).drop("_fp")
+    of = C.materialise(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), "n"), "simhash-roots")
+    named = of.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    table = C.join_hot(of.select("fp", "root"), named, "root", of.count(), "root").select("fp", "first")
+    rows = distinct.select("fp", "n").join(table, "fp")
+    out = C.join_hot(marked, rows, "fp", marked.count(), "fp")
+    C.discard(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:

@@ -77,9 +77,9 @@ def test_forest_keeps_components():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     x = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for b in base] + [base]))
-    for held in (1, 10**6):
+    for step in (1, 7, 10**6):
         half = len(x) // 2
-        edges = [simhash.forest(x[:half], None, held=held), simhash.forest(x[half:], None, held=held), simhash.forest(x[:half], x[half:], held=held)]
+        edges = [simhash.forest(x[:half], None, step=step), simhash.forest(x[half:], None, step=step), simhash.forest(x[:half], x[half:], step=step)]
         root = {int(v): int(v) for v in x}
 
         def find(v, root=root):
@@ -183,3 +183,19 @@ def test_costs_are_balanced():
     assert len(full) == sum(lengths) // 4096
     mean = sum(full) / len(full)
     assert sum(abs(x - mean) for x in full) / len(full) < 0.25 * mean
+
+
+def test_forest_of_a_dense_tile_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    flips = np.uint64(1) << rng.integers(0, 64, (24_000, 2), dtype=np.uint64)
+    x = np.unique(np.uint64(0x0F0F33335555AAAA) ^ flips[:, 0] ^ flips[:, 1])  # at most 2,017 distinct, all within 4 bits
+    wide = np.unique(np.concatenate([x ^ (np.uint64(1) << np.uint64(b)) for b in range(0, 64, 5)]))
+    tracemalloc.start()
+    a, _ = simhash.forest(wide, None)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(wide) > 15_000 and len(a) == len(wide) - 1 and most < 24_000_000
