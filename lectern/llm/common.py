@@ -37,6 +37,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def stated_bytes(df: DataFrame) -> int:
+    """The size that the plan states for its input; only how finely work is dealt may depend on it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 #: A key with more than this share of all rows is hot; there are fewer than 1 / HOT such keys.
 HOT = 1e-3
 

@@ -20,12 +20,18 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def write_new(folder: str, name: str, parts) -> str:
-    """Writes the byte strings parts to a file of a name that no other attempt has; its URI. A file that an attempt left unfinished is named by nobody."""
+def create(folder: str, name: str):
+    """(URI, open stream) of a new file of a name that no other attempt has."""
     uri = f"{folder}/{name}-{uuid.uuid4().hex}"
     where, path = store(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
-    with where.open_output_stream(path) as out:
+    return uri, where.open_output_stream(path)
+
+
+def write_new(folder: str, name: str, parts) -> str:
+    """Writes the byte strings parts to a file of a name that no other attempt has; its URI. A file that an attempt left unfinished is named by nobody."""
+    uri, stream = create(folder, name)
+    with stream as out:
         for p in parts:
             out.write(p)
     return uri

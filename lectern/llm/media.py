@@ -1,21 +1,24 @@
 """Media columns: archives of images, planned by byte ranges and read member by member.
 
-store() writes 8-bit grey PNG images into tar archives of the shared folder. Beside each archive lies an index
-(Arrow) of its members' ids, offsets, sizes and checksums; a list names the archives of tasks that ended well, so what a lost
-or repeated attempt left behind is not read. The data source "image_archives" plans partitions over byte ranges of
-all archives, reads the index rows whose offsets fall in its range, and streams payloads in Arrow batches of a
-bounded size. A member that cannot be read, or whose checksum is wrong, is tried again from its own offset, with the
+store() streams 8-bit grey PNG images into tar archives of the shared folder. Beside each archive lies an index
+(Arrow) of its members' ids, offsets, sizes and checksums; a list, which Spark writes and commits, names the archives of tasks
+that ended well, so what a lost or repeated attempt left behind is not read, and goes with the folder. The data source
+"image_archives" plans partitions over byte ranges of all archives, reads the index rows whose offsets fall in its
+range, and streams payloads in Arrow batches of a bounded size. The planner holds a row for each archive and range;
+their sizes rise with the input, so that there are at most MOST_ARCHIVES and MOST_RANGES or about as many. A member that cannot be read, or whose checksum is wrong, is tried again from its own offset, with the
 archive opened anew; the others are not read twice.
 
 Defined results: a null text is empty; an empty text is one row of 576 bytes of 255. Equal texts give equal
-images. Repeated rows and null ids are kept. Long texts are stored whole. An empty table makes no archive.
+images. Repeated rows and null ids are kept. Long texts are stored whole. An empty table makes no archive. Of an
+image that could not be read (on_error=row) all features are null. Columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
 
 import binascii
 import hashlib
-import json
+import itertools
+import math
 import struct
 import time
 import zlib
@@ -34,6 +37,7 @@ PAD = b"\xff"
 ARCHIVE_BYTES = 64_000_000
 RANGE_BYTES = 16_000_000
 BATCH_BYTES = 4_000_000
+MOST_ARCHIVES, MOST_RANGES = 50_000, 100_000
 LEVEL = 1
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 TRIES = 4
@@ -99,46 +103,54 @@ def _tar_header(name: str, size: int) -> bytes:
     return head[:148] + b"%06o\0 " % sum(head) + head[156:]
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text", archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> str:
-    """Writes the images of all rows into archives; the folder, for the data source to load."""
+def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text", archive_bytes: int | None = None, level: int = LEVEL) -> str:
+    """Writes the images of all rows into archives; the folder, for the data source to load.
+
+    An archive ends after archive_bytes; unless that is given, after ARCHIVE_BYTES, or more where the plan states an input of more than MOST_ARCHIVES of these.
+    """
     spark = docs.sparkSession
     folder = C.fresh_path(spark, "media")
+    wanted = docs.select(id_col, text)
+    most = archive_bytes or max(ARCHIVE_BYTES, math.ceil(C.stated_bytes(wanted) / MOST_ARCHIVES))
 
     def write(batches):
-        ids, rows, parts, at, kind = [], [], [], 0, None
-
-        def closed():
-            nonlocal ids, rows, parts, at
-            uri = files.write_new(folder, "images.tar", [*parts, b"\0" * 1024])
+        kind = None
+
+        def members():
+            nonlocal kind
+            for b in batches:
+                kind = b.column(0).type
+                yield from zip(b.column(0).to_pylist(), b.column(1), strict=True)
+
+        rest = members()
+        for first in rest:
+            uri, stream = files.create(folder, "images.tar")
+            ids, rows, at = [], [], 0
+            with stream as out:
+                for key, value in itertools.chain([first], rest):
+                    image = encode(payload_of(value.as_py()), level)
+                    head = _tar_header(f"{len(ids):08d}.png", len(image))
+                    ids.append(key)
+                    rows.append((at + 512, len(image), binascii.crc32(image)))
+                    for part in (head, image, b"\0" * (-len(image) % 512)):
+                        out.write(part)
+                        at += len(part)
+                    if at >= most:
+                        break
+                out.write(b"\0" * 1024)
             sink = pa.BufferOutputStream()
             index = pa.table([pa.array(ids, kind), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))], names=["id", "offset", "size", "crc"])
             with pa.ipc.new_file(sink, index.schema) as out:
                 out.write_table(index, max_chunksize=4096)
             own = files.write_new(folder, "index.arrow", [sink.getvalue()])
-            row = pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([own]), pa.array([at + 1024])], names=["archive", "index", "bytes"])
-            ids, rows, parts, at = [], [], [], 0
-            return row
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([own]), pa.array([at + 1024])], names=["archive", "index", "bytes"])
 
-        for b in batches:
-            kind = b.column(0).type
-            for key, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                image = encode(payload_of(value.as_py()), level)
-                head = _tar_header(f"{len(ids):08d}.png", len(image))
-                ids.append(key)
-                rows.append((at + 512, len(image), binascii.crc32(image)))
-                parts += [head, image, b"\0" * (-len(image) % 512)]
-                at += sum(map(len, parts[-3:]))
-                if at >= archive_bytes:
-                    yield closed()
-        if ids:
-            yield closed()
-
-    made = docs.select(id_col, F.encode(F.col(text), "UTF-8").alias("t")).mapInArrow(write, "archive string, index string, bytes long")
-    listed = [r.asDict() for r in made.collect()]  # a row for each archive
+    made = wanted.select(id_col, F.encode(F.col(text), "UTF-8").alias("t")).mapInArrow(write, "archive string, index string, bytes long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    made.withColumn("kind", F.lit(kind)).write.parquet(f"{folder}/list")
     where, path = files.store(folder)
-    where.create_dir(path, recursive=True)
-    with where.open_output_stream(f"{path}/archives.json") as out:
-        out.write(json.dumps({"id": docs.schema[id_col].dataType.simpleString(), "archives": sorted(listed, key=lambda r: r["archive"])}).encode())
+    with where.open_output_stream(f"{path}/id-type") as out:
+        out.write(kind.encode())
     return folder
 
 
@@ -154,28 +166,30 @@ class ImageArchives(DataSource):
     def name(cls):
         return "image_archives"
 
-    def _listed(self) -> dict:
-        where, path = files.store(self.options["path"])
-        with where.open_input_stream(f"{path}/archives.json") as f:
-            return json.loads(f.read())
-
     def schema(self):
-        return f"id {self._listed()['id']}, offset long, image binary, error string"
+        where, path = files.store(self.options["path"])
+        with where.open_input_stream(f"{path}/id-type") as f:
+            return f"id {f.read().decode()}, offset long, image binary, error string"
 
     def reader(self, schema):
-        return _Reader(self._listed()["archives"], dict(self.options))
+        return _Reader(dict(self.options))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, archives: list[dict], options: dict):
-        self.archives = archives
+    def __init__(self, options: dict):
+        self.path = options["path"]
         number = lambda k, d: int(options.get(k, d))
-        self.range_bytes, self.batch_bytes, self.tries = number("range_bytes", RANGE_BYTES), number("batch_bytes", BATCH_BYTES), number("tries", TRIES)
+        self.range_bytes, self.batch_bytes, self.tries = number("range_bytes", 0), number("batch_bytes", BATCH_BYTES), number("tries", TRIES)
         self.fail = options.get("on_error", "fail") == "fail"
 
     def partitions(self):
-        out = [ByteRange(a["archive"], a["index"], lo, lo + self.range_bytes) for a in self.archives for lo in range(0, a["bytes"], self.range_bytes)]
-        return out or [ByteRange("", "", 0, 0)]
+        from pyarrow import fs, parquet
+
+        where, path = files.store(self.path)
+        parts = [f.path for f in where.get_file_info(fs.FileSelector(f"{path}/list")) if f.base_name.startswith("part-")]
+        listed = [r for p in sorted(parts) for r in parquet.read_table(p, columns=["archive", "index", "bytes"], filesystem=where).to_pylist()]
+        size = self.range_bytes or max(RANGE_BYTES, math.ceil(sum(a["bytes"] for a in listed) / MOST_RANGES))
+        return [ByteRange(a["archive"], a["index"], lo, lo + size) for a in listed for lo in range(0, a["bytes"], size)] or [ByteRange("", "", 0, 0)]
 
     def read(self, part):
         if not part.archive:
@@ -203,7 +217,7 @@ class _Reader(DataSourceReader):
                         raise OSError(f"member at {offset} of {part.archive} is damaged")
                     image, error = data, None
                     break
-                except OSError as e:
+                except (OSError, pa.ArrowException) as e:
                     source, error = None, str(e)
                     if k + 1 < self.tries:
                         time.sleep(0.05 * 2**k)
@@ -234,6 +248,9 @@ def features(images: DataFrame, id_col: str = "doc_id") -> DataFrame:
             rows = []
             for key, image in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = image.as_py()
+                if data is None:
+                    rows.append((key, *(None,) * 7))
+                    continue
                 p = decode(data)
                 rows.append((key, len(p.rstrip(PAD)), len(p), hashlib.sha256(p).hexdigest(), binascii.crc32(p[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(p)))
             columns = list(zip(*rows, strict=True)) or [[]] * 8

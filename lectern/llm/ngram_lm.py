@@ -199,8 +199,7 @@ class Model:
 
 def _buckets(docs: DataFrame) -> int:
     """By the size that the plan states for its input; only how finely work is dealt depends on it."""
-    stated = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(8, min(65_536, math.ceil(stated / BUCKET_BYTES)))
+    return max(8, min(65_536, math.ceil(C.stated_bytes(docs) / BUCKET_BYTES)))
 
 
 def fit(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Model:
