@@ -61,6 +61,12 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, name: str)
     return marked.where("_hot").drop("_hot").select(*rows.columns, *added).unionByName(rest.select(*rows.columns, *added))
 
 
+def hot_keys(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The keys of more than HOT of all rows, and of so many that they matter: fewer than 1 / HOT of them."""
+    total = rows.count()
+    return materialise(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(total * HOT, 1000)).select(key), name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and the session is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)

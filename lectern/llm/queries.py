@@ -12,19 +12,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rules of op1: verdict, host and path.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: Labels of host names that seed distrust in op1.
+#: A supplied table of op1: labels of host names that seed distrust. Another corpus brings its own (see url_graph.judge's blocklist).
 BLOCKED_LABELS = ["casino-win", "free-bets", "spam-farm", "ads-track", "cheap-pills", "adult-x"]
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds of distrust are the hosts of pages or links with one of BLOCKED_LABELS among their labels, subdomains included.
+    """Seeds of trust are hosts with a page that a rule allows. Seeds of distrust are hosts of which rules block every page
+    and those of pages or links with one of BLOCKED_LABELS among their labels, subdomains included.
 
     The labels are the six hyphenated ones of the page hosts at sf0.1: gambling, bets, spam, advertising, pills and adult
     content. Other hosts of the kind are found by their links only.
     """
     from . import url_graph
 
-    blocked = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, BLOCKED_LABELS)))
+    blocked = F.col("barred") | F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, BLOCKED_LABELS)))
     found = url_graph.judge(_table(spark, sf_dir, "pages"), URL_RULES, F.col("ruled"), blocked)
     return found.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 

@@ -7,11 +7,13 @@ to one site. Seeds are sought among the hosts of pages and of both ends of edges
 linked to. A host is blocked if its distrust is at least threshold of both. URL rules come first.
 
 Edges are summed before they move; each round is one join and one aggregation of sums, and is written to the
-shared folder. Rules are matched once for each host and only their paths for each page.
+shared folder. Rules are matched once for each host and only their paths for each page. Hosts with more than a
+thousandth of all edges or pages, fewer than a thousand by that, are joined apart from the rest.
 
 Defined results: a null URL or one without :// has an empty host and path, fits no rule and is allowed. Repeated
 rows are judged alike, each for itself. Links in null pages: none. Without seeds or edges no host is distrusted but the blocked ones
-themselves. Of equally long rules blocking wins. An empty table gives an empty result.
+themselves. Of equally long rules blocking wins. An empty table gives an empty result. Columns other than the id, URL
+and page are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from . import common as C
 DAMPING = 0.85
 THRESHOLD = 0.5
 TOLERANCE = 1e-4
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/"'\s>?#]+)"""
+#: Rounds that one plan holds.
+TURNS = 4
+#: A tag ends at the next < or > and white space is not given back, so the search takes time linear in the page.
+LINK = r"""(?i)<a\s[^<>]*?href\s*+=\s*+["']?+\s*+(?:[a-z][a-z0-9+.-]*+:)?+//([^/"'\s>?#]+)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -63,14 +68,31 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     along = edges.join(out, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("w") / F.col("t")).alias("ft"), F.lit(0.0).alias("fd"))
     against = edges.join(into, "dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("ft"), (F.col("w") / F.col("t")).alias("fd"))
     steps = C.materialise(along.unionByName(against).groupBy("a", "b").agg(F.sum("ft").alias("ft"), F.sum("fd").alias("fd")), "host-steps")
+    hot, hubs, others = C.hot_keys(steps, "a", "host-hubs"), None, steps
+    if not hot.isEmpty():
+        hubs, others = (C.materialise(steps.join(F.broadcast(hot), "a", how), "host-steps") for how in ("left_semi", "left_anti"))
+        C.discard(steps)
     start = C.materialise(seeds.where("trusted > 0 OR blocked > 0"), "host-seeds")
     rank = C.materialise(start.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"), F.lit(0.0).alias("moved")), "host-rank")
     jump = start.select("host", (F.col("trusted") * (1 - damping)).alias("trust"), (F.col("blocked") * (1 - damping)).alias("distrust"), F.lit(0.0).alias("t0"), F.lit(0.0).alias("d0"))
-    for _ in range(most_rounds):
-        sent = rank.join(steps, F.col("host") == F.col("a")).select(F.col("b").alias("host"), (F.col("trust") * F.col("ft") * damping).alias("trust"), (F.col("distrust") * F.col("fd") * damping).alias("distrust"), F.lit(0.0).alias("t0"), F.lit(0.0).alias("d0"))
-        before = rank.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"), F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
+
+    def turn(now, last):
+        moving = now.join(others, F.col("host") == F.col("a"))
+        if hubs is not None:  # of the hubs, less than 1 / HOT rows
+            moving = moving.unionByName(hubs.join(F.broadcast(now.join(F.broadcast(hot), F.col("host") == F.col("a"), "left_semi")), F.col("host") == F.col("a")).select(*moving.columns))
+        sent = moving.select(F.col("b").alias("host"), (F.col("trust") * F.col("ft") * damping).alias("trust"), (F.col("distrust") * F.col("fd") * damping).alias("distrust"), F.lit(0.0).alias("t0"), F.lit(0.0).alias("d0"))
+        if not last:
+            return jump.unionByName(sent).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        before = now.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"), F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
         summed = jump.unionByName(sent).unionByName(before).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "t0", "d0")])
-        after = C.materialise(summed.select("host", "trust", "distrust", (F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0"))).alias("moved")), "host-rank")
+        return summed.select("host", "trust", "distrust", (F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0"))).alias("moved"))
+
+    at_once = TURNS if hubs is None else 1  # a plan with hubs reads the last round twice
+    for done in range(0, most_rounds, at_once):
+        after, n = rank, min(at_once, most_rounds - done)
+        for k in range(n):
+            after = turn(after, k == n - 1)
+        after = C.materialise(after, "host-rank")
         C.discard(rank)
         rank = after
         if (rank.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
@@ -78,11 +100,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     return rank.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], trusted: Column, blocked: Column, id_col: str = "page_id", url: str = "url", html: str = "html", threshold: float = THRESHOLD, min_labels: int = 3, damping: float = DAMPING) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], trusted: Column, blocked: Column, id_col: str = "page_id", url: str = "url", html: str = "html", threshold: float = THRESHOLD, min_labels: int = 3, damping: float = DAMPING, blocklist: DataFrame | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) for each row of pages.
 
-    rules are (allow or block, host and path); trusted and blocked are conditions on the column host, of
-    pages or links, and on ruled, whether a page of the host is allowed by a rule. A host of both is blocked.
+    rules are (allow or block, host and path). Seeds are hosts of pages or links: trusted and blocked are conditions on the
+    column host, on ruled, whether a page of the host is allowed by a rule, and on barred, whether rules block all of its
+    pages; blocklist may be a table with a column host, whose hosts and their subdomains are blocked seeds too. A host of both
+    is blocked.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
@@ -92,15 +116,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], trusted: Column, block
     fits = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("on")).join(table, "on").groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.length("rule").alias("n"), "verdict", "rule", "prefix"))).alias("rules"))
     ruled = C.materialise(hosts.join(fits, "host", "left"), "hosts")
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["prefix"])))
-    allowed = named.join(ruled.where("rules IS NOT NULL").select("host", "rules"), "host").where(best["verdict"] == "allow").select("host").distinct().select(F.col("host").alias("h"), F.lit(True).alias("ruled"))
+    by_rule = named.join(ruled.where("rules IS NOT NULL").select("host", "rules"), "host").groupBy("host").agg(*(F.count(F.when(best["verdict"] == v, 1)).alias(v) for v in ("allow", "block")))
+    held = by_rule.join(ruled.select("host", "pages"), "host").select(F.col("host").alias("h"), (F.col("allow") > 0).alias("ruled"), (F.col("block") == F.col("pages")).alias("barred"))
     edges = C.materialise(host_edges(pages, url, html, min_labels), "host-edges")
     named_hosts = ruled.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
-    marks = named_hosts.join(allowed, F.col("host") == F.col("h"), "left").select("host", F.coalesce("ruled", F.lit(False)).alias("ruled")).select("host", trusted.alias("t"), blocked.alias("b")).select("host", F.when(F.col("t") & ~F.col("b"), 1.0).otherwise(0.0).alias("t"), F.when(F.col("b"), 1.0).otherwise(0.0).alias("b"))
+    no = F.lit(False)
+    known = named_hosts.join(held, F.col("host") == F.col("h"), "left").select("host", F.coalesce("ruled", no).alias("ruled"), F.coalesce("barred", no).alias("barred"), no.alias("listed"))
+    if blocklist is not None:
+        listed = known.select("host", F.explode(suffixes(F.col("host"))).alias("on")).join(blocklist.select(C.lower_ascii(F.col("host")).alias("on")), "on", "left_semi").select(F.col("host").alias("h")).distinct()
+        known = known.drop("listed").join(listed, F.col("host") == F.col("h"), "left").withColumn("listed", F.col("h").isNotNull()).drop("h")
+    marks = known.select("host", trusted.alias("t"), (blocked | F.col("listed")).alias("b")).select("host", F.when(F.col("t") & ~F.col("b"), 1.0).otherwise(0.0).alias("t"), F.when(F.col("b"), 1.0).otherwise(0.0).alias("b"))
     marks = C.materialise(marks.where("t > 0 OR b > 0"), "host-marks")
     sums = marks.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
     seeds = marks.select("host", (F.col("t") / (sums["t"] or 1.0)).alias("trusted"), (F.col("b") / (sums["b"] or 1.0)).alias("blocked"))
     ranks = propagate(edges, seeds, damping)
-    facts = ruled.join(ranks, "host", "left").select("host", "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    found = named.join(facts.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left")
+    facts = ruled.join(ranks, "host", "left").select("host", F.col("pages").alias("n"), "rules", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    own = named.select(F.col(id_col).alias("_id"), "host", "path")
+    hostless = own.where("host = ''").select("*", F.lit(None).cast(facts.schema["rules"].dataType).alias("rules"), F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
+    total = ruled.agg(F.sum("pages")).first()[0] or 0
+    found = C.join_hot(own.where("host <> ''"), facts, "host", total, "host-facts").unionByName(hostless).withColumnRenamed("_id", id_col)
     bad = (F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))
     return found.select(id_col, "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
