@@ -6,8 +6,8 @@ no more than `passes` are allowed. As cost lies on the arcs into patterns and ri
 passes one after the other with a maximal flow, each time continuing from the last, gives the cheapest flow.
 
 A pattern's flow buys whole passes over all its documents and, for the rest, those documents that come first
-by a seeded hash. A histogram of 65,536 hash buckets finds the bucket in which the rest runs out, and only that
-bucket's rows are ordered. The document at which it runs out gives what is left (cut="partial") or, where that
+by a seeded hash. Three histograms, each of the 256 parts of the part in which the rest ran out before, find where it runs
+out to 1 in 16 million, and only the rows there are ordered. The document at which it runs out gives what is left (cut="partial") or, where that
 is at least half of it, all its words (cut="whole").
 
 The driver holds a row for each pattern. Their number does not grow with documents, but with the mixture that is
@@ -15,7 +15,8 @@ asked for; beyond max_patterns it is an error, not a silent cut.
 
 Defined results: null texts have size 0 and take 0. A null source is a source of its own, last in order. Sources
 without words have target 0. Repeated rows draw alike; where the rest runs out among rows of one id, they share it
-evenly. Null ids draw as one id. An empty table gives an empty result.
+evenly. Null ids draw as one id. An empty table gives an empty result. Long texts are counted whole. Columns other than
+the id, text and source are not looked at; mixed() returns them as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ SHARE = 1.5
 PASSES = 2
 SEED = 1729
 MAX_PATTERNS = 100_000
-BUCKETS = 65_536
+#: Bits of the hash that a histogram looks at, and histograms.
+DIGIT, DIGITS = 8, 3
 
 
 def targets(sizes: dict, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: float = PASSES) -> dict:
@@ -133,8 +135,9 @@ def _draw(id_col: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(id_col))
 
 
-def _bucket(draw: Column) -> Column:
-    return F.shiftrightunsigned(draw.bitwiseXOR(F.lit(-(2**63))), 48)  # buckets rise with the signed hash
+def _place(draw: Column, bits: int) -> Column:
+    """The first bits of a draw, as a number that rises with the signed hash."""
+    return F.shiftrightunsigned(draw.bitwiseXOR(F.lit(-(2**63))), 64 - bits)
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
@@ -165,11 +168,15 @@ def plan(found: DataFrame, id_col: str = "doc_id", weights: tuple[float, ...] =
     wanted = spark.createDataFrame(bought, "pattern array<string>, base long, more long, source_size long, target double")
     open_ = wanted.where("more > 0").select(F.col("pattern").alias("p"), "more")
     join = F.col("pattern") == F.col("p")
-    # both windows are of bounded size: at most BUCKETS rows of sums, and the rows of one bucket
-    by_bucket = found.join(open_, join).groupBy("p", "more", _bucket(F.col("draw")).alias("b")).agg(F.sum("size").alias("n"))
-    run = by_bucket.withColumn("upto", F.sum("n").over(W.partitionBy("p").orderBy("b")))
-    last = C.materialise(run.where("upto >= more and upto - n < more").select("p", "b", (F.col("more") - (F.col("upto") - F.col("n"))).alias("need")), "mixing-bucket")
-    inside = found.join(last, join & (_bucket(F.col("draw")) == F.col("b"))).groupBy("p", "need", "draw").agg(F.sum("size").alias("n"))
+    # at most 256 sums of a pattern come into a window, then the few rows of one place
+    last = open_.select("p", F.lit(0).cast("long").alias("place"), F.col("more").alias("need"))
+    for digit in range(1, DIGITS + 1):
+        bits = DIGIT * digit
+        within = found.join(last, join & (_place(F.col("draw"), bits - DIGIT) == F.col("place"))) if digit > 1 else found.join(last, join)
+        sums = within.groupBy("p", "need", _place(F.col("draw"), bits).alias("b")).agg(F.sum("size").alias("n"))
+        run = sums.withColumn("upto", F.sum("n").over(W.partitionBy("p").orderBy("b")))
+        last = C.materialise(run.where("upto >= need and upto - n < need").select("p", F.col("b").alias("place"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("need")), "mixing-place")
+    inside = found.join(last, join & (_place(F.col("draw"), DIGIT * DIGITS) == F.col("place"))).groupBy("p", "need", "draw").agg(F.sum("size").alias("n"))
     ordered = inside.withColumn("upto", F.sum("n").over(W.partitionBy("p").orderBy("draw")))
     cuts = ordered.where("upto >= need and upto - n < need").select("p", F.col("draw").alias("cut"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("rest"), F.col("n").alias("at_cut"))
     return C.materialise(wanted.join(cuts, join, "left").select("pattern", "base", "cut", "rest", "at_cut", "source_size", "target"), "mixing-plan")
