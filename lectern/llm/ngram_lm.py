@@ -4,7 +4,8 @@ Counting: each task merges its own word pairs and sends them, as compressed blob
 hash, salted by the second's so that a frequent word is spread. A bucket's pairs become one file: hashes in order,
 then counts. Of each word the buckets pass on what it does as a context (count, and pairs seen once, twice and
 more often) and as a continuation (distinct words before it); a second, smaller exchange adds these up into files of
-words in order of their hash. No n-gram is pruned. The driver holds a row for each file and seven sums.
+words in order of their hash. No n-gram is pruned and no count is clipped. The driver holds a row for each file,
+the counts of LARGE or more and seven sums.
 
 Scoring: workers map the files and look up sorted batches of hashes, so a file is swept once for each batch.
 
@@ -14,7 +15,8 @@ are separate).
 
 Defined results: null texts are empty; an empty text is one end token. Without training texts all counts are zero
 and each token has probability one, as base_score has it. Repeated rows are counted and scored each for itself.
-A null id trains. Long texts are used whole. An empty table gives an empty result.
+A null id trains. Long texts are used whole. An empty table gives an empty result. Columns other than the id and the
+text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ CHUNK = 2_500_000
 BUCKET_BYTES = 8_000_000
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PAIR_KINDS = ["<u8", "<u4"]
-WORD_KINDS = ["<u8", "<u8", "<u4", "<u4", "<u4", "<u4"]
+WORD_KINDS = ["<u8"] * 6
+#: What a file has for a pair seen at least as often; how often, the driver tells. Of these there are at most tokens / LARGE, 4,000 in 100 TB.
+LARGE = 2**32 - 1
 
 
 def held_out(id_col: str):
@@ -125,6 +129,7 @@ class Model:
     tokens: int = 0
     types: int = 0
     distinct_pairs: int = 0
+    large: dict[int, dict[int, int]] = field(default_factory=dict)
     pair_counts: list[int] = field(default_factory=lambda: [0] * 4)
     word_counts: list[int] = field(default_factory=lambda: [0] * 4)
 
@@ -163,6 +168,8 @@ class Model:
             rows = order[ends[k - 1] if k else 0 : ends[k]]
             if len(rows):
                 out[rows] = self._find(self.pairs, k, key[rows], PAIR_KINDS)[0]
+                for at in rows[out[rows] == LARGE]:
+                    out[at] = self.large[k][int(key[at])]
         return out
 
     def score(self, docs: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
@@ -204,7 +211,7 @@ def _buckets(docs: DataFrame) -> int:
 
 def fit(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Model:
     """The model of all rows of docs."""
-    spark, n_buckets = docs.sparkSession, buckets or _buckets(docs)
+    spark, n_buckets, large = docs.sparkSession, buckets or _buckets(docs), LARGE
     folder = C.fresh_path(spark, "ngrams")
     schema = "bucket int, kind string, blob binary, uri string, n long, s array<long>"
     names = ["bucket", "kind", "blob", "uri", "n", "s"]
@@ -256,8 +263,9 @@ def fit(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Mode
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         times = np.add.reduceat(n[order].astype(np.int64), first)
         a, b, key = a[order[first]], b[order[first]], key[first]
-        uri = files.write_arrays(folder, f"pairs-{bucket}", [key.astype("<u8"), np.minimum(times, 2**32 - 1).astype("<u4")])
-        rows = [(bucket % n_buckets, "pairs", None, uri, len(key), [bucket, *(int(np.count_nonzero(times == i)) for i in (1, 2, 3, 4))])]
+        uri = files.write_arrays(folder, f"pairs-{bucket}", [key.astype("<u8"), np.minimum(times, large).astype("<u4")])
+        often = np.flatnonzero(times >= large)
+        rows = [(bucket % n_buckets, "pairs", None, uri, len(key), [bucket, *(int(np.count_nonzero(times == i)) for i in (1, 2, 3, 4)), *key[often].astype(np.int64).tolist(), *times[often].tolist()])]
         context, (c, n1, n2, n3) = _sums(a, [times, times == 1, times == 2, times > 2])
         word, (before, ends) = _sums(b, [np.ones(len(b), np.int64), np.where(b == END, times, 0)])
         w = np.concatenate((context, word))
@@ -267,7 +275,7 @@ def fit(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Mode
         cuts = np.searchsorted(at, np.arange(n_buckets + 1))
         for k in np.unique(at).tolist():
             cut = slice(cuts[k], cuts[k + 1])
-            rows.append((k, "words", squeeze(w[cut], [columns[0][cut].astype("<u8"), *(x[cut].astype("<u4") for x in columns[1:])]), None, None, None))
+            rows.append((k, "words", squeeze(w[cut], [columns[0][cut].astype("<u8"), *(x[cut].astype("<u8") for x in columns[1:])]), None, None, None))
         return table(rows)
 
     def words(group: pa.Table) -> pa.Table:
@@ -281,7 +289,7 @@ def fit(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Mode
             bucket = group.column("bucket")[0].as_py()
             w, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
             w, columns = _sums(w, columns)
-            uri = files.write_arrays(folder, f"words-{bucket}", [w.astype("<u8"), columns[0].astype("<u8"), *(np.minimum(x, 2**32 - 1).astype("<u4") for x in columns[1:])])
+            uri = files.write_arrays(folder, f"words-{bucket}", [w.astype("<u8"), *(x.astype("<u8") for x in columns)])
             real = w != START
             before = columns[4][real]
             rows.append((bucket, "words", None, uri, len(w), [int(columns[0][real].sum()), int(np.count_nonzero(columns[0][real])), *(int(np.count_nonzero(before == i)) for i in (1, 2, 3, 4))]))
@@ -294,7 +302,10 @@ def fit(docs: DataFrame, text: str = "text", buckets: int | None = None) -> Mode
         if r["kind"] == "pairs":
             model.pairs[r["s"][0]] = (r["uri"], r["n"])
             model.distinct_pairs += r["n"]
-            model.pair_counts = [x + y for x, y in zip(model.pair_counts, r["s"][1:], strict=True)]
+            model.pair_counts = [x + y for x, y in zip(model.pair_counts, r["s"][1:5], strict=True)]
+            often = r["s"][5:]
+            if often:
+                model.large[r["s"][0]] = dict(zip(often[: len(often) // 2], often[len(often) // 2 :], strict=True))
         else:
             model.words[r["bucket"]] = (r["uri"], r["n"])
             model.tokens += r["s"][0]
