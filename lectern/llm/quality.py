@@ -103,10 +103,11 @@ def _pattern() -> Column:
     return sum(((F.expr(rule) + 1) * 3**i for i, (_, rule) in enumerate(RULES)), F.lit(0)).cast("int")
 
 
-def fit(found: DataFrame, rounds: int = 30, good: float = 0.8, right_good: float = 0.98, right_bad: float = 0.5, weight: float = 20.0) -> DataFrame:
+def fit(found: DataFrame, most_rounds: int = 2000, tolerance: float = 1e-9, good: float = 0.8, right_good: float = 0.98, right_bad: float = 0.5, weight: float = 20.0) -> DataFrame:
     """Posterior probability of good quality for each vote pattern: (pattern, posterior, model).
 
-    found has the columns FEATURES. A rule has two accuracies, as junk of one kind passes the rules for others:
+    found has the columns FEATURES, or pattern. Rounds end when no number of the model moved by more than tolerance; the query
+    fails if most_rounds are not enough. A rule has two accuracies, as junk of one kind passes the rules for others:
     how often it votes good on good documents, and bad on bad ones, where it votes at all. good, right_good and
     right_bad are where expectation-maximisation starts and, with weight as so many imagined documents, what it
     leans to. Good votes stay right on at least 0.9 of the good and bad votes on at least 0.11 of the bad
@@ -114,7 +115,7 @@ def fit(found: DataFrame, rounds: int = 30, good: float = 0.8, right_good: float
     the rules' accuracies on good ones, then those on bad ones.
     """
     k = len(RULES)
-    tally = found.select(_pattern().alias("pattern")).groupBy("pattern").agg(F.count("*").cast("double").alias("n"))
+    tally = found.select(F.col("pattern") if "pattern" in found.columns else _pattern().alias("pattern")).groupBy("pattern").agg(F.count("*").cast("double").alias("n"))
     votes = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.pmod(F.floor(F.col("pattern") / F.pow(F.lit(3.0), i)), F.lit(3)) - 1).cast("double"))
     table = tally.select("pattern", "n", votes.alias("v")).agg(F.sort_array(F.collect_list(F.struct("pattern", "n", "v"))).alias("ps"))
 
@@ -149,18 +150,25 @@ def fit(found: DataFrame, rounds: int = 30, good: float = 0.8, right_good: float
         return C.let(scored, update)
 
     start = F.array(F.lit(good), *[F.lit(right_good)] * k, *[F.lit(right_bad)] * k)
-    model = table.select("ps", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda m, _: step(m)).alias("m"))
+    state = lambda m, moved: F.struct(m.alias("m"), moved.alias("moved"))
+    on = lambda s: C.let(step(s["m"]), lambda m: state(m, F.array_max(F.zip_with(m, s["m"], lambda x, y: F.abs(x - y)))))
+    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(most_rounds)), state(start, one), lambda s, _: F.when(s["moved"] > tolerance, on(s)).otherwise(s))
+    settled = lambda s: F.when(s["moved"] <= tolerance, s["m"]).otherwise(F.raise_error(F.lit(f"the rules' accuracies did not settle in {most_rounds} rounds")).cast("array<double>"))
+    model = table.select("ps", C.let(fitted, settled).alias("m"))
     made = C.let(evidence(F.col("m")), lambda e: F.transform("ps", lambda p: F.struct(p["pattern"].alias("pattern"), posterior(e, p["v"]).alias("posterior"))))
     return model.select(F.explode(made).alias("p"), "m").select("p.pattern", "p.posterior", F.col("m").alias("model"))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def judge(found: DataFrame, model: DataFrame, threshold: float = 0.5) -> DataFrame:
     """found (with FEATURES) with base_failed, posterior and kept."""
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     small = F.broadcast(model.select(F.col("pattern").alias("_pattern"), F.col("posterior")))  # at most 3 ** len(RULES) rows
     clean = found.drop("base_failed", "posterior", "kept")
     joined = clean.withColumn("_key", _pattern()).join(small, F.col("_key") == F.col("_pattern"), "left").drop("_key", "_pattern")
-    return joined.withColumn("base_failed", base).withColumn("kept", ~base & (F.coalesce("posterior", F.lit(0.0)) >= threshold))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce("posterior", F.lit(0.0)) >= threshold))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -170,9 +178,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that are kept, with their own columns. The rules are learned in one pass and applied in a second, so no text is shuffled or copied."""
+    """The documents that are kept, with their own columns. Features are computed once: rows that pass the base rules are written with their votes, for the second pass to choose from. Nothing is shuffled but counts of votes.
+
+    The rules are learned on all rows, so of those that fail the base rules the votes are written, not the columns.
+    """
     own = docs.columns
     named = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)])
-    column = f"c{own.index(text)}"
-    model = C.materialise(fit(features(named.select(column), column)), "quality-model")
-    return judge(features(named, column), model, threshold).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
+    found = features(named, f"c{own.index(text)}").withColumn("failed", base_failed())
+    row = F.when(~F.col("failed"), F.struct(*[f"c{i}" for i in range(len(own))]))
+    voted = C.materialise(found.select(_pattern().alias("pattern"), row.alias("row")), "quality-votes")
+    model = C.materialise(fit(voted.select("pattern")), "quality-model")
+    good = F.broadcast(model.where(F.col("posterior") >= threshold).select(F.col("pattern").alias("_pattern")))  # at most 3 ** len(RULES) rows
+    kept = voted.where("row IS NOT NULL").join(good, F.col("pattern") == F.col("_pattern"), "left_semi")
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(own)])

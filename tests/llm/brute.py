@@ -94,3 +94,71 @@ def check_pieces(rows, docs, encode):
         assert at <= 4096
         padding += 0 if at & (at - 1) == 0 else 4096 - at
     return padding
+
+
+def features(text):
+    import regex
+
+    n, chars, symbols, dup, repeat = quality(text)
+    ws, text = words(text), text or ""
+    lines = [x for x in text.split("\n") if words(x)]
+    stop = set(STOP) | {w[:1].upper() + w[1:].lower() for w in STOP}
+    return dict(n_words=n, word_chars=chars, n_symbols=symbols, n_dup_lines=dup, n_repeat_words=repeat, n_lines=len(lines), n_stopwords=sum(w in stop for w in ws), n_letters=len(regex.findall(r"\p{L}", text)), n_capitals=len(regex.findall(r"\p{Lu}", text)))
+
+
+STOP = (
+    "the of and to in is it that for with as on be at by this from are or an was le la les de des et en un une du que qui est "
+    "pour dans par au sur der die das und zu den mit von ist nicht ein eine dem im el los del las se su con por para lo al"
+).split()
+
+
+def votes(f):
+    n = f["n_words"]
+    vote = lambda on, bad, good: 0 if not on else -1 if bad else 1 if good else 0
+    return (
+        vote(n > 0, f["n_symbols"] > 0.2 * n, f["n_symbols"] <= 0.05 * n),
+        vote(n >= 20, f["n_repeat_words"] > 0.35 * n, f["n_repeat_words"] <= 0.2 * n),
+        vote(f["n_lines"] >= 4, f["n_dup_lines"] > 0.4 * f["n_lines"], f["n_dup_lines"] <= 0.2 * f["n_lines"]),
+        vote(n >= 20, f["word_chars"] < 3 * n or f["word_chars"] > 9 * n, 4 * n <= f["word_chars"] <= 7 * n),
+        vote(n >= 20, f["n_stopwords"] < 0.05 * n, f["n_stopwords"] >= 0.12 * n),
+        vote(n >= 20, f["n_letters"] < 0.75 * f["word_chars"], f["n_letters"] >= 0.9 * f["word_chars"]),
+        vote(n >= 20, f["n_capitals"] > 0.4 * f["n_letters"], f["n_capitals"] <= 0.15 * f["n_letters"]),
+    )
+
+
+def posteriors(vs, good=0.8, right_good=0.98, right_bad=0.5, weight=20.0):
+    """Expectation-maximisation over each document by itself, to the end."""
+    import math
+
+    k = len(vs[0])
+    share, g, b = good, [right_good] * k, [right_bad] * k
+    count = Counter(vs)
+    for _ in range(5000):
+        post = {}
+        for v in count:
+            odds = math.log(share / (1 - share)) + sum(math.log(g[i] / (1 - b[i])) if x > 0 else math.log((1 - g[i]) / b[i]) if x < 0 else 0 for i, x in enumerate(v))
+            post[v] = 1 / (1 + math.exp(-odds))
+        clamp = lambda x, lo, hi: min(max(x, lo), hi)
+        mass = sum(n * post[v] for v, n in count.items())
+        new = clamp((mass + weight * good) / (len(vs) + weight), 0.05, 0.99)
+        new_g, new_b = [], []
+        for i in range(k):
+            hit = sum(n * post[v] for v, n in count.items() if v[i] > 0)
+            cast = sum(n * post[v] for v, n in count.items() if v[i])
+            new_g.append(clamp((hit + weight * right_good) / (cast + weight), 0.9, 0.9999))
+            hit = sum(n * (1 - post[v]) for v, n in count.items() if v[i] < 0)
+            cast = sum(n * (1 - post[v]) for v, n in count.items() if v[i])
+            new_b.append(clamp((hit + weight * right_bad) / (cast + weight), 0.11, 0.995))
+        moved = max(abs(x - y) for x, y in zip([share, *g, *b], [new, *new_g, *new_b], strict=True))
+        share, g, b = new, new_g, new_b
+        if moved < 1e-12:
+            break
+    return post
+
+
+def kept(rows):
+    """Places of the texts that the quality rules keep."""
+    found = [features(t) for t in rows]
+    vs = [votes(f) for f in found]
+    post = posteriors(vs)
+    return [i for i, f in enumerate(found) if f["n_words"] >= 50 and 100 * f["n_repeat_words"] <= 50 * f["n_words"] and post[vs[i]] >= 0.5], [post[v] for v in vs]
