@@ -30,14 +30,22 @@ def tokens(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
+#: Characters beyond the Basic Multilingual Plane, one for each distinct word of a pair. More words would take 10 ** 12 steps to compare.
+FIRST, DISTINCT = 0x10000, 0x100000
+
+
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of words: each distinct word of the pair becomes one character. For up to 35,000 distinct words."""
+    """Edit distance of two arrays of words: each distinct word of the pair becomes one character. Over DISTINCT of them it is an error.
+
+    Finding a word's place takes time in the square of the words, as the distance itself does.
+    """
 
     def encoded(d: Column, ws: Column) -> Column:
-        hexes = F.transform(ws, lambda w: F.lpad(F.hex(F.lit(19968) + F.array_position(d, w)), 4, "0"))
-        return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-16BE")
+        hexes = F.transform(ws, lambda w: F.lpad(F.hex(F.lit(FIRST - 1) + F.array_position(d, w)), 8, "0"))
+        return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
 
-    return bind(F.array_distinct(F.concat(a, b)), lambda d: F.levenshtein(encoded(d, a), encoded(d, b)))
+    apart = bind(F.array_distinct(F.concat(a, b)), lambda d: F.when(F.size(d) > DISTINCT, F.raise_error(F.lit(f"over {DISTINCT} distinct words")).cast("int")).otherwise(F.levenshtein(encoded(d, a), encoded(d, b))))
+    return F.when(a == b, F.lit(0)).otherwise(apart)
 
 
 def char_errors(gt: Column, predicted: Column) -> Column:
@@ -128,7 +136,7 @@ def wiki_target(url: Column) -> Column:
     language = F.regexp_extract(host, r"^([a-z][a-z0-9-]*)\.(?:m\.)?wikipedia\.org$", 1)
     decode = lambda c: F.replace(F.try_url_decode(c), F.lit("_"), F.lit(" "))
     in_path = path.startswith("/wiki/")
-    title = F.when(in_path, decode(F.replace(F.substring(path, 7, 1_000_000), F.lit("+"), F.lit("%2B")))).when(path == "/w/index.php", decode(F.get(titles, F.lit(0))))
+    title = F.when(in_path, decode(F.replace(F.substr(path, F.lit(7)), F.lit("+"), F.lit("%2B")))).when(path == "/w/index.php", decode(F.get(titles, F.lit(0))))
     number = F.get(old, F.lit(0)).try_cast("long")
     bad_old = (F.size(old) > 1) | ((F.size(old) == 1) & ~F.coalesce(F.get(old, F.lit(0)).rlike("^[0-9]+$") & (number >= 1), F.lit(False)))
     problem = F.when(~F.lower(part(1)).isin("http", "https"), "scheme").when(language == "", "host").when(bad_old, "oldid").when(~(in_path | (path == "/w/index.php")), "path").when((path == "/w/index.php") & (F.size(titles) > 1), "title").when((F.coalesce(title, F.lit("")) == "") & (F.size(old) == 0), "title")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..tables import discard, materialise
 
 KEY = "artifact_id"
 TOLERANCE_PDF, TOLERANCE_IMAGE = 0.01, 0.05
@@ -153,7 +154,7 @@ def cell_findings(cells: DataFrame, tables: DataFrame, image: bool = False) -> D
     amiss = F.col("first") > 1 if image else F.col("first") != 1
     seen = F.array(code(amiss, "source_cell_occurrence"), code(F.col("texts") > 1, "repeated_header_text"))
     out = out.unionByName(by_source.select(KEY, "element_id", F.explode(F.array_compact(seen)).alias("code")))
-    slots = c.where(real & (down <= F.size("rows")) & (right <= F.col("n_columns"))).select(KEY, "parent_id", "id", F.explode(F.sequence(row, row + F.least(down, F.lit(1000)) - 1)).alias("r"), F.sequence(col, col + F.least(right, F.lit(1000)) - 1).alias("cs")).select(KEY, "parent_id", "id", "r", F.explode("cs").alias("c"))
+    slots = c.where(real & (down <= F.size("rows")) & (right <= F.col("n_columns"))).select(KEY, "parent_id", "id", F.explode(F.sequence(row, row + down - 1)).alias("r"), F.sequence(col, col + right - 1).alias("cs")).select(KEY, "parent_id", "id", "r", F.explode("cs").alias("c"))
     later = slots.withColumn("before", F.row_number().over(W.partitionBy(KEY, "parent_id", "r", "c").orderBy("id"))).where("before > 1")
     return out.unionByName(later.select(KEY, F.col("id").alias("element_id"), F.lit("cell_overlap").alias("code")).distinct())
 
@@ -220,14 +221,22 @@ def order_coverage(elements: DataFrame, listed: DataFrame) -> DataFrame:
     return a.unionByName(named.join(have, [KEY, "kind", "id"], "left_anti").withColumn("side", F.lit("unknown")))
 
 
-def parent_cycles(elements: DataFrame, depth: int = 64) -> DataFrame:
-    """Elements on or below a cycle of parents: after 2 ** k steps of pointer doubling, at least depth and as many as the largest artifact has elements, they still have an ancestor."""
+def parent_cycles(elements: DataFrame) -> DataFrame:
+    """Elements on or below a cycle of parents.
+
+    Pointer doubling: who still has an ancestor after as many steps as the largest artifact has elements never comes to
+    an end. It stops sooner, where nobody has an ancestor left.
+    """
     up = elements.select(KEY, "id", F.col("parent_id").alias("at")).where("at IS NOT NULL").dropDuplicates([KEY, "id"])
-    depth = max(depth, up.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0)
+    up = materialise(up, "parents")
+    most = up.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0
     steps = 1
-    while steps <= depth:
+    while steps <= most:
         nxt = up.select(KEY, F.col("id").alias("at"), F.col("at").alias("further"))
-        up = up.join(nxt, [KEY, "at"]).select(KEY, "id", F.col("further").alias("at")).localCheckpoint()  # else plans double
+        before, up = up, materialise(up.join(nxt, [KEY, "at"]).select(KEY, "id", F.col("further").alias("at")), "parents")
+        discard(before)
+        if up.isEmpty():
+            break
         steps *= 2
     return up.select(KEY, F.col("id").alias("element_id"), F.lit("parent_cycle").alias("code"))
 

@@ -16,16 +16,16 @@ from ..operators import reports as R
 from ..operators import scope as V
 from ..operators import selection as S
 from ..operators import structure as X
-from ..sources.derived import PROFILES, TEMPLATES, gt_lines, lines, over_whole_texts, part, pred_lines, table
+from ..sources.derived import PROFILES, TEMPLATES, gt_lines, lines, pred_lines, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 LINES = """lines AS (SELECT doc_id, lang AS language, source AS family, ['simple_article', 'scientific_paper', 'magazine_layout'][CAST(doc_id % 3 AS INT) + 1] AS template, line AS text, pos
-  FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)
-  WHERE length(line) BETWEEN 1 AND 200 AND regexp_full_match(line, '[ -~]+') AND regexp_matches(line, '[!-~]'))"""
-GT = LINES + """, gt AS (SELECT doc_id || '_' || profile AS artifact_id, doc_id, language, family, template, profile, k, pos AS gt_index, text, 50.0::DOUBLE AS x, (5.0 * pos)::DOUBLE AS y, (6.0 * length(text))::DOUBLE AS w, 12.0::DOUBLE AS h
-  FROM lines, (VALUES ('clean', 0), ('light_scan', 1), ('medium_scan', 2), ('heavy_scan', 3)) p(profile, k))"""
+  FROM (SELECT doc_id, lang, source, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '[^\\n]{1,80}') AS ls FROM documents))
+  WHERE trim(line) <> '')"""
+GT = LINES + """, gt AS (SELECT page_id || '_' || profile AS artifact_id, page_id, doc_id, language, family, template, profile, k, gt_index, text, 50.0::DOUBLE AS x, (5.0 * gt_index)::DOUBLE AS y, (6.0 * length(text))::DOUBLE AS w, 12.0::DOUBLE AS h
+  FROM (SELECT *, doc_id || '_' || (pos // 40) AS page_id, pos % 40 AS gt_index FROM lines), (VALUES ('clean', 0), ('light_scan', 1), ('medium_scan', 2), ('heavy_scan', 3)) p(profile, k))"""
 PAIRS = GT + """, pr AS (SELECT artifact_id, gt_index * 2 + d AS pred_index, CASE WHEN k > 0 AND t % 3 = 0 THEN replace(text, 'e', 'c') ELSE text END AS text, x + (t % 4) * k AS x, y, w, h
   FROM (SELECT *, doc_id * 31 + gt_index + 7 * k AS t FROM gt), (VALUES (0), (1)) c(d) WHERE NOT (k > 0 AND t % 7 = 0) AND (d = 0 OR (k > 0 AND t % 11 = 0))),
  boxes AS (SELECT g.artifact_id, gt_index, pred_index, greatest(0, least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x)) * greatest(0, least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y)) AS i, g.w * g.h AS ga, p.w * p.h AS pa FROM gt g JOIN pr p USING (artifact_id)),
@@ -39,9 +39,16 @@ def _fold(name: str, order: str, least: float) -> str:
 
 
 LINE_MATCH = PAIRS + _fold("taken", "gt_index, iou DESC, pred_index", 0.3) + ", m AS (SELECT gt.artifact_id, gt.gt_index, pred_index, coalesce(iou, 0) AS iou FROM gt LEFT JOIN taken USING (artifact_id, gt_index))"
+#: DuckDB's distance counts bytes, so letters of two bytes become single ones that texts don't have.
+LETTERS = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 NORM = "lower(trim(regexp_replace({}, ' +', ' ', 'g')))"
 
 
+def _lev(a: str, b: str) -> str:
+    one = f"(SELECT string_agg(chr(i::INT), '' ORDER BY i) FROM range(1, {len(LETTERS) + 1}) r(i))"
+    return f"levenshtein(translate({a}, '{LETTERS}', {one}), translate({b}, '{LETTERS}', {one}))"
+
+
 def _code(d: str, ws: str) -> str:
     return f"list_aggregate(list_transform({ws}, lambda q: chr(CAST(list_position({d}, q) AS INT))), 'string_agg', '')"
 
@@ -49,11 +56,11 @@ def _code(d: str, ws: str) -> str:
 PAGE = LINE_MATCH + f""", each AS (SELECT m.artifact_id, m.pred_index, m.iou, {NORM.format('gt.text')} AS a, {NORM.format("coalesce(pr.text, '')")} AS b FROM m JOIN gt USING (artifact_id, gt_index) LEFT JOIN pr ON pr.artifact_id = m.artifact_id AND pr.pred_index = m.pred_index),
  ws AS (SELECT *, string_split(a, ' ') AS aw, CASE WHEN b = '' THEN [] ELSE string_split(b, ' ') END AS bw FROM each),
  ds AS (SELECT *, list_sort(list_distinct(list_concat(aw, bw))) AS d FROM ws),
- er AS (SELECT artifact_id, pred_index, iou, levenshtein(a, b) AS ce, levenshtein({_code('d', 'aw')}, coalesce({_code('d', 'bw')}, '')) AS we, length(a) AS cc, len(aw) AS wc FROM ds),
+ er AS (SELECT artifact_id, pred_index, iou, {_lev('a', 'b')} AS ce, levenshtein({_code('d', 'aw')}, coalesce({_code('d', 'bw')}, '')) AS we, length(a) AS cc, len(aw) AS wc FROM ds),
  by_gt AS (SELECT artifact_id, count(*) AS ng, count(pred_index) AS nm, sum(ce) AS ce, sum(we) AS we, sum(cc) AS cc, sum(wc) AS wc, avg(ce / cc) AS mean_cer, avg(we / wc) AS mean_wer, avg(iou) AS mean_iou FROM er GROUP BY artifact_id),
  by_pr AS (SELECT pr.artifact_id, count(*) AS np, coalesce(sum(length({NORM.format('pr.text')})) FILTER (WHERE m.pred_index IS NULL), 0) AS xc, coalesce(sum(len(string_split({NORM.format('pr.text')}, ' '))) FILTER (WHERE m.pred_index IS NULL), 0) AS xw FROM pr LEFT JOIN m ON m.artifact_id = pr.artifact_id AND m.pred_index = pr.pred_index GROUP BY pr.artifact_id),
  page AS (SELECT artifact_id, ng AS num_gt_lines, coalesce(np, 0) AS num_predicted_lines, nm AS num_matched_lines, cc AS gt_char_count, wc AS gt_word_count, ce + coalesce(xc, 0) AS char_errors, we + coalesce(xw, 0) AS word_errors, mean_cer, mean_wer, mean_iou FROM by_gt LEFT JOIN by_pr USING (artifact_id)),
- dims AS (SELECT DISTINCT artifact_id, doc_id, language, family, template, profile FROM gt), pages AS (SELECT * FROM page JOIN dims USING (artifact_id))"""
+ dims AS (SELECT DISTINCT artifact_id, page_id, doc_id, language, family, template, profile FROM gt), pages AS (SELECT * FROM page JOIN dims USING (artifact_id))"""
 
 
 def _int(*names: str) -> str:
@@ -82,7 +89,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     gt, pr = gt_lines(spark, sf), pred_lines(spark, sf)
     metrics = Q.page_metrics(gt, pr, M.line_match(gt, pr))
-    return metrics.join(gt.select("artifact_id", "doc_id", "language", "family", "template", "profile").distinct(), "artifact_id")
+    return metrics.join(gt.select("artifact_id", "page_id", "doc_id", "language", "family", "template", "profile").distinct(), "artifact_id")
 
 
 @query(f"WITH {PAGE} SELECT language, profile, count(*) AS num_pages, {COUNTS}, {RATES} FROM pages GROUP BY language, profile")
@@ -243,16 +250,16 @@ def sweep_validation(spark: SparkSession, sf: str) -> DataFrame:
     return S.sweep_problems(spark.createDataFrame(bad, "operation string, levels array<double>, repeats int"), ["c"])
 
 
-_CAL = f"""WITH {PAGE}, cond(operation, level, profile) AS (VALUES ('blur', 1, 'light_scan'), ('blur', 2, 'medium_scan'), ('ink', 1, 'heavy_scan')), res AS (SELECT * FROM pages WHERE NOT (doc_id % 10 = 3 AND profile = 'medium_scan')), base AS (SELECT DISTINCT doc_id, language, template FROM pages),
- pairs AS (SELECT b.*, c.*, n.artifact_id IS NOT NULL AND c0.artifact_id IS NOT NULL AS paired, {', '.join(f'n.{c} AS n_{c}, c0.{c} AS c_{c}' for c in Q.COUNTS)} FROM base b CROSS JOIN cond c LEFT JOIN res n ON n.doc_id = b.doc_id AND n.profile = c.profile LEFT JOIN res c0 ON c0.doc_id = b.doc_id AND c0.profile = 'clean'),
- cohort AS (SELECT * FROM (SELECT *, bool_and(paired) OVER (PARTITION BY operation, doc_id) AS complete FROM pairs) WHERE complete)"""
+_CAL = f"""WITH {PAGE}, cond(operation, level, profile) AS (VALUES ('blur', 1, 'light_scan'), ('blur', 2, 'medium_scan'), ('ink', 1, 'heavy_scan')), res AS (SELECT * FROM pages WHERE NOT (doc_id % 10 = 3 AND profile = 'medium_scan')), base AS (SELECT DISTINCT page_id, language, template FROM pages),
+ pairs AS (SELECT b.*, c.*, n.artifact_id IS NOT NULL AND c0.artifact_id IS NOT NULL AS paired, {', '.join(f'n.{c} AS n_{c}, c0.{c} AS c_{c}' for c in Q.COUNTS)} FROM base b CROSS JOIN cond c LEFT JOIN res n ON n.page_id = b.page_id AND n.profile = c.profile LEFT JOIN res c0 ON c0.page_id = b.page_id AND c0.profile = 'clean'),
+ cohort AS (SELECT * FROM (SELECT *, bool_and(paired) OVER (PARTITION BY operation, page_id) AS complete FROM pairs) WHERE complete)"""
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     pages = _pages(spark, sf)
     conds = spark.createDataFrame([("blur", 1, "light_scan"), ("blur", 2, "medium_scan"), ("ink", 1, "heavy_scan")], "operation string, level int, condition string")
     results = pages.where(~((F.col("doc_id") % 10 == 3) & (F.col("profile") == "medium_scan")))
-    return R.pair_conditions(pages.select("doc_id", "language", "template").distinct(), conds, results, "doc_id")
+    return R.pair_conditions(pages.select("page_id", "language", "template").distinct(), conds, results, "page_id")
 
 
 @query(_CAL + " SELECT operation, CAST(level AS BIGINT) AS level, count(*) AS pages, CAST(sum(paired::INT) AS BIGINT) AS paired FROM pairs GROUP BY ALL")
@@ -260,9 +267,9 @@ def noisy_clean_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_pairs(spark, sf).groupBy("operation", "level").agg(F.count("*").alias("pages"), F.sum(F.col("paired").cast("int")).alias("paired")))
 
 
-@query(_CAL + " SELECT operation, doc_id, CAST(level AS BIGINT) AS level FROM cohort")
+@query(_CAL + " SELECT operation, page_id, CAST(level AS BIGINT) AS level FROM cohort")
 def complete_cohort(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(R.complete_cohort(_pairs(spark, sf), "doc_id").select("operation", "doc_id", "level"))
+    return rounded(R.complete_cohort(_pairs(spark, sf), "page_id").select("operation", "page_id", "level"))
 
 
 _CURVE = ", ".join(f"round(sum({s}_{a}) / nullif(sum({s}_{b}), 0), 6) AS {n}_{m}" for m, (a, b) in R.CURVES.items() for s, n in (("c", "clean"), ("n", "noisy"))) + ", " + ", ".join(f"round(sum(n_{a}) / nullif(sum(n_{b}), 0) - sum(c_{a}) / nullif(sum(c_{b}), 0), 6) AS delta_{m}" for m, (a, b) in R.CURVES.items())
@@ -270,7 +277,7 @@ _CURVE = ", ".join(f"round(sum({s}_{a}) / nullif(sum({s}_{b}), 0), 6) AS {n}_{m}
 
 @query(_CAL + " ".join(f"{u} SELECT {scope} AS scope, operation, CAST(level AS BIGINT) AS level, count(*) AS num_pairs, {_CURVE} FROM cohort GROUP BY operation, level{by}" for u, scope, by in (("", "'overall'", ""), ("UNION ALL", "'language:' || language", ", language"), ("UNION ALL", "'template:' || template", ", template"))))
 def calibration_curves(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(R.calibration_curves(_pairs(spark, sf), "doc_id"))
+    return rounded(R.calibration_curves(_pairs(spark, sf), "page_id"))
 
 
 # structure
@@ -334,9 +341,9 @@ def text_blocks(spark: SparkSession, sf: str) -> DataFrame:
 _ROLE = "CASE WHEN pos % 2 = 0 THEN 'line' ELSE 'cell' END"
 
 
-@query(f"WITH {ELEMENTS} SELECT artifact_id, id, {_ROLE} AS role, pos AS ord, row_number() OVER (PARTITION BY artifact_id, {_ROLE} ORDER BY page_number, CASE WHEN pos % 5 <> 4 THEN CAST(pos // 3 AS DOUBLE) ELSE x END, CASE WHEN pos % 5 <> 4 THEN CAST(line_index AS DOUBLE) ELSE -y END, id) AS reading_order FROM el WHERE doc_id % 7 <> 0")
+@query(f"WITH {ELEMENTS} SELECT artifact_id, id, {_ROLE} AS role, pos AS ord, row_number() OVER (PARTITION BY artifact_id, {_ROLE} ORDER BY page_number, CASE WHEN pos % 5 <> 4 THEN CAST(pos // 3 AS DOUBLE) ELSE x END, CASE WHEN pos % 5 <> 4 THEN CAST(line_index AS DOUBLE) ELSE -y END, id) AS reading_order FROM el")
 def reading_order(spark: SparkSession, sf: str) -> DataFrame:
-    e = part(_line_elements(spark, sf), "doc_id % 7 <> 0").withColumn("role", F.when(F.col("ord") % 2 == 0, "line").otherwise("cell")).withColumn("source_index", F.when(F.col("ord") % 5 != 4, F.expr("ord div 3"))).withColumn("flow_order", F.lit(None).cast("int")).drop("reading_order")
+    e = _line_elements(spark, sf).withColumn("role", F.when(F.col("ord") % 2 == 0, "line").otherwise("cell")).withColumn("source_index", F.when(F.col("ord") % 5 != 4, F.expr("ord div 3"))).withColumn("flow_order", F.lit(None).cast("int")).drop("reading_order")
     return rounded(O.assign_reading_order(e).select("artifact_id", "id", "role", "ord", "reading_order"))
 
 
@@ -411,20 +418,21 @@ def audit_order_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return A.order_coverage(e, e.where("ord % 11 <> 10").select("artifact_id", F.lit("line").alias("kind"), "id"))
 
 
-@query(f"WITH RECURSIVE {ELEMENTS}, n AS (SELECT artifact_id, 'n' || pos AS id, CASE WHEN doc_id % 8 = 0 AND pos = 0 THEN 'n2' WHEN pos > 0 THEN 'n' || (pos - 1) END AS parent_id FROM el WHERE pos < 6), walk AS (SELECT artifact_id, id, parent_id AS up, 1 AS d FROM n WHERE parent_id IS NOT NULL UNION ALL SELECT w.artifact_id, w.id, n.parent_id, d + 1 FROM walk w JOIN n ON n.artifact_id = w.artifact_id AND n.id = w.up WHERE n.parent_id IS NOT NULL AND d < 64) SELECT artifact_id, id AS element_id, 'parent_cycle' AS code FROM walk WHERE d = 64")
+@query(f"WITH RECURSIVE {ELEMENTS}, n AS (SELECT artifact_id, 'n' || pos AS id, CASE WHEN doc_id % 8 = 0 AND pos = 0 THEN 'n2' WHEN pos > 0 THEN 'n' || (pos - 1) END AS parent_id, count(*) OVER (PARTITION BY artifact_id) AS most FROM el), walk AS (SELECT artifact_id, id, parent_id AS up, 1 AS d, most FROM n WHERE parent_id IS NOT NULL UNION ALL SELECT w.artifact_id, w.id, n.parent_id, d + 1, w.most FROM walk w JOIN n ON n.artifact_id = w.artifact_id AND n.id = w.up WHERE n.parent_id IS NOT NULL AND d < w.most) SELECT artifact_id, id AS element_id, 'parent_cycle' AS code FROM walk WHERE d = most")
 def audit_parent_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines chained one to the next, as deep as the document is long; some chains run into a circle."""
     p = F.col("pos")
-    e = part(lines(spark, sf), "pos < 6").select(F.col("doc_id").cast("string").alias("artifact_id"), F.concat(F.lit("n"), p).alias("id"), F.when((F.col("doc_id") % 8 == 0) & (p == 0), "n2").when(p > 0, F.concat(F.lit("n"), p - 1)).alias("parent_id"))
+    e = lines(spark, sf).select(F.col("doc_id").cast("string").alias("artifact_id"), F.concat(F.lit("n"), p).alias("id"), F.when((F.col("doc_id") % 8 == 0) & (p == 0), "n2").when(p > 0, F.concat(F.lit("n"), p - 1)).alias("parent_id"))
     return A.parent_cycles(e)
 
 
-_NESTED = f"""WITH {ELEMENTS}, ne AS (SELECT artifact_id, page_number, 'c' || (1 + d) AS container_id, CASE WHEN pos % 31 = 4 THEN 'x' || pos ELSE id END AS id, CASE WHEN pos % 29 = 3 THEN text || '!' ELSE text END AS text FROM el, (VALUES (0), (1)) c(d) WHERE doc_id % 7 <> 0 AND pos % 19 <> 7 AND (d = 0 OR pos % 23 = 5)),
- f AS (SELECT artifact_id, id, text FROM el WHERE doc_id % 7 <> 0), held AS (SELECT artifact_id, id, count(*) AS n FROM ne GROUP BY 1, 2), fh AS (SELECT f.artifact_id, f.id, coalesce(n, 0) AS n FROM f LEFT JOIN held USING (artifact_id, id))"""
+_NESTED = f"""WITH {ELEMENTS}, ne AS (SELECT artifact_id, page_number, 'c' || (1 + d) AS container_id, pos, CASE WHEN pos % 31 = 4 THEN 'x' || pos ELSE id END AS id, CASE WHEN pos % 29 = 3 THEN text || '!' ELSE text END AS text FROM el, (VALUES (0), (1)) c(d) WHERE pos % 19 <> 7 AND (d = 0 OR pos % 23 = 5)),
+ f AS (SELECT artifact_id, id, arg_max(text, pos) AS text, max(pos) AS pos FROM el GROUP BY 1, 2), held AS (SELECT artifact_id, id, count(*) AS n FROM ne GROUP BY 1, 2), fh AS (SELECT e.artifact_id, e.id, coalesce(n, 0) AS n FROM el e LEFT JOIN held USING (artifact_id, id))"""
 
 
-@query(_NESTED + " SELECT n.artifact_id, n.id AS element_id, CASE WHEN f.id IS NULL THEN 'container_orphan' ELSE 'container_copy' END AS code FROM ne n LEFT JOIN f USING (artifact_id, id) WHERE f.id IS NULL OR f.text <> n.text UNION ALL SELECT artifact_id, id, 'multiple_containers' FROM fh WHERE n > 1 UNION ALL SELECT artifact_id, id, 'container_missing' FROM fh WHERE n <> 1 UNION ALL SELECT DISTINCT artifact_id, container_id, 'container_count' FROM ne WHERE page_number = 2")
+@query(_NESTED + " SELECT n.artifact_id, n.id AS element_id, CASE WHEN f.id IS NULL THEN 'container_orphan' ELSE 'container_copy' END AS code FROM ne n LEFT JOIN f USING (artifact_id, id) WHERE f.id IS NULL OR f.text <> n.text OR f.pos <> n.pos UNION ALL SELECT artifact_id, id, 'multiple_containers' FROM fh WHERE n > 1 UNION ALL SELECT artifact_id, id, 'container_missing' FROM fh WHERE n <> 1 UNION ALL SELECT DISTINCT artifact_id, container_id, 'container_count' FROM ne WHERE page_number = 2")
 def audit_containers(spark: SparkSession, sf: str) -> DataFrame:
-    e, p = part(_line_elements(spark, sf), "doc_id % 7 <> 0").withColumn("type", F.lit("text_line")).withColumn("role", F.lit("line")), F.col("ord")
+    e, p = _line_elements(spark, sf).withColumn("type", F.lit("text_line")).withColumn("role", F.lit("line")), F.col("ord")
     twice = F.when(p % 23 == 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     held = e.where(p % 19 != 7).select("artifact_id", "page_number", F.col("page_number").alias("element_page"), F.when(p % 31 == 4, F.concat(F.lit("x"), p)).otherwise(F.col("id")).alias("id"), "type", F.when(p % 29 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), "bbox", F.explode(twice).alias("c")).withColumn("container_id", F.concat(F.lit("c"), "c"))
     n = F.count("*") + F.when(F.col("page_number") == 2, 1).otherwise(0)
@@ -491,10 +499,10 @@ def best_page(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy(F.col("source").alias("family")).agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"))
 
 
-@query("SELECT 'sha256' AS signal, h AS value, count(DISTINCT source) AS families FROM (SELECT sha256(text) AS h, source FROM documents) GROUP BY h HAVING count(DISTINCT source) > 1 UNION ALL SELECT 'head', h, count(DISTINCT source) FROM (SELECT substr(text, 1, 40) AS h, source FROM documents WHERE text <> '') GROUP BY h HAVING count(DISTINCT source) > 1")
+@query("SELECT s AS signal, h AS value, count(DISTINCT source) AS families FROM (SELECT 'sha256' AS s, sha256(text) AS h, source FROM documents UNION ALL SELECT 'normal_form', sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), source FROM documents) GROUP BY ALL HAVING count(DISTINCT source) > 1")
 def family_leakage(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "documents").select(F.col("source").alias("family"), F.sha2("text", 256).alias("sha256"), F.substring("text", 1, 40).alias("head"))
-    return S.leaking_signals(m, "family", ["sha256", "head"])
+    m = table(spark, sf, "documents").select(F.col("source").alias("family"), F.sha2("text", 256).alias("sha256"), F.sha2(T.normalize_text(F.col("text")), 256).alias("normal_form"))
+    return S.leaking_signals(m, "family", ["sha256", "normal_form"])
 
 
 @query("SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -571,9 +579,9 @@ def audit_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.audit_rollup(found, l.select(F.lit("pending").alias("status"))))
 
 
-@query("SELECT item_id, n, pos, text FROM (SELECT doc_id AS item_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, pos, CASE WHEN length(line) > 60 THEN regexp_replace(substr(line, 1, 60), ' [^ ]*$', '') ELSE line END AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE lang = 'en') WHERE pos % 3 <> 1 AND trim(regexp_replace(line, '[ \t\r]+', ' ', 'g')) <> '') WHERE n <= 3")
+@query("SELECT item_id, n, pos, text FROM (SELECT doc_id AS item_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, pos, CASE WHEN length(line) > 60 THEN regexp_replace(substr(line, 1, 60), ' [^ ]*$', '') ELSE line END AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE pos % 3 <> 1 AND trim(regexp_replace(line, '[ \t\r]+', ' ', 'g')) <> '') WHERE n <= 3")
 def prefix_excerpt(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("item_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("type", F.when(F.col("pos") % 3 == 1, "formula").otherwise("paragraph"))
+    items = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("type", F.when(F.col("pos") % 3 == 1, "formula").otherwise("paragraph"))
     return rounded(S.excerpt(items, "item_id", 60, 3, ["paragraph", "heading"]).select("item_id", "n", "pos", "text"))
 
 
@@ -593,7 +601,7 @@ def slug_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_name").alias("name"), T.slug(F.col("p_name"), "").alias("slug"), T.block_id(F.lit("text_line"), k % 1000).alias("block"), T.line_id(F.lit("b"), k % 100).alias("line"))
 
 
-@query(f"WITH {PAIRS}, t AS (SELECT p.artifact_id, pred_index, g.text AS a, p.text AS b FROM pr p JOIN gt g ON g.artifact_id = p.artifact_id AND g.gt_index = p.pred_index // 2) SELECT artifact_id, pred_index, {NORM.format('a')} AS norm, levenshtein({NORM.format('a')}, {NORM.format('b')}) AS char_errors, round(levenshtein({NORM.format('a')}, {NORM.format('b')}) / greatest(1, length({NORM.format('a')})), 6) AS cer FROM t")
+@query(f"WITH {PAIRS}, t AS (SELECT p.artifact_id, pred_index, g.text AS a, p.text AS b FROM pr p JOIN gt g ON g.artifact_id = p.artifact_id AND g.gt_index = p.pred_index // 2) SELECT artifact_id, pred_index, {NORM.format('a')} AS norm, {_lev(NORM.format('a'), NORM.format('b'))} AS char_errors, round({_lev(NORM.format('a'), NORM.format('b'))} / greatest(1, length({NORM.format('a')})), 6) AS cer FROM t")
 def text_distance(spark: SparkSession, sf: str) -> DataFrame:
     g = gt_lines(spark, sf).select("artifact_id", "gt_index", F.col("text").alias("a"))
     p = pred_lines(spark, sf).select("artifact_id", "pred_index", F.expr("pred_index div 2").cast("int").alias("gt_index"), F.col("text").alias("b"))
@@ -620,9 +628,9 @@ def svg_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(raw.select("raw", T.svg_pixels(F.col("raw")).alias("px")))
 
 
-@query(f"WITH {LINES} SELECT doc_id, string_agg(trim(text), chr(10) ORDER BY pos) AS joined FROM lines WHERE pos < 4 GROUP BY doc_id")
+@query(f"WITH {LINES} SELECT doc_id, string_agg(trim(text), chr(10) ORDER BY pos) AS joined FROM lines GROUP BY doc_id")
 def ordered_text(spark: SparkSession, sf: str) -> DataFrame:
-    got = part(lines(spark, sf), "pos < 4").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda r: F.concat(F.lit("  "), r["text"], F.lit(" \n"))).alias("ts"))
+    got = lines(spark, sf).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda r: F.concat(F.lit("  "), r["text"], F.lit(" \n"))).alias("ts"))
     return got.select("doc_id", T.join_ordered(F.array_append("ts", F.lit(" "))).alias("joined"))
 
 
@@ -687,12 +695,12 @@ def clip_polygons(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(u.select("artifact_id", "gt_index", G.polygon_visible_fraction("p", "width", "height").alias("fraction"), G.polygon_valid("p").alias("valid")))
 
 
-_FILTER = f"WITH {PAIRS}, {_UNITS}, pp AS (SELECT artifact_id, pred_index, x + 40 * (CASE split_part(artifact_id, '_', 2) WHEN 'clean' THEN 0 WHEN 'light' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) + 2 AS x, y + 1 AS y, w - 4 AS w, h - 2 AS h FROM pr), ov AS (SELECT artifact_id, pred_index, bool_or(e.reason IS NULL) AS good, bool_or(e.reason IS NOT NULL AND p.x >= e.x AND p.y >= e.y AND p.x + p.w <= e.x + e.w AND p.y + p.h <= e.y + e.h) AS covered FROM pp p JOIN e USING (artifact_id) WHERE p.x < e.x + e.w AND e.x < p.x + p.w AND p.y < e.y + e.h AND e.y < p.y + p.h AND p.w > 0 GROUP BY ALL), fl AS (SELECT artifact_id, pred_index, CASE WHEN NOT coalesce(covered, false) THEN 'scorable' WHEN good THEN 'eligible_gt_overlap' ELSE 'inside_ignore_regions' END AS reason FROM pp LEFT JOIN ov USING (artifact_id, pred_index))"
+_FILTER = f"WITH {PAIRS}, {_UNITS}, pp AS (SELECT artifact_id, pred_index, x + 40 * (CASE split_part(artifact_id, '_', 3) WHEN 'clean' THEN 0 WHEN 'light' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) + 2 AS x, y + 1 AS y, w - 4 AS w, h - 2 AS h FROM pr), ov AS (SELECT artifact_id, pred_index, bool_or(e.reason IS NULL) AS good, bool_or(e.reason IS NOT NULL AND p.x >= e.x AND p.y >= e.y AND p.x + p.w <= e.x + e.w AND p.y + p.h <= e.y + e.h) AS covered FROM pp p JOIN e USING (artifact_id) WHERE p.x < e.x + e.w AND e.x < p.x + p.w AND p.y < e.y + e.h AND e.y < p.y + p.h AND p.w > 0 GROUP BY ALL), fl AS (SELECT artifact_id, pred_index, CASE WHEN NOT coalesce(covered, false) THEN 'scorable' WHEN good THEN 'eligible_gt_overlap' ELSE 'inside_ignore_regions' END AS reason FROM pp LEFT JOIN ov USING (artifact_id, pred_index))"
 
 
 def _filtered(spark: SparkSession, sf: str) -> DataFrame:
     units, b = _units(spark, sf), F.col("bbox")
-    name = F.substring_index(F.expr("substring(artifact_id, instr(artifact_id, '_') + 1)"), "_", 1)
+    name = F.split_part("artifact_id", F.lit("_"), F.lit(3))
     k = F.when(name == "clean", 0).when(name == "light", 1).when(name == "medium", 2).otherwise(3)
     p = pred_lines(spark, sf).select("artifact_id", "pred_index", G.box(b["x"] + 40 * k + 2, b["y"] + 1, b["width"] - 4, b["height"] - 2).alias("bbox"))
     return V.filter_boxes(p, units.where("reason IS NULL"), units.where("reason IS NOT NULL"))
@@ -744,13 +752,7 @@ def occurrence_and_offset(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", n.cast("long").alias("occurrence"), F.sum("l_quantity").over(w).cast("long").alias("offset_before"))
 
 
-@query(f"WITH {PAGE}, w AS (SELECT doc_id, max(mean_cer) FILTER (WHERE profile = 'heavy_scan') - max(mean_cer) FILTER (WHERE profile = 'clean') AS delta FROM pages GROUP BY doc_id) SELECT doc_id, round(delta, 6) AS delta FROM w ORDER BY delta DESC NULLS LAST, doc_id LIMIT 3")
+@query(f"WITH {PAGE}, w AS (SELECT page_id, max(mean_cer) FILTER (WHERE profile = 'heavy_scan') - max(mean_cer) FILTER (WHERE profile = 'clean') AS delta FROM pages GROUP BY page_id) SELECT page_id, round(delta, 6) AS delta FROM w ORDER BY round(delta, 9) DESC NULLS LAST, page_id LIMIT 3")
 def top_degraded_pages(spark: SparkSession, sf: str) -> DataFrame:
-    p = _pages(spark, sf).groupBy("doc_id").agg(F.max(F.when(F.col("profile") == "heavy_scan", F.col("mean_cer"))).alias("h"), F.max(F.when(F.col("profile") == "clean", F.col("mean_cer"))).alias("c"))
-    return rounded(p.select("doc_id", (F.col("h") - F.col("c")).alias("delta")).orderBy(F.desc_nulls_last("delta"), "doc_id").limit(3))
-
-
-# whole texts
-
-#: The SQL above holds for the lines of LINES only, so the same queries over every line of every text have none.
-QUERIES |= {f"{name}_whole": over_whole_texts(QUERIES[name]) for name, sql in ORACLES.items() if LINES in sql}
+    p = _pages(spark, sf).groupBy("page_id").agg(F.max(F.when(F.col("profile") == "heavy_scan", F.col("mean_cer"))).alias("h"), F.max(F.when(F.col("profile") == "clean", F.col("mean_cer"))).alias("c"))
+    return rounded(p.select("page_id", (F.col("h") - F.col("c")).alias("delta")).orderBy(F.desc_nulls_last(F.round("delta", 9)), "page_id").limit(3))

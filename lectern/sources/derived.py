@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,20 +12,8 @@ PROFILES = ["clean", "light_scan", "medium_scan", "heavy_scan"]
 TEMPLATES = ["simple_article", "scientific_paper", "magazine_layout"]
 
 
-_whole = ContextVar("whole", default=False)
-
-
-def over_whole_texts(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query with lines() giving every line of every text that is not blank."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _whole.set(True)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            _whole.reset(token)
-
-    return run
+#: Characters of a line and lines of a page, as a typesetter would break texts. Nothing is left out.
+LINE_LENGTH, PAGE_LINES = 80, 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,21 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that are not blank, with their place in the document: all of them in over_whole_texts(), else those of 1 to 200 printable ASCII characters, on which DuckDB's SQL agrees."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), F.col("source").alias("family"), F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("doc_id") % 3 + 1).cast("int")).alias("template"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    if _whole.get():
-        return docs.where(T.normalize_text(F.col("text")) != "")
-    return docs.where(F.length("text").between(1, 200) & F.col("text").rlike("^[ -~]+$") & F.col("text").rlike("[!-~]"))
-
-
-def part(rows: DataFrame, condition: str) -> DataFrame:
-    """The rows that fit the condition, in over_whole_texts() all rows."""
-    return rows if _whole.get() else rows.where(condition)
+    """All lines of all texts that are not blank, with their place in the document: a text ends a line at each line feed and after LINE_LENGTH characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), F.col("source").alias("family"), F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("doc_id") % 3 + 1).cast("int")).alias("template"), F.posexplode(F.regexp_extract_all("text", F.lit(rf"[^\n]{{1,{LINE_LENGTH}}}"), F.lit(0))).alias("pos", "text"))
+    return docs.where(T.normalize_text(F.col("text")) != "")
 
 
 def gt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every PAGE_LINES lines are a page, and every page has an image in each profile."""
     every = lines(spark, sf_dir).select("*", F.posexplode(F.array(*map(F.lit, PROFILES))).alias("k", "profile"))
-    return every.select(F.concat_ws("_", "doc_id", "profile").alias("artifact_id"), "doc_id", "language", "family", "template", "profile", "k", F.col("pos").alias("gt_index"), "text", G.box(50.0, 5.0 * F.col("pos"), 6.0 * F.length("text"), 12.0).alias("bbox"))
+    page, index = F.expr(f"pos div {PAGE_LINES}"), (F.col("pos") % PAGE_LINES).cast("int")
+    placed = every.select(F.concat_ws("_", "doc_id", page).alias("page_id"), "doc_id", "language", "family", "template", "profile", "k", index.alias("gt_index"), "text")
+    return placed.select(F.concat_ws("_", "page_id", "profile").alias("artifact_id"), "*", G.box(50.0, 5.0 * F.col("gt_index"), 6.0 * F.length("text"), 12.0).alias("bbox"))
 
 
 def pred_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

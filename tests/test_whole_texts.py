@@ -1,4 +1,4 @@
-"""The queries over every line of every text, against brute force: they have no SQL."""
+"""That lines of texts are all of them, and queries over them against brute force, beside their SQL."""
 
 from collections import Counter, defaultdict
 
@@ -10,8 +10,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def _lines(spark, sf=SF):
+    """(document, language, place, line): texts cut at line feeds and after 80 characters, without what is blank."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()
-    return [(d.doc_id, d.lang, i, t) for d in docs for i, t in enumerate((d.text or "").split("\n")) if t.strip()]
+    cut = lambda t: [x[i : i + 80] for x in t.split("\n") for i in range(0, len(x), 80)]
+    return [(d.doc_id, d.lang, i, t) for d in docs for i, t in enumerate(cut(d.text or "")) if t.strip()]
 
 
 def _documents(spark, tmp_path, *texts):
@@ -21,9 +23,11 @@ def _documents(spark, tmp_path, *texts):
 
 
 def test_lines_are_whole(spark):
-    got = derived.over_whole_texts(derived.lines)(spark, SF).select("doc_id", "pos", "text").collect()
+    got = derived.lines(spark, SF).select("doc_id", "pos", "text").collect()
     assert sorted(map(tuple, got)) == sorted((d, i, t) for d, _, i, t in _lines(spark))
-    assert derived.lines(spark, SF).count() < len(got)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for d, t in texts.items():
+        assert "".join("".join(r.text for r in sorted(got, key=lambda r: r.pos) if r.doc_id == d).split()) == "".join(t.split())
 
 
 def test_quality_counts_all_lines_and_characters(spark):
@@ -45,23 +49,28 @@ def _distance(a, b):
 
 
 def test_long_and_accented_lines_are_scored(spark, tmp_path):
-    sf = _documents(spark, tmp_path, "été à la fenêtre\n" + "le thé vert était prêt " * 20, "日本 e\n\n  \nplain e")
-    got = registry.QUERIES["text_distance_whole"](spark, sf).collect()
-    texts = {}
-    for d, _, i, t in _lines(spark, sf):
-        texts[d, i] = t
-    assert {(int(r.artifact_id.split("_")[0]), r.pred_index // 2) for r in got} == set(texts)
+    sf = _documents(spark, tmp_path, "été à la fenêtre\n" + "le thé vert était prêt " * 300, "日本 e\n\n  \nplain e")
+    got = registry.QUERIES["text_distance"](spark, sf).collect()
+    texts = {(d, i): t for d, _, i, t in _lines(spark, sf)}
+    seen = {tuple(map(int, r.artifact_id.split("_")[:2])) + (r.pred_index // 2,) for r in got}
+    assert {(d, 40 * page + i) for d, page, i in seen} == set(texts)
     for r in got:
-        d, profile = r.artifact_id.split("_", 1)
+        d, page, profile = r.artifact_id.split("_", 2)
         i, k = r.pred_index // 2, derived.PROFILES.index(profile)
-        t = texts[int(d), i]
+        t = texts[int(d), 40 * int(page) + i]
         changed = t.replace("e", "c") if k and (int(d) * 31 + i + 7 * k) % 3 == 0 else t
         assert r.char_errors == _distance(*(" ".join(x.lower().split()) for x in (t, changed)))
 
 
-def test_every_query_on_lines_has_its_whole_form():
-    on_lines = {n for n, sql in registry.ORACLES.items() if "lines AS (" in sql}
-    assert {n + "_whole" for n in on_lines} <= set(registry.QUERIES) and not any(n.endswith("_whole") for n in registry.ORACLES)
+def test_word_distance_of_many_words(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions import text as T
+
+    words = lambda n, skip=1: F.transform(F.sequence(F.lit(1), F.lit(n), F.lit(skip)), lambda i: i.cast("string"))
+    one = spark.range(1)
+    got = one.select(T.word_distance(words(40_000), F.concat(F.array(F.lit("x")), words(40_000))).alias("a"), T.word_distance(words(300), words(300, 3)).alias("b"), T.word_distance(words(1), F.array().cast("array<string>")).alias("c")).first()
+    assert tuple(got) == (1, 200, 1)
 
 
 def _elements(spark):
@@ -73,7 +82,7 @@ def test_texts_are_joined_whole(spark):
     want = defaultdict(list)
     for d, _, _, t in sorted(_lines(spark)):
         want[d].append(t.strip())
-    assert {r.doc_id: r.joined for r in registry.QUERIES["ordered_text_whole"](spark, SF).collect()} == {d: "\n".join(ts) for d, ts in want.items()}
+    assert {r.doc_id: r.joined for r in registry.QUERIES["ordered_text"](spark, SF).collect()} == {d: "\n".join(ts) for d, ts in want.items()}
 
 
 def test_reading_order_of_all_documents(spark):
@@ -83,7 +92,7 @@ def test_reading_order_of_all_documents(spark):
         groups[str(d), "cell" if p % 2 else "line"].append((place, i, p))
     for (d, role), rows in groups.items():
         want += [(d, i, role, p, n) for n, (_, i, p) in enumerate(sorted(rows), 1)]
-    got = registry.QUERIES["reading_order_whole"](spark, SF).select("artifact_id", "id", "role", "ord", "reading_order").collect()
+    got = registry.QUERIES["reading_order"](spark, SF).select("artifact_id", "id", "role", "ord", "reading_order").collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert any(d % 7 == 0 for d, *_ in _elements(spark))
 
@@ -108,11 +117,11 @@ def test_containers_of_all_documents(spark):
         want[str(d), i, "multiple_containers"] += held[d, i] > 1
         want[str(d), i, "container_missing"] += held[d, i] != 1
     want += Counter((str(d), c, "container_count") for d, c in on_second)
-    got = registry.QUERIES["audit_containers_whole"](spark, SF).select("artifact_id", "element_id", "code").collect()
+    got = registry.QUERIES["audit_containers"](spark, SF).select("artifact_id", "element_id", "code").collect()
     assert Counter(map(tuple, got)) == want
 
 
 def test_deep_chains_of_parents_are_no_cycles(spark, tmp_path):
     sf = _documents(spark, tmp_path, *["\n".join("x" * 300)] * 10)
-    got = registry.QUERIES["audit_parent_cycle_whole"](spark, sf).collect()
+    got = registry.QUERIES["audit_parent_cycle"](spark, sf).collect()
     assert sorted((r.artifact_id, r.element_id) for r in got) == sorted((str(d), f"n{i}") for d in (0, 8) for i in range(300))
