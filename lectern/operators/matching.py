@@ -1,7 +1,7 @@
 """One-to-one matching of ground truth and predictions on a page.
 
-Candidates come from an equi-join on the page key with an overlap condition, so pages are dealt out by hash; the
-sequential assignment is a fold over a page's sorted candidates. A page is a bounded group by nature.
+Candidates come from an equi-join on the page key and a stripe of the page, with an overlap condition, so pages are dealt out
+by hash; the sequential assignment is a fold over a page's sorted candidates. A page is a bounded group by nature.
 """
 
 from __future__ import annotations
@@ -15,12 +15,36 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 
-def candidates(gt: DataFrame, predicted: DataFrame, key: str = "artifact_id", least: float = 0.0) -> DataFrame:
+#: Height of the stripes that boxes are dealt into, in the units of boxes; a line of print is about as high.
+STRIPE = 16.0
+
+
+def overlaps_of(gt: DataFrame, predicted: DataFrame, key: str = "artifact_id", stripe: float = STRIPE) -> DataFrame:
+    """(key, gt_index, pred_index, their areas ga and pa, the area i that they share) of pairs that overlap.
+
+    Boxes meet in the stripes of a page that both touch, and are compared in the first of these, so a page's pairs are not all
+    tried. Boxes that are missing or not finite overlap nothing. Both sides are shuffled: rows that come from exploded
+    arrays are more than Spark's estimate says, by which it would broadcast them.
+    """
+
+    def striped(side: DataFrame, index: str, p: str) -> DataFrame:
+        b, n = F.col("bbox"), lambda name: p + name
+        real = side.where(F.abs(b["y"]) + F.abs(b["height"]) + F.abs(b["x"]) + F.abs(b["width"]) < F.lit(1e15))
+        rows = real.select(key, index, b["x"].alias(n("x0")), (b["x"] + b["width"]).alias(n("x1")), b["y"].alias(n("y0")), (b["y"] + b["height"]).alias(n("y1")), G.area(b).alias(n("a")))
+        first = F.floor(F.col(n("y0")) / stripe)
+        return rows.select("*", first.alias(n("s")), F.explode(F.sequence(first, F.floor(F.col(n("y1")) / stripe))).alias("_stripe"))
+
+    pairs = striped(gt, "gt_index", "g").hint("merge").join(striped(predicted, "pred_index", "p"), [key, "_stripe"])
+    met = pairs.where("_stripe = greatest(gs, ps) AND gx0 < px1 AND px0 < gx1 AND gy0 < py1 AND py0 < gy1")
+    # a generator keeps Spark from copying the quotient into the join's condition, whose code would be too long to compile
+    shared = met.select(key, "gt_index", "pred_index", "ga", "pa", F.explode(F.array(F.expr("(least(gx1, px1) - greatest(gx0, px0)) * (least(gy1, py1) - greatest(gy0, py0))"))).alias("i"))
+    return shared.where("i > 0")
+
+
+def candidates(gt: DataFrame, predicted: DataFrame, key: str = "artifact_id", least: float = 0.0, stripe: float = STRIPE) -> DataFrame:
     """(key, gt_index, pred_index, iou) of pairs that overlap by at least `least`."""
-    g = gt.select(key, "gt_index", F.col("bbox").alias("gb"))
-    p = predicted.select(key, "pred_index", F.col("bbox").alias("pb"))
-    pairs = g.join(p, key).where((F.col("gb.x") < F.col("pb.x") + F.col("pb.width")) & (F.col("pb.x") < F.col("gb.x") + F.col("gb.width")) & (F.col("gb.y") < F.col("pb.y") + F.col("pb.height")) & (F.col("pb.y") < F.col("gb.y") + F.col("gb.height")))
-    return pairs.select(key, "gt_index", "pred_index", G.iou(F.col("gb"), F.col("pb")).alias("iou")).where((F.col("iou") > 0) & (F.col("iou") >= least))
+    over = overlaps_of(gt, predicted, key, stripe).select(key, "gt_index", "pred_index", F.expr("try_divide(i, ga + pa - i)").alias("iou"))
+    return over.where(F.col("iou") >= least)
 
 
 def greedy(found: DataFrame, order: list[Column], key: str = "artifact_id", one_to_one: bool = True) -> DataFrame:
@@ -42,20 +66,20 @@ def line_match(gt: DataFrame, predicted: DataFrame, threshold: float = 0.3, one_
     """Each line of gt in order takes the free prediction of largest overlap, the earlier of equal ones. All lines stay: (key, gt_index, pred_index or null, iou)."""
     order = [F.col("gt_index"), -F.col("iou"), F.col("pred_index")]
     found = greedy(candidates(gt, predicted, key, threshold), order, key, one_to_one)
-    return gt.select(key, "gt_index").join(found, [key, "gt_index"], "left").select(key, "gt_index", "pred_index", F.coalesce("iou", F.lit(0.0)).alias("iou"))
+    return gt.select(key, "gt_index").hint("merge").join(found, [key, "gt_index"], "left").select(key, "gt_index", "pred_index", F.coalesce("iou", F.lit(0.0)).alias("iou"))
 
 
 def structure_match(gt: DataFrame, predicted: DataFrame, threshold: float = 0.5, key: str = "artifact_id") -> DataFrame:
     """Pairs in order of overlap over the whole page; ties by gt_index, then pred_index. All of gt stay."""
     order = [-F.col("iou"), F.col("gt_index"), F.col("pred_index")]
     found = greedy(candidates(gt, predicted, key, threshold), order, key)
-    return gt.select(key, "gt_index").join(found, [key, "gt_index"], "left").select(key, "gt_index", "pred_index", F.coalesce("iou", F.lit(0.0)).alias("iou"))
+    return gt.select(key, "gt_index").hint("merge").join(found, [key, "gt_index"], "left").select(key, "gt_index", "pred_index", F.coalesce("iou", F.lit(0.0)).alias("iou"))
 
 
 def project_predictions(gt: DataFrame, predicted: DataFrame, rank: str = "rank", threshold: float = 0.3, key: str = "artifact_id") -> DataFrame:
     """Predictions in order of rank each take the free line of gt of largest overlap: (key, rank, pred_index, gt_index, iou)."""
-    found = candidates(gt, predicted, key, threshold).join(predicted.select(key, "pred_index", rank), [key, "pred_index"])
-    return greedy(found, [F.col(rank), -F.col("iou"), F.col("gt_index")], key).join(predicted.select(key, "pred_index", rank), [key, "pred_index"])
+    found = candidates(gt, predicted, key, threshold).hint("merge").join(predicted.select(key, "pred_index", rank), [key, "pred_index"])
+    return greedy(found, [F.col(rank), -F.col("iou"), F.col("gt_index")], key).hint("merge").join(predicted.select(key, "pred_index", rank), [key, "pred_index"])
 
 
 def semantic_match(gt: DataFrame, predicted: DataFrame, least: float = 0.3, most_span: int = 3, geometry_weight: float = 0.05, key: str = "artifact_id") -> DataFrame:

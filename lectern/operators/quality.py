@@ -16,18 +16,18 @@ def f1(p: Column, r: Column) -> Column:
 
 def page_metrics(gt: DataFrame, predicted: DataFrame, matches: DataFrame, key: str = "artifact_id") -> DataFrame:
     """A row for each page of gt or predictions: counts, macro rates over lines of gt, and micro rates that count insertions."""
-    g = gt.select(key, "gt_index", F.col("text").alias("gt_text"))
-    p = predicted.select(key, "pred_index", F.col("text").alias("p_text"))
-    paired = g.join(matches, [key, "gt_index"]).join(p, [key, "pred_index"], "left")
-    c_err, w_err = T.char_errors(F.col("gt_text"), F.col("p_text")), T.word_errors(F.col("gt_text"), F.col("p_text"))
-    norm = T.normalize_text(F.col("gt_text"))
-    each = paired.select(key, "pred_index", "iou", c_err.alias("ce"), w_err.alias("we"), F.length(norm).alias("cc"), F.size(T.tokens(norm)).alias("wc"))
+    norm = T.normalize_text(F.col("text"))
+    g = gt.select(key, "gt_index", norm.alias("a"))
+    p = predicted.select(key, "pred_index", norm.alias("b"))
+    paired = g.hint("merge").join(matches, [key, "gt_index"]).hint("merge").join(p, [key, "pred_index"], "left").withColumn("b", F.coalesce("b", F.lit("")))
+    apart = lambda found: F.when(F.col("a") == F.col("b"), 0).otherwise(found)
+    each = paired.select(key, "pred_index", "iou", apart(F.levenshtein("a", "b")).alias("ce"), apart(T.word_distance(T.tokens(F.col("a")), T.tokens(F.col("b")))).alias("we"), F.length("a").alias("cc"), F.size(T.tokens(F.col("a"))).alias("wc"))
     one = F.lit(1)
     by_gt = each.groupBy(key).agg(F.count("*").alias("num_gt_lines"), F.count("pred_index").alias("num_matched_lines"), F.sum("ce").alias("ce"), F.sum("we").alias("we"), F.sum("cc").alias("gt_char_count"), F.sum("wc").alias("gt_word_count"), F.avg(F.col("ce") / F.greatest(one, "cc")).alias("mean_cer"), F.avg(F.col("we") / F.greatest(one, "wc")).alias("mean_wer"), F.avg("iou").alias("mean_iou"))
-    extra = T.normalize_text(F.col("p_text"))
     used = matches.where("pred_index IS NOT NULL").select(key, "pred_index").distinct()
-    by_pred = p.join(used.withColumn("used", F.lit(True)), [key, "pred_index"], "left").groupBy(key).agg(F.count("*").alias("num_predicted_lines"), F.sum(F.when(F.col("used").isNull(), F.length(extra)).otherwise(0)).alias("xc"), F.sum(F.when(F.col("used").isNull(), F.size(T.tokens(extra))).otherwise(0)).alias("xw"))
-    whole = by_gt.join(by_pred, key, "full_outer").fillna(0)
+    unused = lambda c: F.sum(F.when(F.col("used").isNull(), c).otherwise(0))
+    by_pred = p.hint("merge").join(used.withColumn("used", F.lit(True)), [key, "pred_index"], "left").groupBy(key).agg(F.count("*").alias("num_predicted_lines"), unused(F.length("b")).alias("xc"), unused(F.size(T.tokens(F.col("b")))).alias("xw"))
+    whole = by_gt.hint("merge").join(by_pred, key, "full_outer").fillna(0)
     out = whole.withColumn("char_errors", F.col("ce") + F.col("xc")).withColumn("word_errors", F.col("we") + F.col("xw")).drop("ce", "we", "xc", "xw")
     out = out.withColumn("false_positives", F.col("num_predicted_lines") - F.col("num_matched_lines")).withColumn("false_negatives", F.col("num_gt_lines") - F.col("num_matched_lines"))
     return rates(out)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .matching import overlaps_of
 
 IGNORED_KINDS = {"quality": ["image", "formula"], "line_ordering": ["image", "formula"], "ordering": ["image", "formula", "table"], "structure": []}
 SUMS = ["input_gt", "eligible_gt", "excluded_gt", "input_predictions", "retained_predictions", "ignored_predictions", "protected_predictions"]
@@ -35,11 +36,12 @@ def filter_boxes(predicted: DataFrame, eligible: DataFrame, ignored: DataFrame,
     inside an ignore region is left out; the others count.
     """
     p = predicted.select(key, "pred_index", "bbox")
-    hit = lambda other, test: p.join(other.select(key, F.col("bbox").alias("ob")), key).where(test).select(key, "pred_index").distinct()
-    overlaps = hit(eligible, G.intersection_area(F.col("bbox"), F.col("ob")) > 0).withColumn("protected", F.lit(True))
-    covered = hit(ignored, (G.area(F.col("bbox")) > 0) & (G.intersection_area(F.col("bbox"), F.col("ob")) >= G.area(F.col("bbox")) * (1 - 1e-9))).withColumn("covered", F.lit(True))
-    joined = p.join(overlaps, [key, "pred_index"], "left").join(covered, [key, "pred_index"], "left")
-    reason = F.when(F.col("bbox").isNull(), "no_geometry").when(F.col("covered").isNull(), "scorable").when(F.col("protected"), "eligible_gt_overlap").otherwise("inside_ignore_regions")
+    meeting = lambda other: overlaps_of(other.select(key, F.monotonically_increasing_id().alias("gt_index"), "bbox"), predicted, key)
+    found = meeting(eligible).select(key, "pred_index", F.lit(True).alias("good"), F.lit(False).alias("whole"))
+    found = found.unionByName(meeting(ignored).select(key, "pred_index", F.lit(False).alias("good"), (F.col("i") >= F.col("pa") * (1 - 1e-9)).alias("whole")))
+    met = found.groupBy(key, "pred_index").agg(F.bool_or("good").alias("protected"), F.bool_or("whole").alias("covered"))
+    joined = p.hint("merge").join(met, [key, "pred_index"], "left")
+    reason = F.when(F.col("bbox").isNull(), "no_geometry").when(~F.coalesce("covered", F.lit(False)), "scorable").when(F.col("protected"), "eligible_gt_overlap").otherwise("inside_ignore_regions")
     return joined.select(key, "pred_index", reason.alias("reason")).withColumn("kept", F.col("reason") != "inside_ignore_regions")
 
 

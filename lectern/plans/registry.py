@@ -418,7 +418,7 @@ def audit_order_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return A.order_coverage(e, e.where("ord % 11 <> 10").select("artifact_id", F.lit("line").alias("kind"), "id"))
 
 
-@query(f"WITH RECURSIVE {ELEMENTS}, n AS (SELECT artifact_id, 'n' || pos AS id, CASE WHEN doc_id % 8 = 0 AND pos = 0 THEN 'n2' WHEN pos > 0 THEN 'n' || (pos - 1) END AS parent_id, count(*) OVER (PARTITION BY artifact_id) AS most FROM el), walk AS (SELECT artifact_id, id, parent_id AS up, 1 AS d, most FROM n WHERE parent_id IS NOT NULL UNION ALL SELECT w.artifact_id, w.id, n.parent_id, d + 1, w.most FROM walk w JOIN n ON n.artifact_id = w.artifact_id AND n.id = w.up WHERE n.parent_id IS NOT NULL AND d < w.most) SELECT artifact_id, id AS element_id, 'parent_cycle' AS code FROM walk WHERE d = most")
+@query(f"WITH RECURSIVE {ELEMENTS}, n AS (SELECT artifact_id, 'n' || pos AS id, CASE WHEN doc_id % 8 = 0 AND pos = 0 THEN 'n2' WHEN pos > 0 THEN 'n' || (pos - 1) END AS parent_id, count(*) OVER (PARTITION BY artifact_id) AS most FROM el), walk AS (SELECT artifact_id, id, parent_id AS up, 1 AS d, most FROM n WHERE parent_id IS NOT NULL UNION ALL SELECT w.artifact_id, w.id, n.parent_id, d + 1, w.most FROM walk w JOIN n ON n.artifact_id = w.artifact_id AND n.id = w.up WHERE n.parent_id IS NOT NULL AND d <= w.most) SELECT artifact_id, id AS element_id, 'parent_cycle' AS code FROM walk WHERE d = most + 1")
 def audit_parent_cycle(spark: SparkSession, sf: str) -> DataFrame:
     """Lines chained one to the next, as deep as the document is long; some chains run into a circle."""
     p = F.col("pos")
