@@ -6,12 +6,72 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import geometry as G
 from .matching import overlaps_of
 
 IGNORED_KINDS = {"quality": ["image", "formula"], "line_ordering": ["image", "formula"], "ordering": ["image", "formula", "table"], "structure": []}
-SUMS = ["input_gt", "eligible_gt", "excluded_gt", "input_predictions", "retained_predictions", "ignored_predictions", "protected_predictions"]
+#: The counts of a page that a summary adds up.
+SUMS = ["input_gt", "eligible_gt", "excluded_gt", "input_predictions", "retained_predictions", "ignored_predictions", "unlocalized_predictions", "protected_predictions", "empty_gt_images", "canvas_area_pixels", "ignored_area_pixels", "excluded_fully_clipped", "excluded_partially_clipped", "excluded_incomplete_text_block", "excluded_manual_region"]
+#: The task whose manual regions and kinds a task goes by.
+CANONICAL = {"line_ordering": "ordering"}
+
+
+def preconditions(images: DataFrame, key: str = "artifact_id", eps: float = 0.05) -> DataFrame:
+    """(key, problem): why visibility can't be judged, before anything is excluded; one row for each rule that fails.
+
+    images (key, n_pages, page_number, unit, origin, image_width, image_height, page_width, page_height, audit_errors, missing_polygons,
+    envelope_error, wrong_facts): of the ground truth and of its audit, the last three over its elements.
+    """
+    c = F.col
+    finite = lambda v: F.coalesce((v > 0) & ~F.isnan(v) & (v < float("inf")), F.lit(False))
+    when = lambda bad, name: F.when(F.coalesce(bad, F.lit(True)), name)
+    rules = F.array(
+        when((c("n_pages") != 1) | (c("page_number") != 1) | (c("unit") != "pixels") | (c("origin") != "top-left"), "coordinates"),
+        when(~finite(c("image_width")) | ~finite(c("image_height")), "canvas_size"),
+        when((c("page_width") != c("image_width")) | (c("page_height") != c("image_height")), "page_size"),
+        when(c("audit_errors") > 0, "audit"), when(c("missing_polygons") > 0, "polygon_missing"), when(c("envelope_error") > eps, "envelope"), when(c("wrong_facts") > 0, "visibility_facts"),
+    )
+    return images.select(key, F.explode(F.array_compact(rules)).alias("problem"))
+
+
+def ignore_regions(manual: DataFrame, blocks: DataFrame, task: str, key: str = "artifact_id") -> DataFrame:
+    """(key, region, reason) that a task ignores: manual regions (key, id, tasks, reason) for it, and blocks (key, id, type) of kinds without annotation. Line ordering goes by the manual regions of ordering."""
+    drawn = manual.where(F.array_contains("tasks", CANONICAL.get(task, task))).select(key, F.concat(F.lit("manual:"), "id").alias("region"), F.concat(F.lit("manual:"), "reason").alias("reason"))
+    bare = blocks.where(F.col("type").isin(IGNORED_KINDS[task])).select(key, F.concat(F.lit("unannotated:"), "id").alias("region"), F.concat(F.lit("unannotated_"), "type").alias("reason"))
+    return drawn.unionByName(bare)
+
+
+def repeated_regions(manual: DataFrame, key: str = "artifact_id") -> DataFrame:
+    """Ids of manual regions that come more than once."""
+    return manual.groupBy(key, "id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def candidates(task: str, lines: DataFrame, blocks: DataFrame, elements: DataFrame, order: DataFrame | None = None, key: str = "artifact_id") -> DataFrame:
+    """The units that a task scores, (key, id, rank): lines, lines in the stated order (key, id, pos), text blocks, or structure elements. Lines that the order does not name are left out."""
+    by = W.partitionBy(key)
+    if task == "quality":
+        return lines.select(key, "id", F.row_number().over(by.orderBy("gt_index")).alias("rank"))
+    if task == "line_ordering":
+        return lines.select(key, "id").join(order.select(key, "id", "pos"), [key, "id"]).select(key, "id", F.row_number().over(by.orderBy("pos")).alias("rank"))
+    units = blocks.select(key, F.col("block_id").alias("id"), "reading_order", "first_ord") if task == "ordering" else elements.select(key, "id", "reading_order", F.col("id").alias("first_ord"))
+    return units.select(key, "id", F.row_number().over(by.orderBy("reading_order", "first_ord")).alias("rank"))
+
+
+def scored(metrics: DataFrame, scope: DataFrame, scores: list[str], task: str = "quality", key: str = "artifact_id", protocol: str = "0.3") -> DataFrame:
+    """Metrics over what is eligible, joined with the scope's counts (key, eligible_gt, ...): counts stay, scores are null where nothing was eligible, pair coverage where fewer than two units were, and the protocol is stamped on."""
+    out = scope.join(metrics, key, "left")
+    out = null_without_eligible(out, "eligible_gt", scores)
+    if task in ("ordering", "line_ordering") and "coverage" in out.columns:
+        out = out.withColumn("coverage", F.when(F.col("eligible_gt") >= 2, F.col("coverage")))
+    return out.withColumn("evaluation_protocol_version", F.lit(protocol))
+
+
+def scope_totals(pages: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of all SUMS of pages of protocol 0.3, with the eligible share of ground truth and the ignored share of the canvas."""
+    summed = pages.where("evaluation_protocol_version = '0.3'").groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS])
+    return summed.withColumn("eligible_gt_fraction", F.try_divide("eligible_gt", "input_gt")).withColumn("ignored_area_fraction", F.try_divide("ignored_area_pixels", "canvas_area_pixels"))
 
 
 def eligibility(units: DataFrame, task: str = "quality", key: str = "artifact_id") -> DataFrame:

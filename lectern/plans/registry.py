@@ -188,15 +188,6 @@ def token_bag(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(O.token_bags(pairs, F.col("text"), F.col("predicted"), "item_id"))
 
 
-@query()
-def semantic_span_match(spark: SparkSession, sf: str) -> DataFrame:
-    t = _turns(spark, sf)
-    none = F.lit(None).cast(G.BOX)
-    gt = t.select("artifact_id", F.col("id").alias("gt_index"), "text", none.alias("bbox"))
-    joined = t.groupBy("artifact_id", "group").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"]), " ").alias("text"))
-    return rounded(M.semantic_match(gt, joined.select("artifact_id", F.col("group").cast("int").alias("pred_index"), "text", none.alias("bbox"))))
-
-
 PAGE_COLUMNS = ["num_gt_lines", "num_predicted_lines", "num_matched_lines", "gt_char_count", "gt_word_count", "char_errors", "word_errors"]
 
 
@@ -650,12 +641,6 @@ def wiki_targets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.wiki_target(urls).alias("t")).select("page_id", "t.*")
 
 
-@query()
-def canonical_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    """Hash seals of the events' properties and of derived seeds, in Arrow batches."""
-    return table(spark, sf, "events").select("event_id", T.canonical_json_sha256(F.col("props")).alias("seal"), T.derived_seed(F.array(F.lit("seed"), F.col("event_id").cast("string"))).alias("seed"))
-
-
 # geometry and scope
 
 _AFF = "(1.0, 0.05, -3.0, -0.02, 1.0, 7.0)"
@@ -756,3 +741,6 @@ def occurrence_and_offset(spark: SparkSession, sf: str) -> DataFrame:
 def top_degraded_pages(spark: SparkSession, sf: str) -> DataFrame:
     p = _pages(spark, sf).groupBy("page_id").agg(F.max(F.when(F.col("profile") == "heavy_scan", F.col("mean_cer"))).alias("h"), F.max(F.when(F.col("profile") == "clean", F.col("mean_cer"))).alias("c"))
     return rounded(p.select("page_id", (F.col("h") - F.col("c")).alias("delta")).orderBy(F.desc_nulls_last(F.round("delta", 9)), "page_id").limit(3))
+
+
+from . import more as _more  # noqa: E402, F401  adds its queries to QUERIES and ORACLES
