@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import discard, fresh_path, materialise, shared_dir  # noqa: F401  for the operators
+
 #: ASCII white space: space and U+0009 to U+000D. Everything else belongs to words.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN: dict[str, str] = {}
-_WRITTEN: dict[str, SparkSession] = {}
-
 
 def let(value: Column, body) -> Column:
     """Evaluates value once and binds it for body, even inside higher-order functions."""
@@ -65,51 +60,3 @@ def hot_keys(rows: DataFrame, key: str, name: str) -> DataFrame:
     """The keys of more than HOT of all rows, and of so many that they matter: fewer than 1 / HOT of them."""
     total = rows.count()
     return materialise(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(total * HOT, 1000)).select(key), name)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and the session is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _OWN:
-        _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="lectern-")
-    return _OWN[sc.applicationId]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed by discard() or when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = spark
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later jobs neither recompute it nor lose it with an executor."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lectern_path = path
-    return out
-
-
-def discard(df: DataFrame | str) -> None:
-    """Deletes what materialise() or fresh_path() made, once nothing reads it any more."""
-    path = df if isinstance(df, str) else getattr(df, "_lectern_path", None)
-    if path and (spark := _WRITTEN.pop(path, None)):
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _discard_all() -> None:
-    for path in list(_WRITTEN):
-        try:
-            discard(path)
-        except Exception:  # noqa: BLE001  the session has ended, and with it the way to its files
-            return

@@ -1,8 +1,8 @@
 """Licence scan: Dice coefficient over word bigrams between units of a text and licence templates.
 
 Units are the lines, the sentences of a line or of a paragraph, the paragraphs, the whole text, and windows of
-each template's size anywhere in the text, of which those of largest coefficient count that overlap no unit as good. Both sides are normalised: ASCII
-case and punctuation go, words and numbers stay. A template is compared only if its size allows the threshold at
+each template's size anywhere in the text, of which those of largest coefficient count that overlap no unit as good. Both sides are normalised: case
+and ASCII punctuation go, words and numbers stay. A template is compared only if its size allows the threshold at
 all: with a and b bigrams the coefficient is at most 2 min(a, b) / (a + b). Templates are kept in order of size, so
 the allowed ones are one slice; a unit of a size that fits no template is never cut into bigrams. Windows are tried
 only for templates that share enough bigrams with the text.
@@ -14,6 +14,7 @@ Each text is scanned by itself, in one pass without a shuffle.
 
 Defined results: null and empty texts match nothing. Of equal coefficients the earlier unit wins, then the template of the
 smaller name. Repeated rows are scanned alike, null ids kept, long texts scanned whole. An empty table: no rows.
+Columns other than the id and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ sequences whose lengths are powers of two, so nothing is padded.
 
 Defined results: null texts are empty; an empty text is one end token. Repeated rows are packed each for itself.
 Null ids are kept. Long texts are tokenized whole. An empty table gives no pieces.
+Columns other than the id and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ numbers are kept, no pieces. (Published as LinMaxMatch, in "Fast WordPiece Token
 cannot be cut into pieces is one unknown token. The bare mark, if it is a piece, starts the words that no longer one starts.
 
 Defined results: null, empty and blank texts have no words and no tokens. Repeated rows count alike, null ids are
-kept, long texts counted whole. An empty table gives no rows.
+kept, long texts counted whole. An empty table gives no rows. Columns other than the id and the text
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
