@@ -168,15 +168,17 @@ def plan(found: DataFrame, id_col: str = "doc_id", weights: tuple[float, ...] =
     wanted = spark.createDataFrame(bought, "pattern array<string>, base long, more long, source_size long, target double")
     open_ = wanted.where("more > 0").select(F.col("pattern").alias("p"), "more")
     join = F.col("pattern") == F.col("p")
-    # at most 256 sums of a pattern come into a window, then the few rows of one place
+    # at most 256 sums of a pattern come into a window, then the few rows of one place; what is broadcast has a row for each
+    # pattern, of which there are max_patterns at most, so no row moves to its pattern
     last = open_.select("p", F.lit(0).cast("long").alias("place"), F.col("more").alias("need"))
     for digit in range(1, DIGITS + 1):
         bits = DIGIT * digit
-        within = found.join(last, join & (_place(F.col("draw"), bits - DIGIT) == F.col("place"))) if digit > 1 else found.join(last, join)
+        open_place = join & (_place(F.col("draw"), bits - DIGIT) == F.col("place")) if digit > 1 else join
+        within = found.join(F.broadcast(last), open_place)
         sums = within.groupBy("p", "need", _place(F.col("draw"), bits).alias("b")).agg(F.sum("size").alias("n"))
         run = sums.withColumn("upto", F.sum("n").over(W.partitionBy("p").orderBy("b")))
         last = C.materialise(run.where("upto >= need and upto - n < need").select("p", F.col("b").alias("place"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("need")), "mixing-place")
-    inside = found.join(last, join & (_place(F.col("draw"), DIGIT * DIGITS) == F.col("place"))).groupBy("p", "need", "draw").agg(F.sum("size").alias("n"))
+    inside = found.join(F.broadcast(last), join & (_place(F.col("draw"), DIGIT * DIGITS) == F.col("place"))).groupBy("p", "need", "draw").agg(F.sum("size").alias("n"))
     ordered = inside.withColumn("upto", F.sum("n").over(W.partitionBy("p").orderBy("draw")))
     cuts = ordered.where("upto >= need and upto - n < need").select("p", F.col("draw").alias("cut"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("rest"), F.col("n").alias("at_cut"))
     return C.materialise(wanted.join(cuts, join, "left").select("pattern", "base", "cut", "rest", "at_cut", "source_size", "target"), "mixing-plan")
@@ -189,7 +191,7 @@ def taken(found: DataFrame, bought: DataFrame, cut: str = "partial") -> DataFram
     share = F.expr("size * rest div at_cut") if cut == "partial" else F.when(2 * F.col("rest") >= F.col("at_cut"), F.col("size")).otherwise(0)
     once_more = F.when(F.col("draw") < F.col("cut"), F.col("size")).when(F.col("draw") == F.col("cut"), share).otherwise(0)
     plan_ = bought.withColumnRenamed("pattern", "p")
-    return found.join(plan_, F.col("pattern") == F.col("p")).withColumn("taken", (F.col("base") * F.col("size") + once_more).cast("long"))
+    return found.join(F.broadcast(plan_), F.col("pattern") == F.col("p")).withColumn("taken", (F.col("base") * F.col("size") + once_more).cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = SEED, cut: str = "partial") -> DataFrame:
