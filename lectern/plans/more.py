@@ -24,7 +24,9 @@ from ..tables import fresh_path
 from . import registry as B
 from .registry import query, rounded
 
-_d = F.col("doc_id")
+
+def _d() -> Column:
+    return F.col("doc_id")
 
 
 def _pick(n: Column, *values) -> Column:
@@ -121,8 +123,8 @@ def _regions_sql(task: str, kinds: list[str]) -> str:
 @query(" UNION ALL ".join(_regions_sql(t, k) for t, k in V.IGNORED_KINDS.items()))
 def scope_regions(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id")
-    manual = d.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("r"), "doc_id").alias("id"), F.when(_d % 2 == 0, F.array(F.lit("quality"), F.lit("ordering"))).otherwise(F.array(F.lit("quality"))).alias("tasks"), F.lit("stamp").alias("reason"))
-    blocks = d.select("doc_id", F.concat(F.lit("e"), "doc_id").alias("id"), _pick(_d, *_TYPES).alias("type"))
+    manual = d.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("r"), "doc_id").alias("id"), F.when(_d() % 2 == 0, F.array(F.lit("quality"), F.lit("ordering"))).otherwise(F.array(F.lit("quality"))).alias("tasks"), F.lit("stamp").alias("reason"))
+    blocks = d.select("doc_id", F.concat(F.lit("e"), "doc_id").alias("id"), _pick(_d(), *_TYPES).alias("type"))
     every = [V.ignore_regions(manual, blocks, t, "doc_id").withColumn("task", F.lit(t)) for t in V.IGNORED_KINDS]
     out = every[0]
     for e in every[1:]:
@@ -168,7 +170,7 @@ _SUM_SQL = ", ".join(f"CAST(sum((doc_id * {i + 3}) % {i + 7}) AS BIGINT) AS {c}"
 
 @query(f"SELECT *, round(eligible_gt / nullif(input_gt, 0), 6) AS eligible_gt_fraction, round(ignored_area_pixels / nullif(canvas_area_pixels, 0), 6) AS ignored_area_fraction FROM (SELECT lang AS language, {_SUM_SQL} FROM documents WHERE doc_id % 10 <> 0 GROUP BY 1)")
 def scope_totals(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "documents").select(F.col("lang").alias("language"), F.when(_d % 10 == 0, "0.2").otherwise("0.3").alias("evaluation_protocol_version"), *[((_d * (i + 3)) % (i + 7)).alias(c) for i, c in enumerate(V.SUMS)])
+    pages = table(spark, sf, "documents").select(F.col("lang").alias("language"), F.when(_d() % 10 == 0, "0.2").otherwise("0.3").alias("evaluation_protocol_version"), *[((_d() * (i + 3)) % (i + 7)).alias(c) for i, c in enumerate(V.SUMS)])
     return rounded(V.scope_totals(pages, ["language"]))
 
 
@@ -225,13 +227,13 @@ def preferred_first(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, s AS scope, unnest(range(1, 1 + CASE s WHEN 'first' THEN 1 WHEN 'half' THEN greatest(1, (n + 1) // 2) ELSE n END)) AS page FROM (SELECT doc_id, 1 + doc_id % 5 AS n FROM documents), (SELECT unnest(['first', 'half', 'all']) AS s)")
 def page_scope(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", (1 + _d % 5).cast("int").alias("n"), F.explode(F.array(*map(F.lit, ("first", "half", "all")))).alias("scope"))
+    d = table(spark, sf, "documents").select("doc_id", (1 + _d() % 5).cast("int").alias("n"), F.explode(F.array(*map(F.lit, ("first", "half", "all")))).alias("scope"))
     return rounded(d.select("doc_id", "scope", F.explode(I.page_scope(F.col("n"), F.col("scope"))).alias("page")))
 
 
 @query("SELECT doc_id, p AS profile, unnest(range(0, CASE WHEN p = 'clean' THEN 1 ELSE 1 + doc_id % 3 END)) AS variant FROM documents, (SELECT unnest(['clean', 'heavy_scan']) AS p)")
 def requested_conditions(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", (1 + _d % 3).cast("int").alias("n"))
+    d = table(spark, sf, "documents").select("doc_id", (1 + _d() % 3).cast("int").alias("n"))
     grid = I.condition_grid(F.array(F.lit("clean"), F.lit("heavy_scan")), F.col("n"))
     return rounded(d.select("doc_id", F.explode(grid).alias("c")).select("doc_id", "c.profile", "c.variant"))
 
@@ -241,14 +243,14 @@ _PATHS = ("a/b.json", "/etc/x", "a/../b", "c:\\x", "", "./a//b", "..", ".")
 
 @query(f"SELECT doc_id, path, list_contains(['a/b.json', './a//b'], path) AS safe FROM (SELECT doc_id, {_pick_sql('doc_id', *_PATHS)} AS path FROM documents)".replace("\\\\", "\\"))
 def path_safety(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", _pick(_d, *_PATHS).alias("path"))
+    d = table(spark, sf, "documents").select("doc_id", _pick(_d(), *_PATHS).alias("path"))
     return d.select("doc_id", "path", I.safe_path(F.col("path")).alias("safe"))
 
 
 @query("SELECT doc_id, l * a AS source_documents, l * a * 3 AS rendered_documents, l * a * 3 * p AS base_pages, l * a * 3 * p * (CASE WHEN doc_id % 2 = 0 THEN 1 + 2 * v ELSE 2 * v END) AS images FROM (SELECT doc_id, 1 + doc_id % 2 AS l, 1 + doc_id % 7 AS a, 1 + doc_id % 3 AS p, 1 + doc_id % 4 AS v FROM documents)")
 def target_counts(spark: SparkSession, sf: str) -> DataFrame:
     some = lambda c, a, b: F.when(c, F.array(*map(F.lit, a))).otherwise(F.array(*map(F.lit, b)))
-    specs = table(spark, sf, "documents").select("doc_id", some(_d % 2 == 0, ["en"], ["en", "de"]).alias("languages"), (1 + _d % 7).alias("articles_per_language"), F.array(*map(F.lit, "abc")).alias("templates"), (1 + _d % 3).alias("pages_per_document"), some(_d % 2 == 0, ["clean", "x", "y"], ["x", "y"]).alias("conditions"), (1 + _d % 4).alias("variants_per_noisy_condition"))
+    specs = table(spark, sf, "documents").select("doc_id", some(_d() % 2 == 0, ["en"], ["en", "de"]).alias("languages"), (1 + _d() % 7).alias("articles_per_language"), F.array(*map(F.lit, "abc")).alias("templates"), (1 + _d() % 3).alias("pages_per_document"), some(_d() % 2 == 0, ["clean", "x", "y"], ["x", "y"]).alias("conditions"), (1 + _d() % 4).alias("variants_per_noisy_condition"))
     return rounded(I.target_counts(specs).select("doc_id", "source_documents", "rendered_documents", "base_pages", "images"))
 
 
@@ -256,7 +258,7 @@ def target_counts(spark: SparkSession, sf: str) -> DataFrame:
 def record_problems(spark: SparkSession, sf: str) -> DataFrame:
     size = lambda w: F.struct(w.cast("int").alias("width"), F.lit(9).alias("height"))
     same = F.lit(5)
-    r = table(spark, sf, "documents").select("doc_id", F.when(_d % 11 == 0, "").otherwise("light_scan").alias("profile"), F.lit(1).alias("variant"), F.lit("light_scan").alias("meta_profile"), F.when(_d % 5 == 0, 2).otherwise(1).alias("meta_variant"), (_d % 13 != 0).alias("source_page"), F.when(_d % 7 == 0, "points").otherwise("pixels").alias("unit"), F.lit("top-left").alias("origin"), F.when(_d % 9 == 0, 2).otherwise(1).alias("n_pages"), F.lit(1).alias("page_number"), F.when(_d % 6 != 0, "affine").alias("transform"), size(same).alias("image"), size(same).alias("coordinates"), size(F.when(_d % 4 == 0, 6).otherwise(5)).alias("declared"), size(same).alias("page"))
+    r = table(spark, sf, "documents").select("doc_id", F.when(_d() % 11 == 0, "").otherwise("light_scan").alias("profile"), F.lit(1).alias("variant"), F.lit("light_scan").alias("meta_profile"), F.when(_d() % 5 == 0, 2).otherwise(1).alias("meta_variant"), (_d() % 13 != 0).alias("source_page"), F.when(_d() % 7 == 0, "points").otherwise("pixels").alias("unit"), F.lit("top-left").alias("origin"), F.when(_d() % 9 == 0, 2).otherwise(1).alias("n_pages"), F.lit(1).alias("page_number"), F.when(_d() % 6 != 0, "affine").alias("transform"), size(same).alias("image"), size(same).alias("coordinates"), size(F.when(_d() % 4 == 0, 6).otherwise(5)).alias("declared"), size(same).alias("page"))
     return I.record_problems(r, "doc_id")
 
 
@@ -264,7 +266,7 @@ _RECORDS = "r AS (SELECT CASE WHEN doc_id % 50 = 1 THEN 'a0' ELSE 'a' || doc_id
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.when(_d % 50 == 1, "a0").otherwise(F.concat(F.lit("a"), "doc_id")).alias("artifact_id"), F.col("lang").alias("language"), F.col("source").alias("article_id"), F.sha2(F.concat("source", "lang"), 256).alias("source_sha256"), F.when(_d % 40 == 3, "other").otherwise(F.col("source")).alias("source_family"), F.when(_d % 30 == 7, "test").otherwise("dev").alias("split"), F.lit("reviewed_catalog").alias("family_assignment"))
+    return table(spark, sf, "documents").select(F.when(_d() % 50 == 1, "a0").otherwise(F.concat(F.lit("a"), "doc_id")).alias("artifact_id"), F.col("lang").alias("language"), F.col("source").alias("article_id"), F.sha2(F.concat("source", "lang"), 256).alias("source_sha256"), F.when(_d() % 40 == 3, "other").otherwise(F.col("source")).alias("source_family"), F.when(_d() % 30 == 7, "test").otherwise("dev").alias("split"), F.lit("reviewed_catalog").alias("family_assignment"))
 
 
 @query(f"WITH {_RECORDS} SELECT NULL AS artifact_id, 'discovery_count' AS problem UNION ALL SELECT artifact_id, 'duplicate_artifact' FROM r GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT artifact_id, 'split_plan' FROM r WHERE source_family = 'other' OR split = 'test'")
@@ -284,14 +286,14 @@ def family_catalogue(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, doc_id % 6 <> 0 AND doc_id % 8 <> 0 AS complete FROM documents")
 def complete_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Base pages with their profiles: some lack one, some have one twice."""
-    names = F.when(_d % 6 == 0, F.array(F.lit("clean"))).when(_d % 8 == 0, F.array(*map(F.lit, ("clean", "light_scan", "clean")))).otherwise(F.array(*map(F.lit, ("light_scan", "clean", "odd"))))
+    names = F.when(_d() % 6 == 0, F.array(F.lit("clean"))).when(_d() % 8 == 0, F.array(*map(F.lit, ("clean", "light_scan", "clean")))).otherwise(F.array(*map(F.lit, ("light_scan", "clean", "odd"))))
     r = table(spark, sf, "documents").select("doc_id", F.explode(names).alias("profile"), F.lit(0).alias("variant"))
     return I.complete_groups(r, ["doc_id"], ["clean", "light_scan"])
 
 
 @query("WITH d AS (SELECT ['source_rights', 'source_families', 'noise_severity', 'taste'][CAST(doc_id % 4 AS INT) + 1] AS category, 'u' || (doc_id // 8) AS unit_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 'accepted' ELSE 'rejected' END AS status FROM documents) SELECT c AS category, NULL AS unit_id, 'category_missing' AS problem FROM (SELECT unnest(['font_asset_rights', 'evaluation_protocol']) AS c) UNION ALL SELECT category, unit_id, 'category_unknown' FROM d WHERE category = 'taste' UNION ALL SELECT category, unit_id, 'duplicate_unit' FROM d GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT category, unit_id, 'not_accepted' FROM d WHERE status IS NULL OR status <> 'accepted'")
 def review_problems(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(_pick(_d, "source_rights", "source_families", "noise_severity", "taste").alias("category"), F.concat(F.lit("u"), F.expr("doc_id div 8")).alias("unit_id"), F.when(_d % 3 == 1, "accepted").when(_d % 3 == 2, "rejected").alias("status"))
+    d = table(spark, sf, "documents").select(_pick(_d(), "source_rights", "source_families", "noise_severity", "taste").alias("category"), F.concat(F.lit("u"), F.expr("doc_id div 8")).alias("unit_id"), F.when(_d() % 3 == 1, "accepted").when(_d() % 3 == 2, "rejected").alias("status"))
     return I.review_problems(d)
 
 
@@ -302,7 +304,7 @@ def shared_dependencies(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT d.doc_id, l.doc_id IS NOT NULL AND quality = 1 AND d.doc_id % 4 <> 0 AS reusable, CASE WHEN l.doc_id IS NULL THEN 'not_cached' WHEN quality <> 1 THEN 'not_successful' WHEN d.doc_id % 4 = 0 THEN 'input_changed' END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)")
 def reuse_check(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "documents").select("doc_id", F.when(_d % 4 == 0, "new").otherwise("old").alias("sha256"))
+    pages = table(spark, sf, "documents").select("doc_id", F.when(_d() % 4 == 0, "new").otherwise("old").alias("sha256"))
     cached = table(spark, sf, "labels").select("doc_id", F.lit("old").alias("sha256"), F.when(F.col("quality") == 1, "success").otherwise("failed").alias("status"))
     return I.reusable(pages, cached, ["doc_id"])
 
@@ -407,7 +409,7 @@ def trace_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT 'p' || doc_id AS profile, unnest(list_filter([CASE doc_id % 4 WHEN 0 THEN 'unknown_operation' WHEN 1 THEN 'unknown_parameter' WHEN 2 THEN 'parameter_bounds' END], lambda x: x IS NOT NULL)) AS problem FROM documents UNION ALL SELECT 'Bad Name', 'profile_name' UNION ALL SELECT 'clean', 'built_in_profile'")
 def recipe_problems(spark: SparkSession, sf: str) -> DataFrame:
-    steps = table(spark, sf, "documents").select(F.concat(F.lit("p"), "doc_id").alias("profile"), F.when(_d % 4 == 0, "melting").otherwise("sensor_noise").alias("name"), F.create_map(F.when(_d % 4 == 1, "size").otherwise("sigma"), F.when(_d % 4 == 2, 300.0).otherwise(5.0)).alias("parameters"))
+    steps = table(spark, sf, "documents").select(F.concat(F.lit("p"), "doc_id").alias("profile"), F.when(_d() % 4 == 0, "melting").otherwise("sensor_noise").alias("name"), F.create_map(F.when(_d() % 4 == 1, "size").otherwise("sigma"), F.when(_d() % 4 == 2, 300.0).otherwise(5.0)).alias("parameters"))
     more = spark.createDataFrame([("Bad Name", "faded_ink", {"strength": 0.5}), ("clean", "faded_ink", {"strength": 0.5})], "profile string, name string, parameters map<string,double>")
     return N.recipe_problems(steps.unionByName(more), ["clean", "light_scan"])
 
@@ -447,8 +449,8 @@ def audit_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT artifact_id, element_id, code FROM (SELECT CAST(doc_id AS VARCHAR) AS artifact_id, unnest(CASE doc_id % 4 WHEN 0 THEN [('b9', 'source_index'), (NULL, 'source_item_missing')] WHEN 1 THEN [('b1', 'source_text')] WHEN 2 THEN [('b1', 'source_caption')] ELSE [] END) AS f, f[1] AS element_id, f[2] AS code FROM documents)")
 def audit_sources(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(_d.cast("string").alias("artifact_id"), "doc_id", "text")
-    k = _d % 4
+    d = table(spark, sf, "documents").select(_d().cast("string").alias("artifact_id"), "doc_id", "text")
+    k = _d() % 4
     items = d.select("artifact_id", F.lit(1).alias("source_index"), F.lit("paragraph").alias("type"), F.concat(F.lit("x"), F.coalesce("text", F.lit(""))).alias("text"), F.when(k == 2, "cap").alias("caption"))
     blocks = d.select("artifact_id", F.when(k == 0, "b9").otherwise("b1").alias("id"), F.lit("block").alias("role"), F.when(k == 0, 9).otherwise(1).alias("source_index"), F.lit(1).alias("page_number"), F.lit(1).alias("reading_order"), F.concat(F.lit("x - "), F.coalesce("text", F.lit("")), F.when(k == 1, "!").otherwise("")).alias("text"), F.lit("paragraph").alias("type"))
     return A.source_findings(items, blocks).select("artifact_id", "element_id", "code")
@@ -456,8 +458,8 @@ def audit_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT artifact_id, element_id, code FROM (SELECT CAST(doc_id AS VARCHAR) AS artifact_id, unnest(CASE doc_id % 6 WHEN 0 THEN [(NULL, 'affine_matrix')] WHEN 1 THEN [('e', 'transformed_membership')] WHEN 2 THEN [('e', 'transformed_geometry')] WHEN 3 THEN [('e', 'transformed_content')] WHEN 4 THEN [('e', 'transformed_reference')] ELSE [] END) AS f, f[1] AS element_id, f[2] AS code FROM documents)")
 def audit_images(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(_d.cast("string").alias("artifact_id"), "doc_id")
-    k = _d % 6
+    d = table(spark, sf, "documents").select(_d().cast("string").alias("artifact_id"), "doc_id")
+    k = _d() % 6
     six = lambda *v: F.array(*[F.lit(float(x)) for x in v])
     images = d.select("artifact_id", F.lit(100.0).alias("width"), F.lit(100.0).alias("height"), F.lit(1.0).alias("zoom"), F.when(k == 0, six(1, 1, 0, 1, 1, 0)).otherwise(six(1, 0, 0, 0, 1, 0)).alias("matrix"))
     sources = d.select("artifact_id", F.lit("e").alias("id"), F.lit("paragraph").alias("type"), F.lit("t").alias("text"), G.box(10.0, 60.0, 20.0, 30.0).alias("bbox"), F.lit("p").alias("parent_id"))
@@ -491,14 +493,14 @@ def article_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, i AS pred_index, category, t AS text, x, problem FROM documents, (VALUES (0, 0, 'Title', 'A', 1.0, NULL), (0, 1, 'Text', 'b', NULL, 'bbox corners are not in order'), (1, 0, 'Text', 'c', NULL, NULL), (2, 0, 'Heading', '# Head', NULL, NULL), (2, 1, 'Text', 'body', NULL, NULL)) v(k, i, category, t, x, problem) WHERE k = doc_id % 3")
 def model_replies(spark: SparkSession, sf: str) -> DataFrame:
-    reply = _pick(_d, '```json\n[{"category": "Title", "text": " A ", "bbox": [1, 0, 2, 1]}, {"text": "b", "bbox": [2, 0, 1, 1]}]\n```', 'Here: {"blocks": [{"text": "c"}]} ok', "# Head\n\nbody")
+    reply = _pick(_d(), '```json\n[{"category": "Title", "text": " A ", "bbox": [1, 0, 2, 1]}, {"text": "b", "bbox": [2, 0, 1, 1]}]\n```', 'Here: {"blocks": [{"text": "c"}]} ok', "# Head\n\nbody")
     out = predictions.parse_replies(table(spark, sf, "documents").select("doc_id", reply.alias("reply")), "doc_id")
     return rounded(out.select("doc_id", "pred_index", "category", "text", F.col("bbox.x").alias("x"), "problem"))
 
 
 @query("SELECT doc_id, i AS pred_index, type, t AS text, x, y, h AS height FROM documents, (VALUES (0, 0, 'heading', 'T', 1.0, 10.0, 10.0), (0, 1, 'image', 'cap', 5.0, 6.0, 8.0), (1, 0, 'paragraph', 'only', 2.0, 3.0, 5.0)) v(k, i, type, t, x, y, h) WHERE k = doc_id % 2")
 def layout_documents(spark: SparkSession, sf: str) -> DataFrame:
-    text = _pick(_d, '{"texts": [{"self_ref": "#/1", "label": "Section-header", "text": "T", "prov": [{"page_no": 1, "bbox": {"l": 1, "r": 3, "t": 90, "b": 80, "coord_origin": "BOTTOMLEFT"}}]}, {"label": "text", "text": "other page", "prov": [{"page_no": 2, "bbox": {"l": 1, "r": 3, "t": 2, "b": 4}}]}], "pictures": [{"caption_text": "cap", "reading_order": 7, "bbox": {"x": 5, "y": 6, "width": 7, "height": 8}}], "pages": {"1": {"page_no": 1, "size": {"height": 100}}}}', '{"elements": [{"type": "Text", "orig": "only", "bbox": {"left": 2, "top": 3, "right": 4, "bottom": 8}}]}')
+    text = _pick(_d(), '{"texts": [{"self_ref": "#/1", "label": "Section-header", "text": "T", "prov": [{"page_no": 1, "bbox": {"l": 1, "r": 3, "t": 90, "b": 80, "coord_origin": "BOTTOMLEFT"}}]}, {"label": "text", "text": "other page", "prov": [{"page_no": 2, "bbox": {"l": 1, "r": 3, "t": 2, "b": 4}}]}], "pictures": [{"caption_text": "cap", "reading_order": 7, "bbox": {"x": 5, "y": 6, "width": 7, "height": 8}}], "pages": {"1": {"page_no": 1, "size": {"height": 100}}}}', '{"elements": [{"type": "Text", "orig": "only", "bbox": {"left": 2, "top": 3, "right": 4, "bottom": 8}}]}')
     out = predictions.parse_layouts(table(spark, sf, "documents").select("doc_id", text.alias("json")), "doc_id")
     return rounded(out.select("doc_id", "pred_index", "type", "text", "bbox.x", "bbox.y", "bbox.height"))
 
@@ -508,7 +510,7 @@ def _truth(spark: SparkSession, sf: str) -> DataFrame:
     line = lambda i, kind, page: F.concat(F.lit(f'{{"id": "e{i}", "type": "{kind}", "content": "w'), "doc_id", F.lit(f'", "bbox": {{"x": {i}.0, "y": 1.0, "width": 2.0, "height": 3.0, "page": {page}}}, "metadata": {{"parent_id": "p"}}}}'))
     page = lambda n, *es: F.concat(F.lit(f'{{"page_number": {n}, "width": 10, "height": 10, "containers": [{{"id": "c{n}", "elements": ['), F.concat_ws(", ", *es), F.lit("]}]}"))
     good = F.concat(F.lit('{"schema_version": "0.1", "pages": ['), F.concat_ws(", ", page(1, line(1, "text_line", 1), line(2, "image", 1), line(3, "text_line", 1), line(4, "text_line", 2)), page(2, line(5, "text_line", 2))), F.lit('], "elements": ['), F.concat_ws(", ", line(1, "text_line", 1), line(2, "image", 1)), F.lit("]}"))
-    text = F.when(_d % 10 == 0, "no json").when(_d % 10 == 1, '{"pages": [{"page_number": 1, "width": 0, "height": 5}]}').when(_d % 10 == 2, '{"schema_version": "9", "pages": []}').otherwise(good)
+    text = F.when(_d() % 10 == 0, "no json").when(_d() % 10 == 1, '{"pages": [{"page_number": 1, "width": 0, "height": 5}]}').when(_d() % 10 == 2, '{"schema_version": "9", "pages": []}').otherwise(good)
     return table(spark, sf, "documents").select("doc_id", text.alias("value")).select("doc_id", F.try_parse_json("value").alias("raw"), F.from_json("value", ground_truth.GT).alias("gt"))
 
 
@@ -530,7 +532,7 @@ def ground_truth_elements(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT lang AS language, count(*) AS n, max(CASE WHEN doc_id % 2 = 0 THEN n_chars END) AS most FROM documents GROUP BY 1")
 def ledger_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Written as JSON lines, which never overwrites, and read by a declared schema."""
-    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.when(_d % 2 == 0, F.col("n_chars")).alias("n_chars"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.when(_d() % 2 == 0, F.col("n_chars")).alias("n_chars"))
     path = fresh_path(spark, "ledger")
     sinks.write_json_lines(d, path)
     back = ground_truth.read_ledger(spark, path, "doc_id long, language string, n_chars long")
