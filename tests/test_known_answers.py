@@ -142,3 +142,41 @@ def test_transform_findings(spark):
     src = [("d", "ok", "t", "x", (10.0, 20.0, 10.0, 10.0), None, None), ("d", "off", "t", "y", (10.0, 20.0, 10.0, 10.0), None, None), ("d", "gone", "t", "x", (10.0, 20.0, 10.0, 10.0), None, None)]
     found = {(r.artifact_id, r.element_id, r.code) for r in A.transform_findings(images, spark.createDataFrame(made, ddl), spark.createDataFrame(src, ddl)).collect()}
     assert found == {("bad", None, "affine_matrix"), ("d", "off", "transformed_geometry"), ("d", "off", "transformed_content"), ("d", "off", "transformed_reference"), ("d", "gone", "transformed_membership"), ("d", "extra", "transformed_membership")}
+
+
+def test_pairs_are_counted_as_if_made():
+    import random
+
+    import numpy as np
+
+    from lectern.operators.ordering import _count_pairs
+
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = [(rng.randint(0, 6), rng.randint(0, 9)) for _ in range(rng.randint(1, 14))]
+        pairs = [(a, b) for a in rows for b in rows if a[0] < b[0]]
+        want = sum(a[1] < b[1] for a, b in pairs), sum(a[1] > b[1] for a, b in pairs)
+        assert _count_pairs(*(np.array(x, np.int64) for x in zip(*rows, strict=True))) == want
+
+
+def test_cells_are_placed_and_audited(spark):
+    from lectern.operators import pages as P
+
+    rng_rows = [("t", 0, 0, 3, 1, True, "a", None), ("t", 0, 1, 1, 1, True, "b", "col"), ("t", 1, 0, 1, 1, False, "c", None), ("t", 2, 0, 1, 2, False, "", None), ("u", 0, 0, 1, 1, False, "x", None), ("v", 0, 0, 1, 1, True, "x", "row")]
+    cells = spark.createDataFrame(rng_rows, "k string, row_index int, pos int, rowspan int, colspan int, is_header boolean, text string, scope string")
+    placed = P.place_cells(cells, ["k"])
+    assert {(r.k, r.row_index, r.pos): (r.column_index, r.problem) for r in placed.collect()} == {("t", 0, 0): (0, None), ("t", 0, 1): (1, None), ("t", 1, 0): (1, None), ("t", 2, 0): (1, None), ("u", 0, 0): (0, None), ("v", 0, 0): (0, None)}
+    audit = {r.k: (r.rows, r.columns, r.merged_cells, r.header_rows) for r in P.table_audit(cells, placed, ["k"]).collect()}
+    assert audit == {"t": (3, 3, 2, 3), "u": (1, 1, 0, 0), "v": (1, 1, 0, 0)}
+
+
+def test_semantic_ordering_of_swapped_blocks(spark):
+    from lectern.functions import geometry as G
+    from lectern.operators import structure as X
+
+    gt = spark.createDataFrame([("a", 0, "one two", None), ("a", 1, "three", None), ("b", 0, "alone", None)], f"artifact_id string, gt_index int, text string, bbox {G.BOX}")
+    predicted = spark.createDataFrame([("a", 0, "three", None), ("a", 1, "one two", None), ("c", 0, "stray", None)], f"artifact_id string, pred_index int, text string, bbox {G.BOX}")
+    got = {r.artifact_id: r for r in X.semantic_ordering(gt, predicted).collect()}
+    assert (got["a"].kendall_tau, got["a"].ordered_wer, got["a"].token_f1, got["a"].matched_block_ratio) == (-1.0, 2 / 3, 1.0, 1.0)
+    assert (got["b"].ordered_cer, got["b"].num_predicted_blocks, got["b"].matched_prediction_ratio, got["b"].kendall_tau) == (1.0, 0, 0.0, None)
+    assert got["c"].num_gt_blocks == 0 and got["c"].ordered_wer == 1.0
