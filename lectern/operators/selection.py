@@ -16,12 +16,13 @@ def round_robin(pages: DataFrame, strata: list[str], rank: Column, most: int | N
     placed = pages.withColumn("_h", rank).withColumn("turn", F.row_number().over(W.partitionBy(*strata).orderBy("_h")))
     if most is None:
         return placed.drop("_h")
-    return placed.orderBy("turn", *strata, "_h").limit(most).drop("_h")
+    # a later turn has `most` pages of its own stratum before it; the limit on turns is applied before the shuffle
+    return placed.where(F.col("turn") <= most).orderBy("turn", *strata, "_h").limit(most).drop("_h")
 
 
 def cycle(pages: DataFrame, language: str, template: str, language_index: Column, template_index: Column, n_templates: int, rank: Column, per_language: int) -> DataFrame:
     """The first pages of each language, templates in turn, each language starting with another template."""
-    placed = pages.withColumn("_h", rank).withColumn("turn", F.row_number().over(W.partitionBy(language, template).orderBy("_h")))
+    placed = pages.withColumn("_h", rank).withColumn("turn", F.row_number().over(W.partitionBy(language, template).orderBy("_h"))).where(F.col("turn") <= per_language)
     inner = W.partitionBy(language).orderBy("turn", F.pmod(template_index - language_index, F.lit(n_templates)), "_h")
     return placed.withColumn("pick", F.row_number().over(inner)).where(F.col("pick") <= per_language).drop("_h")
 

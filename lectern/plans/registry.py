@@ -16,7 +16,8 @@ from ..operators import reports as R
 from ..operators import scope as V
 from ..operators import selection as S
 from ..operators import structure as X
-from ..sources.derived import PROFILES, TEMPLATES, gt_lines, lines, pred_lines, table
+from ..sources.derived import TEMPLATES, gt_lines, lines, pred_lines, table
+from ..tables import materialise
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -247,7 +248,7 @@ _CAL = f"""WITH {PAGE}, cond(operation, level, profile) AS (VALUES ('blur', 1, '
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _pages(spark, sf)
+    pages = materialise(_pages(spark, sf), "page-metrics")  # a row for each page, read three times
     conds = spark.createDataFrame([("blur", 1, "light_scan"), ("blur", 2, "medium_scan"), ("ink", 1, "heavy_scan")], "operation string, level int, condition string")
     results = pages.where(~((F.col("doc_id") % 10 == 3) & (F.col("profile") == "medium_scan")))
     return R.pair_conditions(pages.select("page_id", "language", "template").distinct(), conds, results, "page_id")
