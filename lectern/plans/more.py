@@ -18,7 +18,7 @@ from ..operators import quality as Q
 from ..operators import reports as R
 from ..operators import scope as V
 from ..operators import structure as X
-from ..sources import ground_truth, html_items, predictions, sinks
+from ..sources import documents, ground_truth, html_items, predictions, sinks
 from ..sources.derived import gt_lines, lines, pred_lines, table
 from ..tables import fresh_path
 from . import registry as B
@@ -564,6 +564,25 @@ def line_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("chars")))
 
 
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS pos, ty AS type, replace(tx, '@', CAST(doc_id AS VARCHAR)) AS text, problem FROM documents, (VALUES (0, 0, 'heading2', 'One @', NULL), (0, 1, 'paragraph', 'note', NULL), (0, 2, 'paragraph', '1. a', NULL), (0, 3, 'paragraph', '3. c', NULL), (0, 4, 'table', '', NULL), (1, 0, 'paragraph', 'flat @', NULL), (2, NULL, NULL, NULL, 'not_json'), (3, NULL, NULL, NULL, 'no_content'), (4, NULL, NULL, NULL, 'schema_invalid')) v(k, i, ty, tx, problem) WHERE k = doc_id % 5")
+def source_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Content trees, flat elements, and documents that can't be read."""
+    n = _d().cast("string")
+    tree = F.concat(F.lit('{"elements": [], "content": [{"type": "heading", "level": 2, "content": "One '), n, F.lit('", "children": [{"type": "hatnote", "content": "note"}, {"type": "list", "list_type": "ordered", "items": ["a", " ", "c"]}]}, {"type": "table"}]}'))
+    flat = F.concat(F.lit('{"elements": [{"type": "paragraph", "content": "flat '), n, F.lit('"}]}'))
+    value = F.when(_d() % 5 == 0, tree).when(_d() % 5 == 1, flat).when(_d() % 5 == 2, "{").when(_d() % 5 == 3, "{}").otherwise("[1]")
+    return documents.source_items(table(spark, sf, "documents").select("doc_id", value.alias("value")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '9' WHEN doc_id % 2 = 0 THEN '7' ELSE '5' END AS size FROM documents")
+def layered_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """A null in a layer falls through to the next."""
+    own = F.when(_d() % 3 == 0, '{"font": {"size": 9}}').when(_d() % 3 == 1, '{"font": {"size": null}}')
+    shared = F.when(_d() % 2 == 0, '{"font": {"size": 7}}').otherwise('{"font": {}}')
+    return table(spark, sf, "documents").select("doc_id", documents.setting([own, shared, F.lit('{"font": {"size": 5}}')], "font.size").alias("size"))
+
+
 #: Columns that a list or VALUES gives DuckDB as narrower numbers than Spark has.
 _LONGS = {
     "article_flow": ["n"], "article_items": ["pos", "level", "parent_pos"], "cell_places": ["row_index", "pos", "column_index"], "ground_truth_elements": ["ord", "page_number"], "ground_truth_lines": ["gt_index"],
