@@ -29,7 +29,7 @@ DAMPING = 0.85
 THRESHOLD = 0.5
 TOLERANCE = 1e-4
 #: Rounds that one plan holds.
-TURNS = 4
+TURNS = 2
 #: A tag ends at the next < or > and white space is not given back, so the search takes time linear in the page.
 LINK = r"""(?i)<a\s[^<>]*?href\s*+=\s*+["']?+\s*+(?:[a-z][a-z0-9+.-]*+:)?+//([^/"'\s>?#]+)"""
 
