@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ QUADRATIC = 1.0 / 2048
 #: Tokens that a chunk has before it is packed; its last document may exceed it.
 CHUNK = 2_000_000
 #: Words whose ids a worker keeps at a time.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 1_000_000
 
 _tokenizers: dict = {}
 
@@ -84,8 +85,8 @@ class WordIds:
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def _run(self, run: str) -> bytes:
-        data = run.lower().encode()
+    def _run(self, data: bytes) -> bytes:
+        """The ids of a run in lower case."""
         found = self.ids.get(data)
         if found is None:
             text = data.decode("ascii") if data.isascii() else "".join(map(self.letters.__getitem__, data))
@@ -94,12 +95,14 @@ class WordIds:
         return found
 
     def _split(self, word: str) -> bytes:
-        return b"".join(map(self._run, _RUNS.findall(word)))
+        return b"".join([self._run(run.encode()) for run in _RUNS.findall(word.lower())])
 
-    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _new(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         found, whole = {}, []
         for w in words:
-            if self.by_runs and _PLAIN.fullmatch(text := w.decode()):
+            if self.by_runs and w.isalpha():  # ASCII letters: a single run
+                found[w] = self._run(w.lower())
+            elif self.by_runs and _PLAIN.fullmatch(text := w.decode()):
                 found[w] = self._split(text)
             else:
                 whole.append(w)
@@ -110,18 +113,15 @@ class WordIds:
         if self.may(text):
             return self._encode([text])[0]
         words = text.split()
-        try:
-            return b"".join(map(self.ids.__getitem__, words))
-        except KeyError:
-            pass
         if len(self.ids) > self.most:
             self.ids.clear()
-        found = self._new([w for w in dict.fromkeys(words) if w not in self.ids])
-        if len(found) <= self.most:
-            self.ids.update(found)
-            found = self.ids
-        else:
-            found = self.ids | found
+        found, new = self.ids, set(words).difference(self.ids)
+        if new:
+            more = self._new(new)
+            if len(more) <= self.most:
+                found.update(more)
+            else:
+                found = found | more
         return b"".join(map(found.__getitem__, words))
 
 
