@@ -112,3 +112,53 @@ def break_lines(text: Column, width: Column | int) -> Column:
     words = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     line = F.format_string(r"\S(?:.{0,%d}\S)?(?: |$)|\S{%d}", n - 2, n)
     return F.transform(F.regexp_extract_all(words, line, F.lit(0)), lambda x: F.rtrim(x))
+
+
+#: What a word may ask of its column at most (font sizes), the share of a table that a column may ask for, and the rank of its typical cell.
+WORD_SIZES, MOST_SHARE, TYPICAL = 6.0, 0.55, 0.75
+
+
+def column_widths(cells: DataFrame, key: list[str], width: float, font_size: float, padding: float) -> DataFrame:
+    """(key, column_index, width, problem) of tables whose columns share a width by what their cells need.
+
+    cells (key, column_index, colspan, text_width, word_width and character_width of the widest, is_header). Cells over several
+    columns only say which columns there are. A table whose characters alone don't fit has no widths and the problem no_room.
+    """
+    c, pad = F.col, 2.0 * padding
+    own = lambda v: F.when(c("colspan") == 1, v)
+    spread = cells.withColumn("column_index", F.explode(F.sequence(c("column_index"), c("column_index") + c("colspan") - 1)))
+    sizes = F.sort_array(F.collect_list(own(c("text_width") + pad)))
+    by = spread.groupBy(*key, "column_index").agg(
+        sizes.alias("sizes"), F.max(own(F.when(c("is_header"), c("text_width") + pad))).alias("header"),
+        F.greatest(F.lit(pad + font_size), F.max(own(c("character_width") + pad))).alias("least"),
+        F.max(own(F.least(c("word_width"), F.lit(WORD_SIZES * font_size)) + pad)).alias("word"),
+    )
+    rank = F.floor((F.size("sizes") - 1) * TYPICAL).cast("int")
+    by = by.withColumn("word", F.greatest("least", "word")).withColumn("typical", F.when(F.size("sizes") > 0, F.get("sizes", rank)))
+    every = W.partitionBy(*key)
+    total = lambda v: F.sum(v).over(every)
+    by = by.withColumn("_least", total(c("least"))).withColumn("_word", total(c("word")))
+    share = F.try_divide(width - c("_least"), c("_word") - c("_least"))
+    by = by.withColumn("base", F.when(c("_word") > width, c("least") + share * (c("word") - c("least"))).otherwise(c("word")))
+    by = by.withColumn("wish", F.greatest("base", F.least(F.lit(MOST_SHARE * width), F.greatest(F.coalesce("typical", "base"), "header"))))
+    by = by.withColumn("_base", total(c("base"))).withColumn("_wish", total(c("wish")))
+    spare, asked = F.greatest(F.lit(0.0), width - c("_base")), c("_wish") - c("_base")
+    given = F.when(asked > spare, c("base") + spare * F.try_divide(c("wish") - c("base"), asked)).otherwise(c("wish") * width / c("_wish"))
+    fits = c("_least") <= width
+    return by.select(*key, "column_index", F.when(fits, given).alias("width"), F.when(~fits, "no_room").alias("problem"))
+
+
+def fit_figures(figures: DataFrame, gap: float = 6.0) -> DataFrame:
+    """figures with drawn_width, drawn_height, total_height (with caption and gap), x and problem: scaled in proportion into their frame, centred in the column.
+
+    figures (native_width, native_height, frame_width, frame_height, column_x, column_width, page_height, caption_height, 0 for none).
+    """
+    c = F.col
+    sizes = F.array("native_width", "native_height", "frame_width", "frame_height")
+    below = c("caption_height") + F.when(c("caption_height") > 0, gap).otherwise(0.0)
+    bad = F.when(F.coalesce(F.exists(sizes, lambda v: v.isNull() | F.isnan(v) | (v <= 0) | (v == float("inf"))), F.lit(True)), "figure_size").when(below >= c("page_height"), "caption_height")
+    ratio = lambda v, of: F.try_divide(v, c(of))
+    frame = F.least(ratio(c("frame_width"), "native_width"), ratio(c("frame_height"), "native_height"), ratio(c("column_width"), "native_width"))
+    scale = F.when(bad.isNull(), F.least(frame, ratio(c("page_height") - below, "native_height")))
+    wide = scale * c("native_width")
+    return figures.select("*", wide.alias("drawn_width"), (scale * c("native_height")).alias("drawn_height"), (scale * c("native_height") + below).alias("total_height"), (c("column_x") + (c("column_width") - wide) / 2).alias("x"), bad.alias("problem"))

@@ -583,6 +583,34 @@ def layered_settings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", documents.setting([own, shared, F.lit('{"font": {"size": 5}}')], "font.size").alias("size"))
 
 
+@query("""WITH ce AS (SELECT l_orderkey AS table_id, l_linenumber % 3 AS ci, CASE WHEN l_partkey % 7 = 0 THEN 2 ELSE 1 END AS cs, CAST(l_partkey % 190 AS DOUBLE) AS tw, CAST(l_partkey % 97 AS DOUBLE) AS ww, CAST(CASE WHEN l_partkey % 50 = 0 THEN 150 ELSE 8 END AS DOUBLE) AS cw, l_linenumber <= 3 AS h FROM lineitem),
+ sp AS (SELECT *, ci + u AS column_index FROM ce, (VALUES (0), (1)) v(u) WHERE u < cs),
+ b AS (SELECT table_id, column_index, list_sort(list(tw + 8) FILTER (WHERE cs = 1)) AS sizes, max(tw + 8) FILTER (WHERE cs = 1 AND h) AS header, greatest(16.0, max(cw + 8) FILTER (WHERE cs = 1)) AS l, max(least(ww, 48.0) + 8) FILTER (WHERE cs = 1) AS wd FROM sp GROUP BY 1, 2),
+ c AS (SELECT *, greatest(l, wd) AS w, sizes[CAST(floor((len(sizes) - 1) * 0.75) AS INT) + 1] AS typical FROM b),
+ d AS (SELECT *, sum(l) OVER t AS sl, sum(w) OVER t AS sw FROM c WINDOW t AS (PARTITION BY table_id)),
+ e AS (SELECT *, CASE WHEN sw > 200 THEN l + (200 - sl) / (sw - sl) * (w - l) ELSE w END AS base FROM d),
+ f AS (SELECT *, greatest(base, least(110.0, greatest(coalesce(typical, base), header))) AS wish FROM e),
+ g AS (SELECT *, sum(base) OVER t AS sb, sum(wish) OVER t AS sq FROM f WINDOW t AS (PARTITION BY table_id))
+ SELECT table_id, CAST(column_index AS INT) AS column_index, CASE WHEN sl <= 200 THEN round(CASE WHEN sq - sb > greatest(0.0, 200 - sb) THEN base + greatest(0.0, 200 - sb) * ((wish - base) / (sq - sb)) ELSE wish * 200 / sq END, 4) END AS width, CASE WHEN sl > 200 THEN 'no_room' END AS problem FROM g""")
+def column_widths(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of orders as cells, dealt to three columns, some over two."""
+    n = F.col("l_partkey")
+    wide = lambda k: (n % k).cast("double")
+    cells = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") % 3).cast("int").alias("column_index"), F.when(n % 7 == 0, 2).otherwise(1).alias("colspan"), wide(190).alias("text_width"), wide(97).alias("word_width"), F.when(n % 50 == 0, 150.0).otherwise(8.0).alias("character_width"), (F.col("l_linenumber") <= 3).alias("is_header"))
+    return P.column_widths(cells, ["table_id"], 200.0, 8.0, 4.0).withColumn("width", F.round("width", 4))
+
+
+@query("""WITH f AS (SELECT p_partkey, CAST(p_partkey % 900 AS DOUBLE) AS nw, CAST(1 + p_partkey % 701 AS DOUBLE) AS nh, CAST(10 * (p_partkey % 71) AS DOUBLE) AS ch FROM part),
+ g AS (SELECT *, ch + CASE WHEN ch > 0 THEN 6 ELSE 0 END AS below FROM f), h AS (SELECT *, CASE WHEN nw <= 0 THEN 'figure_size' WHEN below >= 700 THEN 'caption_height' END AS problem FROM g),
+ s AS (SELECT *, CASE WHEN problem IS NULL THEN least(300 / nw, 350 / nh, 240 / nw, (700 - below) / nh) END AS k FROM h)
+ SELECT p_partkey, round(k * nw, 4) AS drawn_width, round(k * nh, 4) AS drawn_height, round(k * nh + below, 4) AS total_height, round(50 + (240 - k * nw) / 2, 4) AS x, problem FROM s""")
+def figure_fit(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("p_partkey")
+    figures = table(spark, sf, "part").select("p_partkey", (n % 900).cast("double").alias("native_width"), (1 + n % 701).cast("double").alias("native_height"), F.lit(300.0).alias("frame_width"), F.lit(350.0).alias("frame_height"), F.lit(50.0).alias("column_x"), F.lit(240.0).alias("column_width"), F.lit(700.0).alias("page_height"), (10 * (n % 71)).cast("double").alias("caption_height"))
+    out = P.fit_figures(figures)
+    return out.select("p_partkey", *[F.round(x, 4).alias(x) for x in ("drawn_width", "drawn_height", "total_height", "x")], "problem")
+
+
 #: Columns that a list or VALUES gives DuckDB as narrower numbers than Spark has.
 _LONGS = {
     "article_flow": ["n"], "article_items": ["pos", "level", "parent_pos"], "cell_places": ["row_index", "pos", "column_index"], "ground_truth_elements": ["ord", "page_number"], "ground_truth_lines": ["gt_index"],
