@@ -162,3 +162,40 @@ def fit_figures(figures: DataFrame, gap: float = 6.0) -> DataFrame:
     scale = F.when(bad.isNull(), F.least(frame, ratio(c("page_height") - below, "native_height")))
     wide = scale * c("native_width")
     return figures.select("*", wide.alias("drawn_width"), (scale * c("native_height")).alias("drawn_height"), (scale * c("native_height") + below).alias("total_height"), (c("column_x") + (c("column_width") - wide) / 2).alias("x"), bad.alias("problem"))
+
+
+def table_fragments(rows: DataFrame, tables: DataFrame, key: list[str]) -> DataFrame:
+    """(key, fragment_index, frame_index, first_row, rows, repeated_header_rows, height, problem): tables cut to fit frames, header rows repeated.
+
+    rows (key, row_index from 0, height, reach: the row below the lowest that its cells go down to); tables (key, header_rows,
+    caption_height, first_room of the frame begun already, room of all others). Rows that cells join, and the header with what
+    follows it, stay together; each fragment takes all that fits. A group taller than a frame gives its table one row, with
+    the problem row_height. A table is one group, bounded by nature, and is folded in the JVM.
+    """
+    c, at = F.col, W.partitionBy(*key).orderBy("row_index")
+    known = rows.join(tables.select(*key, "header_rows"), key)
+    last = c("row_index") == F.max("row_index").over(W.partitionBy(*key))
+    ends = (F.max("reach").over(at) <= c("row_index") + 1) & (c("row_index") >= c("header_rows")) | last
+    parts = known.withColumn("_ends", ends.cast("int")).withColumn("_part", F.sum("_ends").over(at) - c("_ends"))
+    head = F.sum(F.when(c("row_index") < c("header_rows"), c("height")).otherwise(0.0))
+    sums = parts.groupBy(*key, "_part").agg(F.min("row_index").alias("first"), F.count("*").alias("n"), F.sum("height").alias("h"), head.alias("head"))
+    whole = sums.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "n", "h"))).alias("parts"), F.sum("head").alias("head")).join(tables, key)
+    kind = "array<struct<frame:int,first:int,n:bigint,height:double>>"
+    taller = F.exists("parts", lambda g: g["h"] + F.when(g["first"] == 0, c("caption_height")).otherwise(c("head")) > c("room"))
+
+    def step(done: Column, g: Column) -> Column:
+        now = F.element_at(done, -1)
+        room = F.when(now["frame"] == 0, c("first_room")).otherwise(c("room"))
+        grown = F.struct(now["frame"].alias("frame"), now["first"].alias("first"), (now["n"] + g["n"]).alias("n"), (now["height"] + g["h"]).alias("height"))
+        fresh = F.struct((now["frame"] + 1).alias("frame"), g["first"].cast("int").alias("first"), g["n"].alias("n"), (c("head") + g["h"]).alias("height"))
+        before = F.slice(done, 1, F.size(done) - 1)
+        return F.when(now["height"] + g["h"] <= room, F.concat(before, F.array(grown))).otherwise(F.concat(done, F.array(fresh))).cast(kind)
+
+    top = F.get("parts", F.lit(0))
+    high = c("caption_height") + top["h"]
+    begin = F.array(F.struct(F.when(high <= c("first_room"), 0).otherwise(1).alias("frame"), top["first"].cast("int").alias("first"), top["n"].alias("n"), high.alias("height"))).cast(kind)
+    cut = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), begin, step)
+    none = F.array(F.struct(*[F.lit(None).alias(x) for x in ("frame", "first", "n", "height")])).cast(kind)
+    out = whole.withColumn("problem", F.when(taller, "row_height")).select(*key, "header_rows", "problem", F.posexplode(F.when(c("problem").isNull(), cut).otherwise(none)).alias("i", "f"))
+    repeated = F.when(c("f.first").isNotNull(), F.when(c("f.first") > 0, c("header_rows")).otherwise(0)).cast("int")
+    return out.select(*key, c("i").alias("fragment_index"), c("f.frame").alias("frame_index"), c("f.first").alias("first_row"), c("f.n").alias("rows"), repeated.alias("repeated_header_rows"), c("f.height").alias("height"), "problem")

@@ -611,6 +611,31 @@ def figure_fit(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("p_partkey", *[F.round(x, 4).alias(x) for x in ("drawn_width", "drawn_height", "total_height", "x")], "problem")
 
 
+_CARD_ROOM = "CAST(30 + doc_id % 60 AS DOUBLE)"
+
+
+@query(f"""WITH {B.LINES}, r0 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS row_index, CAST(10 + length(text) % 15 AS DOUBLE) AS height, length(text) % 4 = 0 AS joins FROM lines),
+ r AS (SELECT *, row_index = max(row_index) OVER (PARTITION BY doc_id) AS last FROM r0),
+ e AS (SELECT *, CASE WHEN last OR (NOT joins AND row_index >= 1) THEN 1 ELSE 0 END AS ends FROM r),
+ p AS (SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY row_index) - ends AS part FROM e),
+ g AS (SELECT doc_id, part, min(row_index) AS first, count(*) AS n, sum(height) AS h FROM p GROUP BY 1, 2),
+ hd AS (SELECT doc_id, height AS head FROM r WHERE row_index = 0),
+ t AS (SELECT *, CAST(doc_id % 3 * 8 AS DOUBLE) AS cap, {_CARD_ROOM} AS fr, 120.0::DOUBLE AS room FROM hd),
+ bad AS (SELECT DISTINCT doc_id FROM g JOIN t USING (doc_id) WHERE h + CASE WHEN first = 0 THEN cap ELSE head END > room),
+ x AS (SELECT g.*, cap, fr, room, head FROM g JOIN t USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM bad)),
+ k AS (SELECT doc_id, list_reduce(list([struct_pack(f := CASE WHEN part > 0 THEN -1 WHEN cap + h <= fr THEN 0 ELSE 1 END, s := first, n := n, h := CASE WHEN part = 0 THEN cap + h ELSE h END, fr := fr, room := room, head := head)] ORDER BY part),
+  lambda a, b: CASE WHEN a[-1].h + b[1].h <= CASE WHEN a[-1].f = 0 THEN b[1].fr ELSE b[1].room END THEN list_concat(a[1:-2], [struct_pack(f := a[-1].f, s := a[-1].s, n := a[-1].n + b[1].n, h := a[-1].h + b[1].h, fr := b[1].fr, room := b[1].room, head := b[1].head)]) ELSE list_concat(a, [struct_pack(f := a[-1].f + 1, s := b[1].s, n := b[1].n, h := b[1].head + b[1].h, fr := b[1].fr, room := b[1].room, head := b[1].head)]) END) AS fs FROM x GROUP BY 1)
+ SELECT doc_id, CAST(i AS INT) AS fragment_index, CAST(q.f AS INT) AS frame_index, CAST(q.s AS INT) AS first_row, CAST(q.n AS BIGINT) AS rows, CASE WHEN q.s > 0 THEN 1 ELSE 0 END AS repeated_header_rows, q.h AS height, NULL AS problem FROM (SELECT doc_id, unnest(fs) AS q, unnest(range(len(fs))) AS i FROM k)
+ UNION ALL SELECT doc_id, 0, NULL, NULL, NULL, NULL, NULL, 'row_height' FROM bad""")
+def table_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of a document as a table's row, some joined to the next; the first is the header."""
+    at = B.W.partitionBy("doc_id").orderBy("pos")
+    r = lines(spark, sf).select("doc_id", (F.row_number().over(at) - 1).alias("row_index"), F.length("text").alias("k"))
+    r = r.select("doc_id", "row_index", (10 + F.col("k") % 15).cast("double").alias("height"), (F.col("row_index") + F.when(F.col("k") % 4 == 0, 2).otherwise(1)).alias("reach"))
+    t = r.select("doc_id").distinct().select("doc_id", F.lit(1).alias("header_rows"), (_d() % 3 * 8).cast("double").alias("caption_height"), (30 + _d() % 60).cast("double").alias("first_room"), F.lit(120.0).alias("room"))
+    return P.table_fragments(r, t, ["doc_id"])
+
+
 #: Columns that a list or VALUES gives DuckDB as narrower numbers than Spark has.
 _LONGS = {
     "article_flow": ["n"], "article_items": ["pos", "level", "parent_pos"], "cell_places": ["row_index", "pos", "column_index"], "ground_truth_elements": ["ord", "page_number"], "ground_truth_lines": ["gt_index"],
