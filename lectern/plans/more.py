@@ -620,7 +620,7 @@ _CARD_ROOM = "CAST(30 + doc_id % 60 AS DOUBLE)"
  p AS (SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY row_index) - ends AS part FROM e),
  g AS (SELECT doc_id, part, min(row_index) AS first, count(*) AS n, sum(height) AS h FROM p GROUP BY 1, 2),
  hd AS (SELECT doc_id, height AS head FROM r WHERE row_index = 0),
- t AS (SELECT *, CAST(doc_id % 3 * 8 AS DOUBLE) AS cap, {_CARD_ROOM} AS fr, 120.0::DOUBLE AS room FROM hd),
+ t AS (SELECT *, CAST(doc_id % 3 * 8 AS DOUBLE) AS cap, {_CARD_ROOM} AS fr, 400.0::DOUBLE AS room FROM hd),
  bad AS (SELECT DISTINCT doc_id FROM g JOIN t USING (doc_id) WHERE h + CASE WHEN first = 0 THEN cap ELSE head END > room),
  x AS (SELECT g.*, cap, fr, room, head FROM g JOIN t USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM bad)),
  k AS (SELECT doc_id, list_reduce(list([struct_pack(f := CASE WHEN part > 0 THEN -1 WHEN cap + h <= fr THEN 0 ELSE 1 END, s := first, n := n, h := CASE WHEN part = 0 THEN cap + h ELSE h END, fr := fr, room := room, head := head)] ORDER BY part),
@@ -632,7 +632,7 @@ def table_fragments(spark: SparkSession, sf: str) -> DataFrame:
     at = B.W.partitionBy("doc_id").orderBy("pos")
     r = lines(spark, sf).select("doc_id", (F.row_number().over(at) - 1).alias("row_index"), F.length("text").alias("k"))
     r = r.select("doc_id", "row_index", (10 + F.col("k") % 15).cast("double").alias("height"), (F.col("row_index") + F.when(F.col("k") % 4 == 0, 2).otherwise(1)).alias("reach"))
-    t = r.select("doc_id").distinct().select("doc_id", F.lit(1).alias("header_rows"), (_d() % 3 * 8).cast("double").alias("caption_height"), (30 + _d() % 60).cast("double").alias("first_room"), F.lit(120.0).alias("room"))
+    t = r.select("doc_id").distinct().select("doc_id", F.lit(1).alias("header_rows"), (_d() % 3 * 8).cast("double").alias("caption_height"), (30 + _d() % 60).cast("double").alias("first_room"), F.lit(400.0).alias("room"))
     return P.table_fragments(r, t, ["doc_id"])
 
 
