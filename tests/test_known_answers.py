@@ -46,6 +46,28 @@ def test_page_metrics(spark):
     assert (m["num_matched_lines"], m["false_positives"], m["micro_cer"]) == (1, 1, 1.0)
 
 
+def test_macro_rates_are_added_in_a_fixed_order(spark):
+    """Found lines by their place, then missed ones, whatever the order of predictions and rows."""
+    wrong = {0: 1, 1: None, 2: 3, 3: 5}  # of 10 letters; line 1 is missed
+    at = [(0.0, 20.0 * i, 10.0, 10.0) for i in wrong]
+    gt = spark.createDataFrame([("p", i, "a" * 10, at[i]) for i in wrong], LINE)
+    predicted = spark.createDataFrame([("p", 3 - i, "b" * n + "a" * (10 - n), at[i]) for i, n in wrong.items() if n], PREDICTED)
+
+    def mean(*rates):
+        total = 0.0
+        for r in rates:
+            total += r
+        return total / len(rates)
+
+    want = mean(0.1, 0.3, 0.5, 1.0)
+    assert want not in (mean(0.1, 1.0, 0.3, 0.5), mean(1.0, 0.5, 0.3, 0.1))
+    for g, p in ((gt, predicted), (gt.orderBy(F.desc("gt_index")), predicted.repartition(3)), (gt.repartition(3), predicted)):
+        m = Q.page_metrics(g, p, M.line_match(g, p)).first()
+        assert (m["num_matched_lines"], m["char_errors"], m["mean_cer"]) == (3, 19, want)
+    nulls = spark.range(1).select(Q.mean_in_order(F.lit([0.1, 0.2, 0.3])).alias("a"), Q.mean_in_order(F.array(F.lit(None).cast("double"), F.lit(0.5))).alias("b"), Q.mean_in_order(F.array().cast("array<double>")).alias("c")).first()
+    assert tuple(nulls) == (mean(0.1, 0.2, 0.3), 0.5, None)
+
+
 def test_order_statistics(spark):
     seq = spark.createDataFrame([("merged", 0, 2), ("merged", 0, 1), ("merged", 1, 3), ("turned", 0, 3), ("turned", 1, 1), ("turned", 1, 2)], "artifact_id string, `group` int, rank int")
     got = {r.artifact_id: r for r in O.order_statistics(O.pair_counts(seq)).collect()}
