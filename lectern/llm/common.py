@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +58,15 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, name: str)
     return marked.where("_hot").drop("_hot").select(*rows.columns, *added).unionByName(rest.select(*rows.columns, *added))
 
 
-def hot_keys(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """The keys of more than HOT of all rows, and of so many that they matter: fewer than 1 / HOT of them."""
-    total = rows.count()
-    return materialise(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(total * HOT, 1000)).select(key), name)
+def shares(rows: DataFrame, key: str):
+    """Over how many parts each key's rows are to be dealt, so that no part is hot: a function of a key's column, or None if none is.
+
+    Keys of more than HOT of all rows, and of so many that they matter, are fewer than 1 / HOT; the driver holds these. Their
+    parts are fewer than 2 / HOT.
+    """
+    most = max(rows.count() * HOT, 1000)
+    hot = {r[0]: math.ceil(r[1] / most) for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}
+    if not hot:
+        return None
+    table = F.create_map(*(F.lit(x) for pair in hot.items() for x in pair))
+    return lambda of: F.when(of.isin(*hot), F.element_at(table, of)).otherwise(F.lit(1))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import licences, queries, url_graph, warc, wordpiece
+from lectern.llm import common, licences, queries, url_graph, warc, wordpiece
 
 from . import brute
 
@@ -83,6 +83,26 @@ def test_distrust_goes_back_more_than_twenty_links(spark):
     assert abs(sum(r.distrust for r in got) - (1 - 0.85**31)) < 1e-3
 
 
+def test_rounds_over_hubs_take_few_jobs_of_the_driver(spark):
+    links = spark.createDataFrame([("hub", f"s{i}", 1.0) for i in range(2500)] + [(f"s{i}", "hub", 1.0) for i in range(5)], "src string, dst string, w double")
+    seeds = spark.createDataFrame([("s1", 1.0, 0.0)], "host string, trusted double, blocked double")
+    jobs = []
+    for rounds in (2, 10):
+        spark.sparkContext.setJobGroup(f"rounds-{rounds}", "")
+        url_graph.propagate(links, seeds, tolerance=0, most_rounds=rounds)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 8 * 4
+
+
+def test_no_part_of_a_hub_is_hot(spark):
+    rows = spark.range(40_000).selectExpr("if(id < 30000, 'hub', concat('h', id)) AS a", "id AS b")
+    dealt = common.shares(rows, "a")
+    parts = rows.withColumn("part", F.pmod(F.hash("b"), dealt(F.col("a")))).groupBy("a", "part").count().collect()
+    assert len({r.part for r in parts if r.a == "hub"}) == 30 and max(r["count"] for r in parts) < 1250
+    assert sum(r["count"] for r in parts) == 40_000 and common.shares(rows.where("id >= 30000"), "a") is None
+
+
 # licences
 
 
