@@ -39,6 +39,31 @@ def stated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Rows that a file of a narrow table has at least, where there are as many.
+FILE_ROWS = 10_000
+
+
+def in_few(df: DataFrame, most: int) -> DataFrame:
+    """df, which has at most so many rows, in a partition for each FILE_ROWS of them, where it would have more.
+
+    For narrow tables that are written: without Hadoop's native library an executor starts a process for each file's mode.
+    """
+    return df.coalesce(max(1, -(-most // FILE_ROWS)))
+
+
+def give_back() -> None:
+    """Gives memory that this Python worker has freed back to the system; it waits for other tasks and would hold it beside the JVM's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        return
+
+
 #: A key with more than this share of all rows is hot; there are fewer than 1 / HOT such keys.
 HOT = 1e-3
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -165,7 +166,11 @@ def plan(found: DataFrame, id_col: str = "doc_id", weights: tuple[float, ...] =
         total = sum(given[p].values())
         base = total // n if n else 0
         bought.append((list(p), base, total - base * n, source_size[p[0]], want[p[0]]))
-    wanted = spark.createDataFrame(bought, "pattern array<string>, base long, more long, source_size long, target double")
+    # of an Arrow table, as one of a list of rows would start Python workers of a kind of their own
+    kinds = (pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    columns = zip(*bought, strict=True) if bought else [()] * len(kinds)
+    names = ["pattern", "base", "more", "source_size", "target"]
+    wanted = spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names))
     open_ = wanted.where("more > 0").select(F.col("pattern").alias("p"), "more")
     join = F.col("pattern") == F.col("p")
     # at most 256 sums of a pattern come into a window, then the few rows of one place; what is broadcast has a row for each

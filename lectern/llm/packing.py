@@ -24,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 LENGTH = 4096
 END = 2
 LINEAR = 1.0
 QUADRATIC = 1.0 / 2048
 #: Tokens that a chunk has before it is packed; its last document may exceed it.
 CHUNK = 2_000_000
+#: Pieces that go to the JVM at a time, of at most LENGTH ids each.
+BATCH = 1024
 #: Words whose ids a worker keeps at a time.
 WORDS_KEPT = 500_000
 
@@ -64,15 +68,13 @@ class WordIds:
     """
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
-        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.of, self.most, self.ids = Tokenizer.from_file(path), kept, {}
-        with open(path, encoding="utf-8") as f:
-            self.special = [t["content"].lower().encode() for t in json.load(f).get("added_tokens", [])]
+        self.special = [t.content.lower().encode() for t in self.of.get_added_tokens_decoder().values()]
         self.model, self.letters = self.of.model, _byte_letters()
         probe = "ThaNß.,Ééÿx$$$%Öre(|ing!a-B"
         self.by_runs = self._split(probe) == self._encode([probe.encode()])[0]
@@ -189,15 +191,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
             nonlocal first, keys, texts, held
             pieces = assign([len(t) // 4 for t in texts], length)
             pieces.sort(key=lambda p: (p[3], p[4]))
-            for lo in range(0, len(pieces), 8192):
-                part = pieces[lo : lo + 8192]
+            for lo in range(0, len(pieces), BATCH):
+                part = pieces[lo : lo + BATCH]
                 d, start, n, seq, offset = zip(*part, strict=True)
                 columns = [pa.array([keys[i] for i in d], type_), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array([len(texts[i]) // 4 for i in d], pa.int64()), pa.array([first + s for s in seq], pa.int64()), pa.array(offset, pa.int64()), pa.array([texts[i][4 * s : 4 * (s + k)] for i, s, k in zip(d, start, n, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
             first += 1 + max((p[3] for p in pieces), default=-1)
             keys, texts, held = [], [], 0
 
-        type_ = None
+        type_ = b = value = None
         for b in batches:
             type_ = b.column(0).type
             for key, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -206,7 +208,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
                 held += len(texts[-1]) // 4
                 if held >= chunk:
                     yield from packed()
+        del b, value
         if texts:
             yield from packed()
+        C.give_back()
 
     return docs.select(id_col, F.encode(F.col(text), "UTF-8").alias("_text")).mapInArrow(run, schema)

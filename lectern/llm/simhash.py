@@ -61,9 +61,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        b = None
         for b in batches:
-            fps = np.fromiter(map(fingerprint, b.column(2).to_pylist()), np.uint64, b.num_rows).view(np.int64)
+            fps = np.fromiter(map(fingerprint, (x.as_py() for x in b.column(2))), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=[id_col, "th", "fp"])
+        del b
+        C.give_back()
 
     return docs.select(id_col, F.xxhash64(text).alias("th"), F.encode(F.col(text), "UTF-8").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, th long, fp long")
 
@@ -179,20 +182,20 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     def large(e):  # neighbours above a node go to the smallest in its neighbourhood
         both = e.union(e.select("b", "a"))
-        joined = C.join_hot(both, least(both).select("a", F.least("a", "m").alias("m"), "n"), "a", 2 * seen["n"], "star")
+        joined = C.join_hot(both, C.in_few(least(both).select("a", F.least("a", "m").alias("m"), "n"), 2 * seen["n"]), "a", 2 * seen["n"], "star")
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
-    def small(e):  # a node and its smaller neighbours go to the smallest of these
+    def small(e, most):  # a node and its smaller neighbours go to the smallest of these; e has at most so many rows
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        joined = C.join_hot(down, least(down), "a", seen["n"], "star")
-        return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        joined = C.join_hot(down, C.in_few(least(down), most), "a", seen["n"], "star")
+        return C.in_few(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), 2 * most)
 
     mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     seen = mark(edges)
-    now = C.materialise(small(edges), "star")
+    now = C.materialise(small(edges, seen["n"]), "star")
     seen = mark(now)
     for _ in range(most_rounds):
-        after = C.materialise(small(large(now)), "star")
+        after = C.materialise(small(large(now), 2 * seen["n"]), "star")
         C.discard(now)
         now, last, seen = after, seen, mark(after)
         if seen == last:
@@ -204,14 +207,16 @@ def _grouped(docs: DataFrame, id_col: str, text: str, radius: int, tile: int) ->
     """(id, th, fp, first): a row for each of docs; first is the (no_id, id, th) of its component that comes first. th tells texts of one id apart."""
     marked = C.materialise(fingerprints(docs, id_col, text), "simhash")
     own = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("th").alias("th"))
-    distinct = C.materialise(marked.groupBy("fp").agg(F.min(own).alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    total = marked.count()
+    distinct = C.materialise(C.in_few(marked.groupBy("fp").agg(F.min(own).alias("least"), F.count("*").alias("n")), total), "simhash-distinct")
     found = C.materialise(links(distinct, radius, tile), "simhash-links")
     roots = components(found)
     of = C.materialise(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), "n"), "simhash-roots")
     named = of.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
-    table = C.join_hot(of.select("fp", "root"), named, "root", of.count(), "root").select("fp", "first")
-    rows = distinct.select("fp", "n").join(table, "fp")
-    out = C.join_hot(marked, rows, "fp", marked.count(), "fp")
+    n_of = of.count()
+    table = C.join_hot(of.select("fp", "root"), C.in_few(named, n_of), "root", n_of, "root").select("fp", "first")
+    rows = C.in_few(distinct.select("fp", "n").join(table, "fp"), n_of)
+    out = C.join_hot(marked, rows, "fp", total, "fp")
     C.discard(found)
     return out
 

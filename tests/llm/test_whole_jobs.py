@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import common, licences, queries, url_graph, warc, wordpiece
+from lectern.llm import common, licences, mixing, queries, simhash, url_graph, warc, wordpiece
 
 from . import brute
 
@@ -157,3 +157,66 @@ def test_windows_lose_none():
 )
 def test_optional_and_self_closed_tags(page, text):
     assert warc.plain_text(page) == text
+
+
+def test_star_rounds_write_few_files(spark, monkeypatch):
+    """A table of few rows is a file, not one for each shuffle partition: executors start processes for each file."""
+    files_of = {}
+
+    def write(df, name, of=common.materialise):
+        out = of(df, name)
+        files_of.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "materialise", write)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = simhash.components(spark.range(300).selectExpr("id AS a", "id + 1 AS b")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.node, r.root) for r in got) == [(i, 0) for i in range(1, 301)]
+    assert set(files_of) == {"star", "star-keys"} and max(map(max, files_of.values())) == 1
+
+
+def test_a_partition_for_each_so_many_rows(spark):
+    rows = spark.range(50_000).repartition(20)
+    assert [common.in_few(rows, n).rdd.getNumPartitions() for n in (0, 1, 10_000, 10_001, 50_000, 10**9)] == [1, 1, 1, 2, 5, 20]
+    assert common.in_few(rows, 50_000).count() == 50_000
+
+
+def test_the_mix_starts_no_python_workers(spark, monkeypatch):
+    """Its plan is built from a list on the driver, which as rows would go through Python workers on the executors."""
+    docs = spark.sql("SELECT id AS doc_id, repeat('a ', 9) AS text, IF(id % 3 = 0, NULL, string(id % 3)) AS source FROM range(90)").localCheckpoint()
+
+    def refuse(*_, **__):
+        raise AssertionError("rows go through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    got = mixing.mix(docs).collect()
+    assert len(got) == 90 and sum(r.taken for r in got) == 90 * 9 * 3 // 2
+    assert not mixing.mix(docs.limit(0)).collect()
+
+
+def test_freed_memory_goes_back():
+    """160 MB that Python has freed, but the C library keeps as what lies above is in use, go back to the system."""
+    import subprocess
+    import sys
+
+    code = """
+import re
+from lectern.llm import common
+held = lambda: sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+texts = [bytes(800) for _ in range(200_000)]
+top = held()
+last = texts[-1]
+del texts
+kept = held()
+common.give_back()
+print(top, kept, held())
+"""
+    top, kept, after = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert kept > top - 50 and after < top - 120
