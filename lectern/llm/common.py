@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import discard, fresh_path, materialise, shared_dir  # noqa: F401  for the operators
+from .. import tables
+from ..tables import discard, fresh_path, shared_dir  # noqa: F401  for the operators
+from . import files
 
 #: ASCII white space: space and U+0009 to U+000D. Everything else belongs to words.
 WHITE = " \t\n\x0b\x0c\r"
@@ -46,9 +50,65 @@ FILE_ROWS = 10_000
 def in_few(df: DataFrame, most: int) -> DataFrame:
     """df, which has at most so many rows, in a partition for each FILE_ROWS of them, where it would have more.
 
-    For narrow tables that are written: without Hadoop's native library an executor starts a process for each file's mode.
+    For narrow tables that are written: materialise() leaves these to Python workers.
     """
-    return df.coalesce(max(1, -(-most // FILE_ROWS)))
+    out = df.coalesce(max(1, -(-most // FILE_ROWS)))
+    out._lectern_narrow = True
+    return out
+
+
+def _nullable(field: pa.Field) -> pa.Field:
+    """field, whose fields may be null: Spark's structs that are null have null fields, declared so or not."""
+    kind = field.type
+    if pa.types.is_struct(kind):
+        kind = pa.struct([_nullable(f) for f in kind])
+    elif pa.types.is_list(kind):
+        kind = pa.list_(_nullable(kind.value_field))
+    return field.with_type(kind).with_nullable(True)
+
+
+def by_workers(df: DataFrame, name: str, run=None, schema: str | None = None) -> DataFrame:
+    """materialise() for narrow tables, written by Python workers: of df, or of what run makes of its Arrow batches, with that schema.
+
+    Without Hadoop's native library a JVM starts a process for the mode of each file and folder that it writes, and until
+    that process runs its own program it counts as large as the JVM. Workers write files of hidden names; the driver holds
+    a name for each partition that has rows and renames these, so files of other attempts are never read.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = named(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder = store.makeQualified(named(path)).toString()
+    files.create_folder(folder)
+
+    def write(batches):
+        import pyarrow.parquet as pq
+
+        uri = b = None
+        with contextlib.ExitStack() as stack:
+            for b in run(batches) if run else batches:
+                if b.num_rows:
+                    if uri is None:
+                        uri, stream = files.create(folder, ".attempt")
+                        kinds = pa.schema([_nullable(f) for f in b.schema])
+                        out = stack.enter_context(pq.ParquetWriter(stack.enter_context(stream), kinds))
+                    out.write_batch(b.cast(kinds))
+        del b
+        give_back()
+        if uri:
+            yield pa.RecordBatch.from_arrays([pa.array([uri])], names=["uri"])
+
+    for i, row in enumerate(df.mapInArrow(write, "uri string").collect()):
+        if not store.rename(named(row["uri"]), named(f"{folder}/part-{i:05}.parquet")):
+            raise OSError(f"{row['uri']} can't be renamed")
+    out = spark.read.schema(df.schema if schema is None else schema).parquet(folder)
+    out._lectern_path = path
+    return out
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back; what in_few() returned is written by_workers()."""
+    return by_workers(df, name) if "_lectern_narrow" in vars(df) else tables.materialise(df, name)
 
 
 def give_back() -> None:

@@ -20,11 +20,16 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def create_folder(folder: str) -> None:
+    where, path = store(folder)
+    where.create_dir(path, recursive=True)
+
+
 def create(folder: str, name: str):
     """(URI, open stream) of a new file of a name that no other attempt has."""
     uri = f"{folder}/{name}-{uuid.uuid4().hex}"
+    create_folder(folder)
     where, path = store(uri)
-    where.create_dir(path.rpartition("/")[0], recursive=True)
     return uri, where.open_output_stream(path)
 
 

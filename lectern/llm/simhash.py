@@ -10,7 +10,9 @@ Tiles are files in the shared folder; what moves are pairs of their names. A ste
 fingerprints and merges their links at once, so a worker's memory is bounded however dense a group is. A pair of tiles
 returns a spanning forest of its links, never the links themselves, so a group of n near copies gives at most
 n - 1 edges a pair of tiles. Components then come from alternating large-star and small-star steps, whose joins give
-nodes with more than a thousandth of all edges a way of their own.
+nodes with more than a thousandth of all edges a way of their own. The driver holds a row for each tile.
+
+All tables in between are narrow and written by Python workers, so that no executor starts processes (see common.by_workers).
 
 Defined results: null and blank texts have fingerprint zero and are linked as any other. Repeated rows share
 their component. Null ids are kept; a component's id is its smallest id that is not null. Empty table: no rows.
@@ -57,7 +59,7 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, fp): a hash that tells texts apart and a signed 64-bit fingerprint, for each row."""
+    """(id, th, fp): a hash that tells texts apart and a signed 64-bit fingerprint, for each row; a table in the shared folder."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -68,7 +70,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         del b
         C.give_back()
 
-    return docs.select(id_col, F.xxhash64(text).alias("th"), F.encode(F.col(text), "UTF-8").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, th long, fp long")
+    read = docs.select(id_col, F.xxhash64(text).alias("th"), F.encode(F.col(text), "UTF-8").alias("t"))
+    return C.by_workers(read, "simhash", run, f"`{id_col}` {kind}, th long, fp long")
 
 
 def _lanes(x: np.ndarray) -> np.ndarray:
@@ -136,7 +139,7 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, ste
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) that connect the components of the distinct fingerprints in column fp."""
+    """Edges (a, b) that connect the components of the distinct fingerprints in column fp; a table in the shared folder."""
     spark = distinct.sparkSession
     counted = distinct.select("fp", F.bit_count("fp").cast("int").alias("c"))
     tiles_of = {r["c"]: -(-r["n"] // tile) for r in counted.groupBy("c").agg(F.count("*").alias("n")).collect()}  # at most 65 rows
@@ -152,7 +155,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         uri = files.write_arrays(folder, f"tile-{group.column('t')[0].as_py()}", [fps])
         return pa.table({"t": group.column("t")[:1], "uri": [uri], "n": pa.array([len(fps)], pa.int64())})
 
-    tiles = C.materialise(keyed.groupBy("t").applyInArrow(write, "t long, uri string, n long"), "simhash-tiles-list")
+    tiles = spark.createDataFrame(keyed.groupBy("t").applyInArrow(write, "t long, uri string, n long").toArrow())
     # tiles that may follow a tile: of its count and of up to radius more
     count = F.shiftright("t", 32).cast("int")
     following = F.explode(F.flatten(F.transform(F.sequence(count, count + radius), lambda c: C.let(F.element_at(of, c), lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda j: number(c, j))).otherwise(F.array().cast("array<long>"))))))
@@ -168,7 +171,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
                 a, b = forest(mine, None if l == r else other, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return spread.mapInArrow(run, "a long, b long")
+    return C.by_workers(spread, "simhash-links", run, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -205,13 +208,13 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
 def _grouped(docs: DataFrame, id_col: str, text: str, radius: int, tile: int) -> DataFrame:
     """(id, th, fp, first): a row for each of docs; first is the (no_id, id, th) of its component that comes first. th tells texts of one id apart."""
-    marked = C.materialise(fingerprints(docs, id_col, text), "simhash")
+    marked = fingerprints(docs, id_col, text)
     own = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("th").alias("th"))
     total = marked.count()
     distinct = C.materialise(C.in_few(marked.groupBy("fp").agg(F.min(own).alias("least"), F.count("*").alias("n")), total), "simhash-distinct")
-    found = C.materialise(links(distinct, radius, tile), "simhash-links")
+    found = links(distinct, radius, tile)
     roots = components(found)
-    of = C.materialise(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), "n"), "simhash-roots")
+    of = C.by_workers(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), "n"), "simhash-roots")
     named = of.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
     n_of = of.count()
     table = C.join_hot(of.select("fp", "root"), C.in_few(named, n_of), "root", n_of, "root").select("fp", "first")
@@ -231,10 +234,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radi
 
     Ids, text hashes and fingerprints decide; whole rows move once, to leave the others out.
     """
-    found = C.materialise(_grouped(docs, id_col, text, radius, tile).select(F.col(id_col).alias("_id"), F.col("th").alias("_th"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "th").eqNullSafe(F.col("first")).alias("stays")), "simhash-stays")
+    found = C.by_workers(_grouped(docs, id_col, text, radius, tile).select(F.col(id_col).alias("_id"), F.col("th").alias("_th"), F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "th").eqNullSafe(F.col("first")).alias("stays")), "simhash-stays")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_th"))
     kept = docs.join(found.where(~F.col("stays")).select("_id", "_th").distinct(), same, "left_anti")
-    twice = C.materialise(found.where("stays").groupBy("_id", "_th").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-twice")
+    twice = C.by_workers(found.where("stays").groupBy("_id", "_th").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-twice")
     if twice.isEmpty():
         return kept
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text]))

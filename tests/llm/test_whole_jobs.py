@@ -220,3 +220,40 @@ print(top, kept, held())
 """
     top, kept, after = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
     assert kept > top - 50 and after < top - 120
+
+
+def test_near_dedup_leaves_all_its_tables_to_python_workers(spark):
+    """What a JVM writes has checksums beside it, and takes processes for the files' modes."""
+    import glob
+
+    folder = f"{common.shared_dir(spark).removeprefix('file:')}/{spark.sparkContext.applicationId}".replace("//", "/")
+    before = set(glob.glob(f"{folder}/*"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, 3).otherwise(F.col("doc_id")))  # an id of many texts
+    rows = more.collect()
+    want = brute.components([brute.simhash(r.text) for r in rows], [r.doc_id for r in rows])
+    assert simhash.near_duplicates(docs).count() == len(rows)
+    assert {r.doc_id for r in simhash.keep_first(more, tile=20).collect()} == set(want)
+    made = set(glob.glob(f"{folder}/*")) - before
+    assert len(made) > 10 and not [f for d in made for f in glob.glob(f"{d}/.*.crc")]
+
+
+def test_tables_by_workers(spark):
+    rows = spark.range(25_000).selectExpr("id", "IF(id % 3 = 0, NULL, named_struct('no_id', id % 2 = 0, 'id', cast(id AS decimal(20, 2)), 't', timestamp_millis(id))) AS s", "IF(id % 5 = 0, NULL, 'ñ' || id) AS t")
+    ids = lambda batches: (b.select([0]) for b in batches)
+    made = [common.by_workers(rows.repartition(3), "test"), common.materialise(common.in_few(rows, 25_000), "test"), common.by_workers(rows, "test", ids, "id long")]
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(made[0]) == key(made[1]) == key(rows) and key(made[2]) == key(rows.select("id"))
+    assert [len(m.inputFiles()) for m in made[:2]] == [3, min(3, rows.rdd.getNumPartitions())]
+    empty = common.by_workers(rows.where("id < 0"), "test")
+    assert empty.dtypes == rows.dtypes and empty.count() == 0
+
+
+def test_files_of_other_attempts_are_not_read(spark):
+    import os
+    import shutil
+
+    made = common.by_workers(spark.range(10), "test")
+    file = made.inputFiles()[0].removeprefix("file://")
+    shutil.copy(file, f"{os.path.dirname(file)}/.attempt-of-another")
+    assert spark.read.parquet(os.path.dirname(file)).count() == made.count() == 10
