@@ -155,12 +155,13 @@ _SCOPED = B._FILTER + f", egt AS (SELECT gt.* FROM gt JOIN e USING (artifact_id,
 @query(_SCOPED + " SELECT artifact_id, input_gt, eligible_gt, CAST(num_matched_lines AS BIGINT) AS num_matched_lines, CAST(char_errors AS BIGINT) AS char_errors, round(mean_iou, 6) AS mean_iou, round(char_errors / greatest(1, gt_char_count), 6) AS micro_cer, '0.3' AS evaluation_protocol_version FROM sc LEFT JOIN page USING (artifact_id) WHERE eligible_gt > 0 UNION ALL SELECT artifact_id, input_gt, 0, NULL, NULL, NULL, NULL, '0.3' FROM sc WHERE eligible_gt = 0")
 def scoped_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Page metrics over eligible lines and the predictions that count; a page without eligible lines has no scores. Its counts are those of its predictions, which the SQL leaves out."""
-    units, kept = B._units(spark, sf), B._filtered(spark, sf).where("kept").select("artifact_id", "pred_index")
-    gt = gt_lines(spark, sf).hint("merge").join(units.where("reason IS NULL").select("artifact_id", "gt_index"), ["artifact_id", "gt_index"], "left_semi")
-    predicted = pred_lines(spark, sf).hint("merge").join(kept, ["artifact_id", "pred_index"], "left_semi")
-    metrics = Q.page_metrics(gt, predicted, M.line_match(gt, predicted))
-    scope = units.groupBy("artifact_id").agg(F.count("*").alias("input_gt"), F.count_if(F.col("reason").isNull()).alias("eligible_gt"))
-    out = V.scored(metrics, scope, ["mean_cer", "mean_wer", "mean_iou", "micro_cer", "micro_wer", "line_precision", "line_recall", "line_f1"])
+    pages = B._judged(spark, sf)
+    gt = F.filter("gt", lambda _, i: F.get("units.reason", i).isNull())
+    kept = F.filter("predicted", lambda _, i: F.get("reasons", i) != "inside_ignore_regions")
+    # generators of one row, so that arrays are made once and not in each use
+    scoped = pages.select("artifact_id", F.size("units").alias("input_gt"), F.explode(F.array(gt)).alias("gt"), "predicted", "reasons").select("artifact_id", "input_gt", F.size("gt").alias("eligible_gt"), "gt", F.explode(F.array(kept)).alias("predicted"))
+    metrics = Q.page_metrics_of(M.match_pages(scoped), "artifact_id", "input_gt", "eligible_gt")
+    out = V.scored_of(metrics, ["mean_cer", "mean_wer", "mean_iou", "micro_cer", "micro_wer", "line_precision", "line_recall", "line_f1"])
     empty = F.col("eligible_gt") == 0
     return rounded(out.select("artifact_id", "input_gt", "eligible_gt", *[F.when(~empty, F.col(c)).alias(c) for c in ("num_matched_lines", "char_errors")], "mean_iou", "micro_cer", "evaluation_protocol_version"))
 
