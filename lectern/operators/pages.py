@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import geometry as G
 
@@ -37,42 +38,58 @@ def place_cells(cells: DataFrame, key: list[str]) -> DataFrame:
     problem: overlap where a cell's right part meets one that reaches down from above, rowspan where it goes below the last
     row. A table is one group, bounded by nature; only the columns that cells above still hold are kept in memory.
     """
-    schema = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in key)
+    return placed_cells(cells.select(*key, "row_index", "pos", "rowspan", "colspan"), key).select(*key, "row_index", "pos", "column_index", "problem")
 
-    def one(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("row_index", "pos", "rowspan", "colspan")), strict=True))
-        last = max(r[0] for r in rows)
+
+@F.arrow_udf(ArrayType(StructType([StructField("column_index", IntegerType()), StructField("problem", StringType())])))
+def _places(row: pa.Array, down: pa.Array, right: pa.Array) -> pa.Array:
+    """Where the cells of each table lie, its cells in order of row and place."""
+    columns, problems, ends = [], [], [0]
+    for rows, downs, rights in zip(row.to_pylist(), down.to_pylist(), right.to_pylist(), strict=True):
+        last = rows[-1] if rows else 0
         until: dict[int, int] = {}  # column: the row at which it is free again
-        out, at, column = [], None, 0
-        for row, pos, down, right in rows:
-            if row != at:
-                at, column = row, 0
-            while until.get(column, 0) > row:
+        at, column = None, 0
+        for r, d, w in zip(rows, downs, rights, strict=True):
+            if r != at:
+                at, column = r, 0
+            while until.get(column, 0) > r:
                 column += 1
-            span = range(column, column + right)
-            clash = any(until.get(x, 0) > row for x in span)
-            out.append((row, pos, column, "overlap" if clash else "rowspan" if row + down > last + 1 else None))
-            until.update(dict.fromkeys(span, row + down))
-            column += right
-        head = [pa.array([table.column(k)[0].as_py()] * len(out), table.schema.field(k).type) for k in key]
-        return pa.Table.from_arrays([*head, *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True))], names=[*key, "row_index", "pos", "column_index", "problem"])
-
-    spans = cells.select(*key, F.col("row_index").cast("int"), F.col("pos").cast("int"), F.greatest(F.lit(1), F.coalesce("rowspan", F.lit(1))).cast("int").alias("rowspan"), F.greatest(F.lit(1), F.coalesce("colspan", F.lit(1))).cast("int").alias("colspan"))
-    return spans.groupBy(*key).applyInArrow(one, f"{schema}, row_index int, pos int, column_index int, problem string")
+            span = range(column, column + w)
+            clash = any(until.get(x, 0) > r for x in span)
+            columns.append(column)
+            problems.append("overlap" if clash else "rowspan" if r + d > last + 1 else None)
+            until.update(dict.fromkeys(span, r + d))
+            column += w
+        ends.append(len(columns))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(columns, pa.int32()), pa.array(problems, pa.string())], names=["column_index", "problem"]))
+
+
+def placed_cells(cells: DataFrame, key: list[str]) -> DataFrame:
+    """cells with column_index and problem, as of place_cells(), dealt out by key."""
+    one = lambda c: F.greatest(F.lit(1), F.coalesce(c, F.lit(1))).cast("int")
+    cell = F.struct(F.col("row_index").cast("int").alias("_row"), F.col("pos").cast("int").alias("_pos"), one(F.col("rowspan")).alias("_down"), one(F.col("colspan")).alias("_right"), *[c for c in cells.columns if c not in key])
+    tables = cells.groupBy(*key).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    placed = tables.withColumn("places", _places("cells._row", "cells._down", "cells._right"))
+    each = placed.select(*key, F.inline(F.arrays_zip("cells", "places"))).select(*key, "cells.*", "places.*")
+    return each.withColumn("row_index", F.col("_row")).withColumn("pos", F.col("_pos")).drop("_row", "_pos", "_down", "_right")
 
 
 def table_audit(cells: DataFrame, placed: DataFrame, key: list[str]) -> DataFrame:
-    """(key, rows, columns, cells, merged_cells, header_rows, problem) of each table. header_rows: the rows from the top on in which all cells with text are headers, at least one of them not a row's own, and what their cells reach down to."""
-    c = cells.join(placed, [*key, "row_index", "pos"])
+    """audit_of() of cells and where place_cells() puts them."""
+    return audit_of(cells.join(placed, [*key, "row_index", "pos"]), key)
+
+
+def audit_of(placed: DataFrame, key: list[str]) -> DataFrame:
+    """(key, rows, columns, cells, merged_cells, header_rows, problem) of each table of placed_cells(). header_rows: the rows from the top on in which all cells with text are headers, at least one of them not a row's own, and what their cells reach down to."""
     heads = F.count_if("is_header")
-    by_row = c.groupBy(*key, "row_index").agg(((heads > 0) & (F.count_if(~F.col("is_header") & (F.btrim("text") != "")) == 0) & (F.count_if(F.col("is_header") & ~F.coalesce(F.col("scope").isin("row", "rowgroup"), F.lit(False))) > 0)).alias("head"), F.max(F.col("row_index") + F.col("rowspan")).alias("reach"))
-    run = W.partitionBy(*key).orderBy("row_index")
-    marked = by_row.withColumn("_before", F.min(F.col("head").cast("int")).over(run.rowsBetween(W.unboundedPreceding, 0)))
-    first = marked.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("row_index", "reach"))).alias("reaches"), F.sum("_before").cast("int").alias("count"))
+    head = (heads > 0) & (F.count_if(~F.col("is_header") & (F.btrim("text") != "")) == 0) & (F.count_if(F.col("is_header") & ~F.coalesce(F.col("scope").isin("row", "rowgroup"), F.lit(False))) > 0)
+    by_row = placed.groupBy(*key, "row_index").agg(head.alias("head"), F.max(F.col("row_index") + F.col("rowspan")).alias("reach"), F.max(F.col("column_index") + F.col("colspan")).alias("right"), F.count("*").alias("n"), F.count_if((F.col("rowspan") > 1) | (F.col("colspan") > 1)).alias("merged"), F.min("problem").alias("problem"))
+    whole = by_row.groupBy(*key).agg((F.max("row_index") + 1).alias("rows"), F.max("right").alias("columns"), F.sum("n").alias("cells"), F.sum("merged").alias("merged_cells"), F.min("problem").alias("problem"), F.sort_array(F.collect_list(F.struct("row_index", "head", "reach"))).alias("_rows"))
+    other = F.array_position(F.col("_rows.head"), F.lit(False)).cast("int")
+    first = F.when(other == 0, F.size("_rows")).otherwise(other - 1)
     # rows that a header's cells reach down to belong to the header
-    grown = F.aggregate("reaches", F.col("count"), lambda s, r: F.when(r["row_index"] < s, F.greatest(s, r["reach"])).otherwise(s))
-    whole = c.groupBy(*key).agg((F.max("row_index") + 1).alias("rows"), F.max(F.col("column_index") + F.col("colspan")).alias("columns"), F.count("*").alias("cells"), F.count_if((F.col("rowspan") > 1) | (F.col("colspan") > 1)).alias("merged_cells"), F.min("problem").alias("problem"))
-    return whole.join(first.select(*key, grown.alias("header_rows")), key)
+    grown = F.aggregate("_rows", first, lambda s, r: F.when(r["row_index"] < s, F.greatest(s, r["reach"])).otherwise(s))
+    return whole.select(*key, "rows", "columns", "cells", "merged_cells", "problem", grown.alias("header_rows"))
 
 
 def cell_coverage(source: DataFrame, made: DataFrame, key: list[str]) -> DataFrame:

@@ -361,8 +361,7 @@ def cell_places(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey, 4 AS rows, CASE WHEN o_orderkey % 5 = 0 THEN 4 ELSE 3 END AS columns, 7 AS cells, 3 + (o_orderkey % 3 = 0)::INT + (o_orderkey % 5 = 0)::INT AS merged_cells, 2 AS header_rows, CASE WHEN o_orderkey % 3 = 0 THEN 'rowspan' END AS problem FROM orders")
 def table_audit(spark: SparkSession, sf: str) -> DataFrame:
-    cells = _cells(spark, sf)
-    return rounded(P.table_audit(cells, P.place_cells(cells, ["o_orderkey"]), ["o_orderkey"]))
+    return rounded(P.audit_of(P.placed_cells(_cells(spark, sf), ["o_orderkey"]), ["o_orderkey"]))
 
 
 @query("SELECT l_orderkey, count(DISTINCT l_linenumber) FILTER (WHERE l_linenumber % 3 = 0) AS missing, count(DISTINCT l_linenumber) FILTER (WHERE l_linenumber % 2 = 0) AS extra FROM lineitem GROUP BY 1")
