@@ -7,6 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+
+from . import matching as M
+
+#: Units up to which all pairs of a page are compared at once.
+SMALL = 128
 
 
 def assign_columns(lines: DataFrame, columns: Column | int, key: str = "artifact_id") -> DataFrame:
@@ -68,16 +74,52 @@ def pair_counts(sequence: DataFrame, key: str = "artifact_id") -> DataFrame:
     Pairs of different groups are compared; pairs within a group are unresolved. A page is a bounded group; its pairs are
     counted in little more than the time to sort it, and never made.
     """
-    kind = sequence.schema[key].dataType.simpleString()
-
-    def page(rows: pa.Table) -> pa.Table:
-        rising, falling = _count_pairs(rows.column("group").to_numpy(), rows.column("rank").to_numpy())
-        return pa.table({key: rows.column(key)[:1], "concordant": pa.array([rising], pa.int64()), "discordant": pa.array([falling], pa.int64())})
-
-    ranked = sequence.where(F.col("group").isNotNull() & F.col("rank").isNotNull())
-    pairs = ranked.select(key, F.col("group").cast("long").alias("group"), F.col("rank").cast("long").alias("rank")).groupBy(key).applyInArrow(page, f"`{key}` {kind}, concordant long, discordant long")
-    within = sequence.groupBy(key, "group").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("units"), F.sum(F.expr("n * (n - 1) div 2")).alias("unresolved"))
-    return within.join(pairs, key, "left").select(key, "units", F.coalesce("concordant", F.lit(0)).alias("concordant"), F.coalesce("discordant", F.lit(0)).alias("discordant"), "unresolved")
+    pages = sequence.groupBy(key).agg(F.collect_list(F.struct(F.col("group").cast("long").alias("group"), F.col("rank").cast("long").alias("rank"))).alias("units"))
+    return pages.select(key, page_pairs("units.group", "units.rank").alias("c")).select(key, "c.*")
+
+
+@F.arrow_udf(StructType([StructField(n, LongType()) for n in ("units", "concordant", "discordant", "unresolved")]))
+def page_pairs(groups: pa.Array, ranks: pa.Array) -> pa.Array:
+    """pair_counts() of pages' arrays of places in the predicted order and true ranks."""
+    out = []
+    for gs, rs in zip(groups, ranks, strict=True):
+        gs, rs = gs.values, rs.values
+        kept = np.flatnonzero((gs.is_valid().to_numpy(zero_copy_only=False)) & rs.is_valid().to_numpy(zero_copy_only=False))
+        g, r = gs.fill_null(0).to_numpy(zero_copy_only=False), rs.fill_null(0).to_numpy(zero_copy_only=False)
+        n = np.unique(g[gs.is_valid().to_numpy(zero_copy_only=False)], return_counts=True)[1]
+        within = int((n * (n - 1) // 2).sum()) + gs.null_count * (gs.null_count - 1) // 2
+        g, r = g[kept], r[kept]
+        if len(g) <= SMALL:
+            before = g[:, None] < g
+            both = int((before & (r[:, None] < r)).sum()), int((before & (r[:, None] > r)).sum())
+        else:
+            both = _count_pairs(g, r)
+        out.append((len(gs), *both, within))
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["units", "concordant", "discordant", "unresolved"])
+
+
+def page_ranks(columns: int, downwards: int = -1):
+    """Of pages' arrays of indexes and boxes of predictions: their ranks by assign_columns() and predicted_sequence()."""
+
+    def kernel(index: pa.Array, boxes: pa.Array) -> pa.Array:
+        offsets = M._offsets(index)
+        page, at = M._page(offsets), offsets[:-1][np.diff(offsets) > 0]
+        x, y, w, _ = (M._numbers(v) for v in boxes.flatten().flatten())
+        mid, i = x + w / 2, M._numbers(index.flatten(), 0)
+        if not len(at):
+            return M._lists(offsets, pa.array([], pa.int32()))
+        there = ~np.isnan(mid)
+        low = np.repeat(np.minimum.reduceat(np.where(there, mid, np.inf), at), np.diff(offsets)[np.diff(offsets) > 0])
+        wide = np.repeat(np.maximum.reduceat(np.where(there, mid, -np.inf), at), np.diff(offsets)[np.diff(offsets) > 0]) - low
+        with np.errstate(invalid="ignore", divide="ignore"):
+            column = np.where((columns <= 1) | (wide <= 0), 0, np.where(there, np.minimum(columns - 1, np.nan_to_num((mid - low) / wide * columns).astype(np.int64)), columns - 1))
+        first = lambda v: np.where(np.isnan(v), -np.inf, v)
+        order = np.lexsort((i, first(x), first(downwards * y), column, page))
+        rank = np.empty(len(page), np.int64)
+        rank[order] = np.arange(len(page)) - offsets[:-1][page[order]] + 1
+        return M._lists(offsets, pa.array(rank, pa.int32()))
+
+    return F.arrow_udf(kernel, ArrayType(IntegerType()))
 
 
 def order_statistics(counts: DataFrame) -> DataFrame:
