@@ -19,7 +19,7 @@ from ..operators import reports as R
 from ..operators import scope as V
 from ..operators import structure as X
 from ..sources import documents, ground_truth, html_items, predictions, sinks
-from ..sources.derived import gt_lines, lines, pred_lines, table
+from ..sources.derived import gt_lines, lines, table
 from ..tables import fresh_path
 from . import registry as B
 from .registry import query, rounded
